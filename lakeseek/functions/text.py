@@ -113,10 +113,11 @@ def boundary_sentence(text: Column, from_end: bool) -> Column:
 
 def strip_neighbor_context(text: Column) -> Column:
     """The text without the sentences put before and after it."""
-    t = F.trim(text)
+    strip = lambda c: F.btrim(c, F.lit(" \t\r\n"))
+    t = strip(text)
     cut = F.regexp_replace(t, r"(?s)^\[Contexte précédent\].*?(?=ARTICLE |\n\n|$)", "")
-    t = F.when(t.startswith(T.CONTEXT_BEFORE), F.trim(cut)).otherwise(t)
-    return F.trim(F.substring_index(t, T.CONTEXT_AFTER, 1))
+    t = F.when(t.startswith(T.CONTEXT_BEFORE), strip(cut)).otherwise(t)
+    return strip(F.substring_index(t, T.CONTEXT_AFTER, 1))
 
 
 def anchor_article(text: Column, article: Column) -> Column:
