@@ -22,6 +22,8 @@ MIX = 0.6
 ADD = 0.1
 #: Target ids up to this number are broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Slots that come to the driver as one row.
+PACK = 4096
 
 _PART = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -61,16 +63,31 @@ def _count(frames):
     yield pd.DataFrame({"slot": some, "target": total[0, some], "background": total[1, some]})
 
 
+def _pack(frames):
+    """Partial counts of whole blocks of slots -> (block, counts): sums as float32 bytes, target then background."""
+    found: dict[int, np.ndarray] = {}
+    for f in frames:
+        slot = f["slot"].to_numpy(np.int64)
+        for b in np.unique(slot // PACK):
+            own = slot // PACK == b
+            sums = found.setdefault(int(b), np.zeros((2, PACK)))
+            for k, name in enumerate(("target", "background")):
+                np.add.at(sums[k], slot[own] % PACK, f[name].to_numpy()[own])
+    if found:
+        yield pd.DataFrame({"block": list(found), "counts": [x.astype(np.float32).tobytes() for x in found.values()]})
+
+
 def counts(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Counts (2, slots) of target documents (labels.quality = 1) and of all documents."""
     ids = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("t_id")).distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("t_id"), "left")
     parts = rows.select("text", F.col("t_id").isNotNull().alias("target")).mapInPandas(_count, "slot long, target long, background long")
-    got = parts.groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toPandas()  # a row a slot at most
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = parts.repartition(n, (F.col("slot") / PACK).cast("int")).mapInPandas(_pack, "block int, counts binary")
     out = np.zeros((2, 2 * SLOTS1 + SLOTS2), np.float32)
-    for k, name in enumerate(("target", "background")):
-        out[k, got["slot"].to_numpy(np.int64)] = got[name]
+    for row in packed.toLocalIterator():  # 384 rows of 32 KB, whatever the corpus
+        out[:, row["block"] * PACK : (row["block"] + 1) * PACK] = np.frombuffer(row["counts"], np.float32).reshape(2, PACK)
     return out
 
 
