@@ -1,127 +1,176 @@
 """Cross-entropy difference: target and background bigram models over one vocabulary.
 
-Words are hashed to SLOTS1 slots and neighbours to SLOTS2, so both models share one
-vocabulary by construction and the table that scoring needs has a fixed size (20 MB
-broadcast). Counts are taken over all documents: each task adds up its own, Spark
-sums them by slot.
+A text is <s> w1 ... wn </s>. The vocabulary is every word with more than
+1 / VOCAB of all tokens (so VOCAB words at most, whatever the corpus), known by its
+XXH32; the rest are one unknown word, in both models alike. Word and pair counts
+are exact over all documents, so the pair table grows with the corpus:
+
+- pairs with more than 1 / HEAD of all tokens (HEAD at most) are broadcast with
+  their losses, which takes the hot keys out of the join;
+- all other pairs of a document are joined to the pair counts by shuffle, once a
+  document and pair; a pair that the table lacks was seen once, in this document.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-SLOTS1, SLOTS2 = 1 << 18, 1 << 20
-#: Weight of the bigram share against the smoothed word share.
-MIX = 0.6
-ADD = 0.1
+#: Bounds on the words of the vocabulary and on the pairs that are broadcast.
+VOCAB, HEAD = 1 << 20, 1 << 20
+#: Weight of the bigram share against the smoothed word share, and the smoothing.
+MIX, ADD = 0.6, 0.1
 #: Target ids up to this number are broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-#: Slots that come to the driver as one row.
-PACK = 4096
+#: Tokens of a task that are counted in one go.
+BATCH = 1 << 21
 
+#: Ids that no word has.
+UNKNOWN, START, END = 0, 1, 2
 _PART = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def slots(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of the words, of the words before them (0 before the first) and of both together."""
+def word_ids(text: str | None) -> np.ndarray:
+    """XXH32 of each word, 3 at least."""
     w = (text or "").lower().encode("utf-8", "surrogatepass").translate(_PART).split()
-    h = np.fromiter(map(xxhash.xxh32_intdigest, w), np.uint64, len(w))
-    before = np.concatenate([[np.uint64(1)], h[:-1]]).astype(np.uint64)[: len(h)]
-    word, prev = ((x * _A >> np.uint64(64 - 18)).astype(np.int64) for x in (h, before))
-    return word, prev, (((before * _B) ^ h) * _A >> np.uint64(64 - 20)).astype(np.int64)
-
-
-def _count(frames):
-    """Counts of all rows of a partition: (slot, target, background); words first, then words as what is before, then pairs."""
-    n = 2 * SLOTS1 + SLOTS2
-    total = np.zeros((2, n), np.int64)
-    held: list[list[np.ndarray]] = [[], []]
-
-    def add(k: int) -> None:
-        if held[k]:
-            total[k] += np.bincount(np.concatenate(held[k]), minlength=n)
-            held[k].clear()
-
-    for f in frames:
-        for text, target in zip(f["text"], f["target"], strict=True):
-            word, prev, pair = slots(text)
-            at = np.concatenate([word, prev + SLOTS1, pair + 2 * SLOTS1])
-            for k in (0, 1) if target else (1,):
-                held[k].append(at)
-                if sum(map(len, held[k][-64:])) > 1 << 21 or len(held[k]) >= 4096:
-                    add(k)
-    for k in (0, 1):
-        add(k)
-    some = np.flatnonzero(total[1])
-    yield pd.DataFrame({"slot": some, "target": total[0, some], "background": total[1, some]})
-
-
-def _pack(frames):
-    """Partial counts of whole blocks of slots -> (block, counts): sums as float32 bytes, target then background."""
-    found: dict[int, np.ndarray] = {}
-    for f in frames:
-        slot = f["slot"].to_numpy(np.int64)
-        for b in np.unique(slot // PACK):
-            own = slot // PACK == b
-            sums = found.setdefault(int(b), np.zeros((2, PACK)))
-            for k, name in enumerate(("target", "background")):
-                np.add.at(sums[k], slot[own] % PACK, f[name].to_numpy()[own])
-    if found:
-        yield pd.DataFrame({"block": list(found), "counts": [x.astype(np.float32).tobytes() for x in found.values()]})
-
-
-def counts(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Counts (2, slots) of target documents (labels.quality = 1) and of all documents."""
-    ids = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("t_id")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("t_id"), "left")
-    parts = rows.select("text", F.col("t_id").isNotNull().alias("target")).mapInPandas(_count, "slot long, target long, background long")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = parts.repartition(n, (F.col("slot") / PACK).cast("int")).mapInPandas(_pack, "block int, counts binary")
-    out = np.zeros((2, 2 * SLOTS1 + SLOTS2), np.float32)
-    for row in packed.toLocalIterator():  # 384 rows of 32 KB, whatever the corpus
-        out[:, row["block"] * PACK : (row["block"] + 1) * PACK] = np.frombuffer(row["counts"], np.float32).reshape(2, PACK)
-    return out
-
-
-def losses(text: str | None, c: np.ndarray, sums: np.ndarray) -> tuple[int, float, float]:
-    """Words, and bits a word under the target and the background model."""
-    word, prev, pair = slots(text)
-    if not len(word):
-        return 0, 0.0, 0.0
-    out = []
-    for k in (0, 1):
-        one = (c[k, word] + ADD) / (sums[k] + ADD * SLOTS1)
-        seen = c[k, prev + SLOTS1]
-        two = c[k, pair + 2 * SLOTS1] / np.maximum(seen, 1)
-        mix = np.where(seen > 0, MIX, 0.0)
-        out.append(float(-np.log2(mix * np.minimum(two, 1) + (1 - mix) * one).mean()))
-    return len(word), *out
-
-
-def lm_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    return np.maximum(np.fromiter(map(xxhash.xxh32_intdigest, w), np.int64, len(w)), END + 1)
+
+
+def pair_ids(ids: np.ndarray, vocab: np.ndarray) -> np.ndarray:
+    """Pairs of <s> w1 ... wn </s>, the id before in the upper 32 bits; words that the sorted vocabulary lacks are unknown."""
+    at = np.minimum(np.searchsorted(vocab, ids), len(vocab) - 1)
+    known = np.concatenate([[START], np.where(vocab[at] == ids, ids, UNKNOWN), [END]])
+    return known[:-1] << 32 | known[1:]
+
+
+def _counter(name: str, of):
+    """mapInArrow function (text, target) -> (name, t, b): what of(text) gives, counted for each BATCH of a task."""
+
+    def count(held: list[np.ndarray], target: list[bool]):
+        every = np.concatenate(held)
+        u, at = np.unique(every, return_inverse=True)
+        t = np.bincount(at, np.repeat(target, [len(x) for x in held]), len(u)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(t), pa.array(np.bincount(at, minlength=len(u)))], [name, "t", "b"])
+
+    def run(batches):
+        held, target, n = [], [], 0
+        for batch in batches:
+            for text, is_target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = of(text)
+                if len(ids):
+                    held.append(ids)
+                    target.append(is_target)
+                    n += len(ids)
+                if n >= BATCH:
+                    yield count(held, target)
+                    held, target, n = [], [], 0
+        if held:
+            yield count(held, target)
+
+    return run
+
+
+def _counts(rows: DataFrame, name: str, of) -> DataFrame:
+    found = rows.select("text", "target").mapInArrow(_counter(name, of), f"{name} long, t long, b long")
+    return found.groupBy(name).agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+
+
+def _with_bounds(text: str | None) -> np.ndarray:
+    ids = word_ids(text)
+    return np.concatenate([ids, [START, END]]) if len(ids) else ids
+
+
+def _losses(rows: DataFrame, vocab: DataFrame, totals: tuple[int, int], size: int) -> DataFrame:
+    """(g, t, b, ...) and lt, lb: bits of the pair's second word under either model."""
+    side = lambda p: F.broadcast(vocab.select(F.col("w").alias(f"{p}w"), F.col("t").alias(f"{p}t"), F.col("b").alias(f"{p}b")))  # noqa: E731 - VOCAB rows at most
+    rows = rows.join(side("p"), F.shiftrightunsigned("g", 32) == F.col("pw")).join(side("o"), F.col("g").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")) == F.col("ow"))
+
+    def bits(k: str, total: int) -> Column:
+        one = (F.col(f"o{k}") + ADD) / (total + ADD * size)
+        return -F.log2(F.when(F.col(f"p{k}") > 0, MIX * F.col(k) / F.col(f"p{k}") + (1 - MIX) * one).otherwise(one))
+
+    return rows.withColumn("lt", bits("t", totals[0])).withColumn("lb", bits("b", totals[1])).drop("pw", "pt", "pb", "ow", "ot", "ob")
+
+
+def _scorer(shared):
+    """mapInArrow function (doc_id, th, text, target) -> what broadcast pairs add up to (a row a document, occ 0), and its other pairs."""
+    names = ["doc_id", "th", "n_words", "ht", "hb", "g", "occ", "target"]
+
+    def run(batches):
+        vocab, head, losses = shared.value
+        for batch in batches:
+            doc, th, texts, target = (c.to_pylist() for c in batch.columns)
+            n_words, sums, gs, occs, size = [], [], [], [], []
+            for text, h in zip(texts, th, strict=True):
+                ids = word_ids(text)
+                g, occ = np.unique(pair_ids(ids, vocab), return_counts=True) if len(ids) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                at = np.minimum(np.searchsorted(head, g), max(len(head) - 1, 0))
+                hot = head[at] == g if len(head) else np.zeros(len(g), bool)
+                sums.append(losses[:, at[hot]] @ occ[hot] if hot.any() else np.zeros(2))
+                n_words.append(len(ids))
+                # the document's own row goes where its text's hash says: vocabulary ids, so the joins keep it
+                gs += [np.array([START << 32 | END]), g[~hot]]
+                occs += [np.zeros(1, np.int64), occ[~hot]]
+                size.append(1 + len(g) - int(hot.sum()))
+                gs[-2][0] = g[h % len(g)] if len(g) else START << 32 | END
+            size = np.array(size)
+            first = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(int)
+            total = int(size.sum())
+            own = np.zeros(total, bool)
+            own[first] = True
+            place = np.repeat(np.arange(len(size)), size)
+            sparse = lambda x, kind: pa.array(np.asarray(x)[place], kind, mask=~own)
+            s = np.array(sums).reshape(-1, 2)
+            pick = pa.array(place)
+            cols = [batch.column(0).take(pick), batch.column(1).take(pick), sparse(n_words, pa.int64()), sparse(s[:, 0], pa.float64()), sparse(s[:, 1], pa.float64())]
+            cols += [pa.array(np.concatenate(gs)), pa.array(np.concatenate(occs)), batch.column(3).take(pick)]
+            out = pa.RecordBatch.from_arrays(cols, names)
+            yield from (out.slice(i, 1 << 17) for i in range(0, total, 1 << 17))
+
+    return run
+
+
+def lm_scores(docs: DataFrame, labels: DataFrame, head: int = HEAD) -> DataFrame:
     """(doc_id, n_words, target_bits, background_bits, score) for each row.
 
-    score: mean over the words of target loss less background loss, in bits; lower is
-    nearer to the target. Without a word all are 0. With no target document the target
-    model is uniform. Repeated rows count as often as they come.
+    Target documents are those with labels.quality = 1, background is all documents.
+    score: mean over the words and the end of target loss less background loss, in
+    bits (to 9 places); lower is nearer to the target. Null texts are empty; without a
+    word all are 0. With no target document the target model is uniform. Repeated rows
+    count, and are returned, as often as they come. An empty table gives an empty table.
     """
-    c = counts(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast((c, c[:, :SLOTS1].sum(axis=1, dtype=np.float64)))
-    names = ("n_words", "target_bits", "background_bits")
-
-    def score(texts: pa.Array) -> pa.Array:
-        rows = [losses(t, *shared.value) for t in texts.to_pylist()]
-        kinds = (pa.int64(), pa.float64(), pa.float64())
-        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=list(names))
-
-    kind = StructType([StructField(n, LongType() if n == "n_words" else DoubleType()) for n in names])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.arrow_udf(score, kind).asNondeterministic()(F.col("text")).alias("x"))
-    return rows.select("doc_id", *(f"x.{n}" for n in names), (F.col("x.target_bits") - F.col("x.background_bits")).alias("score"))
+    from .common import cut
+
+    ids = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("t_id")).distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("t_id"), "left")
+    rows = rows.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text", F.col("t_id").isNotNull().alias("target"))
+
+    every = cut(_counts(rows, "w", _with_bounds), "words")
+    totals = every.where(F.col("w") != START).agg(*(F.coalesce(F.sum(k), F.lit(0)) for k in ("t", "b"))).first()
+    keep = (F.col("b") * VOCAB > totals[1]) | (F.col("w") <= END)
+    zero = docs.sparkSession.createDataFrame([(w, 0, 0) for w in (UNKNOWN, START, END)], "w long, t long, b long")
+    vocab = every.union(zero).groupBy(F.when(keep, F.col("w")).otherwise(UNKNOWN).alias("w")).agg(F.sum("t").alias("t"), F.sum("b").alias("b")).checkpoint()
+    known = np.sort(vocab.select("w").toPandas()["w"].to_numpy(np.int64))  # VOCAB + 3 at most
+    shared_vocab = docs.sparkSession.sparkContext.broadcast(known)
+
+    def pairs_of(text: str | None) -> np.ndarray:
+        found = word_ids(text)
+        return pair_ids(found, shared_vocab.value) if len(found) else found
+
+    pairs = cut(_counts(rows, "g", pairs_of).where("b > 1"), "pairs")
+    hot = F.col("b") * head > totals[1]
+    top = _losses(pairs.where(hot), vocab, totals, len(known)).select("g", "lt", "lb").toPandas().sort_values("g")  # HEAD at most
+    shared = docs.sparkSession.sparkContext.broadcast((known, top["g"].to_numpy(np.int64), top[["lt", "lb"]].to_numpy(np.float64).T.copy()))
+
+    own = rows.select("doc_id", "th", "text", "target").mapInArrow(_scorer(shared), "doc_id long, th long, n_words long, ht double, hb double, g long, occ long, target boolean")
+    met = own.join(pairs.where(~hot), "g", "left").withColumn("t", F.coalesce("t", F.col("target").cast("long"))).withColumn("b", F.coalesce("b", F.lit(1)))
+    met = _losses(met, vocab, totals, len(known))
+    total = lambda k: F.sum(F.col("occ") * F.col(f"l{k}") + F.coalesce(f"h{k}", F.lit(0.0)))
+    sums = met.groupBy("doc_id", "th").agg(F.count("n_words").alias("m"), F.max("n_words").alias("n_words"), total("t").alias("t"), total("b").alias("b"))
+    mean = lambda k: F.when(F.col("n_words") > 0, F.round(F.col(k) / F.col("m") / (F.col("n_words") + 1), 9)).otherwise(0.0)
+    done = sums.select("doc_id", "n_words", mean("t").alias("target_bits"), mean("b").alias("background_bits"), F.explode(F.sequence(F.lit(1), F.col("m"))).alias("i"))
+    return done.select("doc_id", "n_words", "target_bits", "background_bits", F.round(F.col("target_bits") - F.col("background_bits"), 9).alias("score"))

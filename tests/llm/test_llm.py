@@ -256,21 +256,37 @@ def test_tiling_equals_brute_force(spark):
     assert [h.item_id for h in blocks] == [1]
 
 
-def test_lm_scores_equal_brute_force(spark):
-    rows = [(1, "good words here good words", "s"), (2, "bad noise bad noise there", "s"), (3, None, None), (4, "", "s"), (1, "good words here", "s")]
+@pytest.mark.parametrize("head", [lmscore.HEAD, 3, 1])
+def test_lm_scores_equal_brute_force(spark, head):
+    """With all pairs broadcast, some, and none; repeated rows, null ids and texts among them."""
+    rows = [(1, "good words here good words", "s"), (2, "bad noise bad noise there", "s"), (3, None, None), (4, "", "s"), (1, "good words here", "s"), (5, "one two, Three", None), (5, "one two, Three", None), (None, "here here", "s")]
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    c = np.zeros((2, 2 * lmscore.SLOTS1 + lmscore.SLOTS2), np.float32)
-    for i, t, _ in rows:
-        word, prev, pair = lmscore.slots(t)
-        for k in (0, 1) if i == 1 else (1,):
-            for part, base in ((word, 0), (prev, lmscore.SLOTS1), (pair, 2 * lmscore.SLOTS1)):
-                np.add.at(c[k], part + base, 1)
-    want = Counter((i, *(round(x, 6) for x in lmscore.losses(t, c, c[:, : lmscore.SLOTS1].sum(axis=1, dtype=np.float64)))) for i, t, _ in rows)
-    got = lmscore.lm_scores(docs(spark, rows), labels).collect()
+    cut = {i: ["<s>", *re.findall("[a-z]+", (t or "").lower()), "</s>"] for i, (_, t, _) in enumerate(rows)}
+    cut = {i: w for i, w in cut.items() if len(w) > 2}
+    size = len({x for w in cut.values() for x in w}) + 1
+
+    def bits(mine, w):
+        ones, pairs = Counter(x for m in mine for x in m), Counter(p for m in mine for p in zip(m, m[1:], strict=False))
+        total, out = sum(n for x, n in ones.items() if x != "<s>"), 0.0
+        for a, b in zip(w, w[1:], strict=False):
+            one = (ones[b] + lmscore.ADD) / (total + lmscore.ADD * size)
+            out -= np.log2(lmscore.MIX * pairs[a, b] / ones[a] + (1 - lmscore.MIX) * one if ones[a] else one)
+        return round(out / (len(w) - 1), 6)
+
+    want = Counter()
+    for i, (d, _, _) in enumerate(rows):
+        w, target = cut.get(i), [x for j, x in cut.items() if rows[j][0] == 1]
+        want[(d, len(w) - 2, bits(target, w), bits(cut.values(), w)) if w else (d, 0, 0.0, 0.0)] += 1
+    got = lmscore.lm_scores(docs(spark, rows), labels, head=head).collect()
     assert Counter((r.doc_id, r.n_words, round(r.target_bits, 6), round(r.background_bits, 6)) for r in got) == want
     assert max(r.score for r in got if r.doc_id == 1) < min(r.score for r in got if r.doc_id == 2)
 
 
+def test_lm_scores_of_awkward_tables(spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert lmscore.lm_scores(mixed(spark), labels).count() == 8 and lmscore.lm_scores(mixed(spark).where("false"), labels).count() == 0
+
+
 @pytest.mark.parametrize("f", [simhash.near_duplicates, tokencount.token_counts, quality.quality, mixing.mix])
 def test_awkward_rows_each_give_a_row(spark, f):
     assert f(mixed(spark)).count() == 8 and f(mixed(spark).where("false")).count() == 0
