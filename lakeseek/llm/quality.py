@@ -83,9 +83,8 @@ RULES = (
     Rule("dup_lines", f"transform(array({_L}), l -> 2 * (size(l) - size(array_distinct(l))) > size(l))[0]"),
     Rule("word_length", rf"transform(array(length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', ''))), c -> c > 25 * {_NW} OR c < 2 * {_NW})[0]"),
 )
-#: The same over the columns of measured().
+#: Two of them over the columns of measured().
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
-VERDICT = "NOT (10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR word_chars > 25 * n_words OR word_chars < 2 * n_words)"
 
 
 def order_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> list[Rule]:
@@ -115,12 +114,14 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """For each row of (doc_id, text): the base measures, base_failed, and kept: what all rules say.
+    """For each row of (doc_id, text): the base measures, base_failed, and kept: what the cascade says.
 
-    All measures are over whole texts and are returned for every row, so here the
-    rules' verdict is read off them. Null and empty texts have no word and fail.
-    Repeated rows and ids each give a row. No shuffle.
+    All measures are over whole texts and are returned for every row. The cascade runs
+    for what base_failed leaves, in the order that a sample recommends, which changes
+    no verdict. Null and empty texts have no word and fail. Repeated rows and ids each
+    give a row. No shuffle.
     """
-    rows = measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    rows = rows.withColumn("base_failed", F.expr(BASE_FAILED))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.expr(VERDICT)).alias("kept"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    verdict = cascade(rows)
+    rows = measured(rows).withColumn("base_failed", F.expr(BASE_FAILED))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.when(F.col("base_failed"), False).otherwise(verdict).alias("kept"))

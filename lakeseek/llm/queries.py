@@ -65,4 +65,27 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_lm_scores, op3_simhash, op4_chat, op5_toxicity, op6_token_counts, op7_quality, op8_html, op9_mixing, op10_decontaminate)}
 
-ORACLE_SQL: dict[str, str] = {}
+_ESC = lambda x: rf"replace(replace({x}, '\', '\\'), '<|', '<\|')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_chat": (
+        "WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations "
+        f"UNION ALL SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '{HOSTILE}' FROM range(2) t(i)), "
+        "m AS (SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) <> role, true) AS fresh FROM r) "
+        "SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256, "
+        "coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, "
+        "sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, "
+        f"sum(length({_ESC('text')}) + CASE WHEN fresh THEN {len(chat.START + chat.END) + 2} + length(replace({_ESC('role')}, chr(10), '{chat.NL}')) ELSE {len(chat.SEP)} END)::BIGINT AS formatted_chars "
+        "FROM m GROUP BY conv_id"
+    ),
+    "op7_quality": (
+        r"WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents), "
+        r"w AS (SELECT rid, doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t), "
+        r"g AS (SELECT rid, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: {'i': i, 'g': w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]}), recursive := true) FROM w), "
+        r"again AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, g) > 1), p AS (SELECT DISTINCT rid, unnest([i, i + 1, i + 2]) AS p FROM again), n AS (SELECT rid, count(*) AS n FROM p GROUP BY rid), "
+        r"m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM w LEFT JOIN n USING (rid)), "
+        r"f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m) "
+        r"SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words, base_failed, "
+        r"NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR word_chars > 25 * n_words OR word_chars < 2 * n_words) AS kept FROM f"
+    ),
+}

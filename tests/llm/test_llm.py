@@ -7,13 +7,14 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lakeseek.llm import chat, decontaminate, lmscore, mixing, quality, simhash, tokencount, toxicity, warc, wrapper
-from lakeseek.llm.queries import QUERIES
+from lakeseek.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp long, score double"
@@ -299,6 +300,17 @@ def test_queries_run_over_their_tables(spark, name):
     assert got.count() == n
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_queries_equal_their_sql(spark, name):
+    sf, con = SF.replace("sf0.001", "sf0.01"), duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got, want = QUERIES[name](spark, sf), con.sql(ORACLE_SQL[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    cols = sorted(got.columns)
+    assert Counter(map(tuple, got.select(cols).collect())) == Counter(want.select(*cols).fetchall())
+
+
 def test_pipeline_equals_its_stages_by_hand(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     labels, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("labels", "benchmark"))
