@@ -7,8 +7,8 @@ an item whose tokens its tiles cover by a threshold, in whatever order they come
 
 The test items are a stated query set held against all documents: they are dealt
 into blocks of a bounded size, one pass over the documents for each block, and a
-block is all that is ever broadcast. A document is tiled where it lies, so nothing
-but (document, item) hits of further blocks is shuffled.
+block is all that a pass broadcasts; between passes the documents are written with
+their hits. A document is tiled where it lies, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
+from .common import cut
+
 #: Shortest tile, in tokens.
 TILE = 4
 #: Share of an item's tokens that tiles must cover.
@@ -159,6 +161,8 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, name: str = "hits", tile: i
         some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()  # about block_chars
         docs = docs.withColumn(f"__hits{b}", _finder(docs.sparkSession, [tuple(r) for r in some], tile, cover)(F.col("text")))
         parts.append(f"__hits{b}")
+        if b + 1 < blocks:
+            docs = cut(docs, "hits")  # else one task would hold the seeds of all blocks
     return docs.withColumn(name, F.concat(*parts)).drop(*parts)
 
 
