@@ -78,13 +78,15 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> np.
     """Weights learnt from labelled rows whose crc32(doc_id) mod 5 is not 0, max_train of them at most.
 
     An id with labels of both kinds counts as toxic; null labels and ids are left
-    out. With no label left all weights are zero: every score is 0.5.
+    out. Of rows that share an id one is learnt from: that of the least text hash.
+    With no label left all weights are zero: every score is 0.5.
     """
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
     some = known.withColumn("o", F.xxhash64("doc_id")).orderBy("o", "doc_id").limit(max_train)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id")
-    fitted = rows.repartition(1).sortWithinPartitions("o", "doc_id", F.xxhash64("text")).select("text", "toxic").mapInPandas(_fit, "slot int, weight double")
+    rows = rows.groupBy("o", "doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"))  # else a repeated id could bring any number of rows
+    fitted = rows.repartition(1).sortWithinPartitions("o", "doc_id").select("x.text", "toxic").mapInPandas(_fit, "slot int, weight double")
     got = fitted.toPandas()  # at most 2^DIM_BITS rows
     w = np.zeros(1 << DIM_BITS, np.float32)
     w[got["slot"].to_numpy(np.int64)] = got["weight"]

@@ -95,6 +95,13 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_toxicity_learns_one_row_of_a_repeated_id(spark):
+    rows = [(i, f"you idiot {i}" if i % 2 else f"good day {i}", "s") for i in range(40)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    once, often = (toxicity.train(docs(spark, x), labels) for x in (rows, rows + rows[:7] * 30))
+    assert once.any() and (once == often).all()
+
+
 def test_toxicity_holds_out_and_learns(spark):
     rng = random.Random(3)
     words = [f"word{i}" for i in range(200)]
