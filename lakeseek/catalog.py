@@ -409,6 +409,54 @@ def legal_affinity(spark, sf_dir):
     return q.select("doc_id", F.round(legal.affinity(F.col("t"), F.col("a")), 6).alias("bonus"), legal.penalty(F.col("t"), F.col("a")).alias("penalty"))
 
 
+_DOC = "d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10))[1] AS title, coalesce(text, '') AS text FROM documents)"
+_STARTS = ("Paragraphe", "Section", "Chapitre", "Article", "Titre")
+
+
+@query(
+    f"WITH {_DOC}, s AS (SELECT doc_id, doc_id % 7 AS n, CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN '{w} de '" for i, w in enumerate(_STARTS)) + " ELSE '' END || title AS title FROM d) "
+    "SELECT doc_id, CASE " + " ".join(f"WHEN starts_with(lower(trim(title)), '{w.lower()}') THEN '{w} ' || (n + 1)" for w in ("Article", "Chapitre", "Section", "Paragraphe"))
+    + " ELSE title END AS path, CASE n WHEN 1 THEN 'Titre' WHEN 2 THEN 'Chapitre' WHEN 3 THEN 'Section' WHEN 4 THEN 'Paragraphe' ELSE 'Article-' || n END AS prefix FROM s"
+)
+def section_paths(spark, sf_dir):
+    start = F.element_at(F.array(*(F.lit(f"{w} de ") for w in _STARTS), F.lit("")), (F.col("doc_id") % 6 + 1).cast("int"))
+    title = F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), 1)
+    n = F.col("doc_id") % 7
+    return table(spark, sf_dir, "documents").select("doc_id", X.section_path(F.concat(start, title), n).alias("path"), X.heading_prefix(n).alias("prefix"))
+
+
+@query(
+    f"WITH {_DOC}, w AS (SELECT doc_id, {TERMS.format('array_to_string(list_slice(' + FIELDS_SQL.format('text') + ', 3, 8), ' + chr(39) + ' ' + chr(39) + ')')} AS q, "
+    + FIELDS_SQL.format("regexp_replace(left(lower(title || ' ' || trim(text, ' ' || chr(9) || chr(13) || chr(10))), 400), '[^\\p{L}\\p{Nd}]', ' ', 'g')")
+    + " AS w FROM d) SELECT doc_id, round(0.04::DOUBLE * len(list_filter(w, lambda x: list_contains(q, x))), 6) AS bonus FROM w"
+)
+def overlap_bonus(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    asked_for = X.legal_terms(F.array_join(F.slice(X.fields(text), 3, 6), " "))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(legal.overlap_bonus(asked_for, F.element_at(F.split(text, "\n"), 1), text), 6).alias("bonus"))
+
+
+@query(_CAP + " SELECT qid, chunk_id, score FROM k WHERE doc_id = (SELECT min(conv_id)::VARCHAR FROM conversations)")
+def doc_filter_after_cap(spark, sf_dir):
+    rows = turns(spark, sf_dir)
+    first = table(spark, sf_dir, "conversations").agg(F.min("conv_id").cast("string").alias("doc_id"))
+    return fusion.cap_per_doc(rows, 2).join(F.broadcast(first), "doc_id", "left_semi").select("qid", "chunk_id", "score")  # one row
+
+
+@query(
+    f"{bm25_sql()}, a AS (SELECT chunk_id, (chunk_id::BIGINT % 17)::VARCHAR AS article FROM c), top AS (SELECT qid, max(score) AS top FROM hits GROUP BY qid), "
+    "r AS (SELECT qid, unnest([(qid::BIGINT // 100 % 17)::VARCHAR, ((qid::BIGINT // 100 + 3) % 17)::VARCHAR]) AS article FROM qs) "
+    "SELECT qid, chunk_id, round(score, 6) AS score FROM hits UNION ALL "
+    "SELECT r.qid, a.chunk_id, round(0.95::DOUBLE * coalesce(top, 1 / 0.95::DOUBLE), 6) FROM r JOIN a USING (article) LEFT JOIN top USING (qid) WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.qid = r.qid AND h.chunk_id = a.chunk_id)"
+)
+def article_boost(spark, sf_dir):
+    at, q = index_of(spark, sf_dir), asked(spark, sf_dir)
+    n = F.floor(F.col("qid").cast("long") / 100)
+    named = q.select("qid", "corpus", F.format_string("article %d et article %d", n % 17, (n + 3) % 17).alias("text"))
+    chunks = at.chunks.withColumn("article", (F.col("chunk_id").cast("long") % 17).cast("string"))
+    return legal.boost_articles(lexical.search(at, q), named, chunks).select("qid", "chunk_id", F.round("score", 6).alias("score"))
+
+
 @query()
 def query_expansion(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
