@@ -1,14 +1,16 @@
 """Cross-entropy difference: target and background bigram models over one vocabulary.
 
-A text is <s> w1 ... wn </s>. The vocabulary is every word with more than
-1 / VOCAB of all tokens (so VOCAB words at most, whatever the corpus), known by its
-XXH32; the rest are one unknown word, in both models alike. Word and pair counts
-are exact over all documents, so the pair table grows with the corpus:
-
-- pairs with more than 1 / HEAD of all tokens (HEAD at most) are broadcast with
-  their losses, which takes the hot keys out of the join;
-- all other pairs of a document are joined to the pair counts by shuffle, once a
-  document and pair; a pair that the table lacks was seen once, in this document.
+A text is <s> w1 ... wn </s>. The vocabulary is every word, known by its XXH64, at any
+size of corpus. Word and pair counts are exact over all documents, so both tables grow
+with the corpus. What is broadcast changes where a count is looked up, never a score:
+
+- the most frequent words (WORDS at most) have numbers and are broadcast with their
+  counts; pairs of two such words with more than 1 / HEAD of all tokens (HEAD at most)
+  with their losses, which takes the hot keys out of the joins;
+- all other pairs of numbered words are joined to the pair counts by shuffle, once a
+  document and pair; a pair that the table lacks was seen once, in this document;
+- pairs with a word that has no number are joined so too, and then to the counts of
+  their words; a word that the table lacks was seen once, in this document.
 """
 
 from __future__ import annotations
@@ -19,31 +21,45 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds on the words of the vocabulary and on the pairs that are broadcast.
-VOCAB, HEAD = 1 << 20, 1 << 20
+#: Bounds on the words and on the pairs that are broadcast.
+WORDS, HEAD = 1 << 18, 1 << 20
 #: Weight of the bigram share against the smoothed word share, and the smoothing.
 MIX, ADD = 0.6, 0.1
 #: Target ids up to this number are broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-#: Tokens of a task that are counted in one go.
-BATCH = 1 << 21
+#: Tokens of a task that are counted in one go, and rows that go out in one go.
+BATCH, OUT = 1 << 21, 1 << 17
 
-#: Ids that no word has.
-UNKNOWN, START, END = 0, 1, 2
+#: Ids that no word has, and how many words the models allow for that no text has.
+START, END = 1, 2
+UNSEEN = 1
 _PART = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
 
 def word_ids(text: str | None) -> np.ndarray:
-    """XXH32 of each word, 3 at least."""
+    """XXH64 of each word as a signed number, never START or END."""
     w = (text or "").lower().encode("utf-8", "surrogatepass").translate(_PART).split()
-    return np.maximum(np.fromiter(map(xxhash.xxh32_intdigest, w), np.int64, len(w)), END + 1)
+    ids = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w)).view(np.int64)
+    return np.where((ids == START) | (ids == END), END + 1, ids)
 
 
-def pair_ids(ids: np.ndarray, vocab: np.ndarray) -> np.ndarray:
-    """Pairs of <s> w1 ... wn </s>, the id before in the upper 32 bits; words that the sorted vocabulary lacks are unknown."""
-    at = np.minimum(np.searchsorted(vocab, ids), len(vocab) - 1)
-    known = np.concatenate([[START], np.where(vocab[at] == ids, ids, UNKNOWN), [END]])
-    return known[:-1] << 32 | known[1:]
+def pair_ids(ids: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of <s> w1 ... wn </s>: their ids, all words, and the words' numbers in the sorted head (-1: none).
+
+    Two numbers make an id that is not negative, the number before in the upper 32 bits; other pairs have a negative hash of 63 bits.
+    """
+    w = np.concatenate([[START], ids, [END]])
+    at = np.minimum(np.searchsorted(head, w), len(head) - 1)
+    n = np.where(head[at] == w, at, -1)
+    g = n[:-1] << 32 | n[1:]
+    rare = (n[:-1] < 0) | (n[1:] < 0)
+    if rare.any():
+        u = w.view(np.uint64)
+        x = u[:-1][rare] * np.uint64(0x9E3779B97F4A7C15)
+        x = ((x ^ x >> np.uint64(32)) + u[1:][rare]) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        g[rare] = (x ^ x >> np.uint64(32) | np.uint64(1 << 63)).view(np.int64)
+    return g, w, n
 
 
 def _counter(name: str, of):
@@ -83,57 +99,109 @@ def _with_bounds(text: str | None) -> np.ndarray:
     return np.concatenate([ids, [START, END]]) if len(ids) else ids
 
 
-def _losses(rows: DataFrame, vocab: DataFrame, totals: tuple[int, int], size: int) -> DataFrame:
-    """(g, t, b, ...) and lt, lb: bits of the pair's second word under either model."""
-    side = lambda p: F.broadcast(vocab.select(F.col("w").alias(f"{p}w"), F.col("t").alias(f"{p}t"), F.col("b").alias(f"{p}b")))  # noqa: E731 - VOCAB rows at most
-    rows = rows.join(side("p"), F.shiftrightunsigned("g", 32) == F.col("pw")).join(side("o"), F.col("g").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")) == F.col("ow"))
+def _losses(rows: DataFrame, totals: tuple[int, int], size: int) -> DataFrame:
+    """rows with lt, lb: bits of a pair's second word under either model, from the counts of the pair (t, b), its first word (pt, pb) and its second (ot, ob)."""
 
     def bits(k: str, total: int) -> Column:
         one = (F.col(f"o{k}") + ADD) / (total + ADD * size)
         return -F.log2(F.when(F.col(f"p{k}") > 0, MIX * F.col(k) / F.col(f"p{k}") + (1 - MIX) * one).otherwise(one))
 
-    return rows.withColumn("lt", bits("t", totals[0])).withColumn("lb", bits("b", totals[1])).drop("pw", "pt", "pb", "ow", "ot", "ob")
+    return rows.withColumn("lt", bits("t", totals[0])).withColumn("lb", bits("b", totals[1])).drop("pt", "pb", "ot", "ob")
+
+
+def _head_losses(top: pa.Table, counts: np.ndarray, totals: tuple[int, int], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted ids of pairs of numbered words, and their losses under either model."""
+    g = top["g"].to_numpy().astype(np.int64)
+    order = np.argsort(g)
+    g, out = g[order], []
+    for k, name in enumerate("tb"):
+        before, one = counts[k, g >> 32], (counts[k, g & 0xFFFFFFFF] + ADD) / (totals[k] + ADD * size)
+        out.append(-np.log2(np.where(before > 0, MIX * top[name].to_numpy()[order] / np.maximum(before, 1) + (1 - MIX) * one, one)))
+    return g, np.array(out).reshape(2, -1)
 
 
 def _scorer(shared):
-    """mapInArrow function (doc_id, th, text, target) -> what broadcast pairs add up to (a row a document, occ 0), and its other pairs."""
+    """mapInArrow function (doc_id, th, text, target) -> what broadcast pairs add up to (a row a document, occ 0), and its other pairs of numbered words."""
     names = ["doc_id", "th", "n_words", "ht", "hb", "g", "occ", "target"]
 
     def run(batches):
-        vocab, head, losses = shared.value
+        words, _, head, losses = shared.value
+        start = int(np.searchsorted(words, START)) << 32
+
+        def rows(batch, place, n_words, sums, gs, occs):
+            size = np.array([len(g) for g in gs])
+            total, own = int(size.sum()), np.zeros(int(size.sum()), bool)
+            own[np.concatenate([[0], np.cumsum(size)[:-1]]).astype(int)] = True
+            at = np.repeat(np.arange(len(size)), size)
+            sparse = lambda x, kind: pa.array(np.asarray(x)[at], kind, mask=~own)
+            s, pick = np.array(sums), pa.array(np.array(place)[at])
+            cols = [batch.column(0).take(pick), batch.column(1).take(pick), sparse(n_words, pa.int64()), sparse(s[:, 0], pa.float64()), sparse(s[:, 1], pa.float64())]
+            out = pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(gs)), pa.array(np.concatenate(occs)), batch.column(3).take(pick)], names)
+            return (out.slice(i, OUT) for i in range(0, total, OUT))
+
         for batch in batches:
-            doc, th, texts, target = (c.to_pylist() for c in batch.columns)
-            n_words, sums, gs, occs, size = [], [], [], [], []
-            for text, h in zip(texts, th, strict=True):
-                ids = word_ids(text)
-                g, occ = np.unique(pair_ids(ids, vocab), return_counts=True) if len(ids) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            held, n = ([], [], [], [], []), 0
+            for i, (text, h) in enumerate(zip(batch.column(2), batch.column(1).to_pylist(), strict=True)):
+                ids = word_ids(text.as_py())
+                g, occ = np.unique(pair_ids(ids, words)[0], return_counts=True) if len(ids) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                g, occ = g[g >= 0], occ[g >= 0]
                 at = np.minimum(np.searchsorted(head, g), max(len(head) - 1, 0))
                 hot = head[at] == g if len(head) else np.zeros(len(g), bool)
-                sums.append(losses[:, at[hot]] @ occ[hot] if hot.any() else np.zeros(2))
-                n_words.append(len(ids))
-                # the document's own row goes where its text's hash says: vocabulary ids, so the joins keep it
-                gs += [np.array([START << 32 | END]), g[~hot]]
-                occs += [np.zeros(1, np.int64), occ[~hot]]
-                size.append(1 + len(g) - int(hot.sum()))
-                gs[-2][0] = g[h % len(g)] if len(g) else START << 32 | END
-            size = np.array(size)
-            first = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(int)
-            total = int(size.sum())
-            own = np.zeros(total, bool)
-            own[first] = True
-            place = np.repeat(np.arange(len(size)), size)
-            sparse = lambda x, kind: pa.array(np.asarray(x)[place], kind, mask=~own)
-            s = np.array(sums).reshape(-1, 2)
-            pick = pa.array(place)
-            cols = [batch.column(0).take(pick), batch.column(1).take(pick), sparse(n_words, pa.int64()), sparse(s[:, 0], pa.float64()), sparse(s[:, 1], pa.float64())]
-            cols += [pa.array(np.concatenate(gs)), pa.array(np.concatenate(occs)), batch.column(3).take(pick)]
-            out = pa.RecordBatch.from_arrays(cols, names)
-            yield from (out.slice(i, 1 << 17) for i in range(0, total, 1 << 17))
+                # the document's own row goes where its text's hash says: to a pair of numbers, so the joins keep it
+                new = (i, len(ids), losses[:, at[hot]] @ occ[hot] if hot.any() else np.zeros(2), np.concatenate([[start | h % len(words)], g[~hot]]), np.concatenate([[0], occ[~hot]]))
+                for column, x in zip(held, new, strict=True):
+                    column.append(x)
+                n += len(new[3])
+                if n >= OUT:
+                    yield from rows(batch, *held)
+                    held, n = ([], [], [], [], []), 0
+            if n:
+                yield from rows(batch, *held)
 
     return run
 
 
-def lm_scores(docs: DataFrame, labels: DataFrame, head: int = HEAD) -> DataFrame:
+def _rare(shared):
+    """mapInArrow function (doc_id, th, text, target) -> its pairs with a word that has no number; a word that has one brings its counts, and its key is the pair's id."""
+    names = ["doc_id", "th", "target", "g", "occ", "p", "pt", "pb", "o", "ot", "ob"]
+
+    def run(batches):
+        words, counts, _, _ = shared.value
+
+        def rows(batch, place, size, found):
+            g, occ, p, np_, o, no = (np.concatenate(x) for x in zip(*found, strict=True))
+            pick = pa.array(np.repeat(place, size))
+            sides = []
+            for w, n in ((p, np_), (o, no)):
+                sides += [pa.array(np.where(n < 0, w, g)), *(pa.array(c[n], mask=n < 0) for c in counts)]
+            out = pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), batch.column(3).take(pick), pa.array(g), pa.array(occ), *sides], names)
+            return (out.slice(i, OUT) for i in range(0, len(g), OUT))
+
+        for batch in batches:
+            place, size, found = [], [], []
+            for i, text in enumerate(batch.column(2)):
+                ids = word_ids(text.as_py())
+                if not len(ids):
+                    continue
+                g, w, n = pair_ids(ids, words)
+                at = np.flatnonzero(g < 0)
+                if not len(at):
+                    continue
+                u, first, occ = np.unique(g[at], return_index=True, return_counts=True)
+                first = at[first]
+                place.append(i)
+                size.append(len(u))
+                found.append((u, occ, w[first], n[first], w[first + 1], n[first + 1]))
+                if sum(size) >= OUT:
+                    yield from rows(batch, place, size, found)
+                    place, size, found = [], [], []
+            if place:
+                yield from rows(batch, place, size, found)
+
+    return run
+
+
+def lm_scores(docs: DataFrame, labels: DataFrame, head: int = HEAD, words: int = WORDS) -> DataFrame:
     """(doc_id, n_words, target_bits, background_bits, score) for each row.
 
     Target documents are those with labels.quality = 1, background is all documents.
@@ -141,6 +209,7 @@ def lm_scores(docs: DataFrame, labels: DataFrame, head: int = HEAD) -> DataFrame
     bits (to 9 places); lower is nearer to the target. Null texts are empty; without a
     word all are 0. With no target document the target model is uniform. Repeated rows
     count, and are returned, as often as they come. An empty table gives an empty table.
+    Scores don't depend on head and words.
     """
     from .common import cut
 
@@ -149,26 +218,48 @@ def lm_scores(docs: DataFrame, labels: DataFrame, head: int = HEAD) -> DataFrame
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("t_id"), "left")
     rows = rows.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text", F.col("t_id").isNotNull().alias("target"))
 
+    spark, is_word = docs.sparkSession, ~F.col("w").isin(START, END)
     every = cut(_counts(rows, "w", _with_bounds), "words")
-    totals = every.where(F.col("w") != START).agg(*(F.coalesce(F.sum(k), F.lit(0)) for k in ("t", "b"))).first()
-    keep = (F.col("b") * VOCAB > totals[1]) | (F.col("w") <= END)
-    zero = docs.sparkSession.createDataFrame([(w, 0, 0) for w in (UNKNOWN, START, END)], "w long, t long, b long")
-    vocab = every.union(zero).groupBy(F.when(keep, F.col("w")).otherwise(UNKNOWN).alias("w")).agg(F.sum("t").alias("t"), F.sum("b").alias("b")).checkpoint()
-    known = np.sort(vocab.select("w").toPandas()["w"].to_numpy(np.int64))  # VOCAB + 3 at most
-    shared_vocab = docs.sparkSession.sparkContext.broadcast(known)
+    *totals, n_words = every.where(F.col("w") != START).agg(*(F.coalesce(F.sum(k), F.lit(0)) for k in ("t", "b")), F.count_if(is_word)).first()
+    size = n_words + 2 + UNSEEN
+    least, n_head = None, 0
+    for b, n in sorted(every.where(is_word).groupBy("b").count().collect(), reverse=True):  # the square root of twice the tokens at most
+        if n_head + n > words:
+            break
+        least, n_head = b, n_head + n
+    known = every.where(~is_word | (F.col("b") >= least) if least is not None else ~is_word)
+    zero = spark.createDataFrame([(w, 0, 0) for w in (START, END)], "w long, t long, b long")
+    known = known.union(zero).groupBy("w").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toArrow().sort_by("w")  # WORDS + 2 at most
+    ids, counts = known["w"].to_numpy().copy(), np.array([known["t"].to_numpy(), known["b"].to_numpy()])
+    numbers = cut(spark.createDataFrame(pa.table({"i": np.arange(len(ids)), "t": counts[0], "b": counts[1]})), "numbers")
+    shared_ids = spark.sparkContext.broadcast(ids)
 
     def pairs_of(text: str | None) -> np.ndarray:
         found = word_ids(text)
-        return pair_ids(found, shared_vocab.value) if len(found) else found
+        return pair_ids(found, shared_ids.value)[0] if len(found) else found
 
     pairs = cut(_counts(rows, "g", pairs_of).where("b > 1"), "pairs")
-    hot = F.col("b") * head > totals[1]
-    top = _losses(pairs.where(hot), vocab, totals, len(known)).select("g", "lt", "lb").toPandas().sort_values("g")  # HEAD at most
-    shared = docs.sparkSession.sparkContext.broadcast((known, top["g"].to_numpy(np.int64), top[["lt", "lb"]].to_numpy(np.float64).T.copy()))
-
-    own = rows.select("doc_id", "th", "text", "target").mapInArrow(_scorer(shared), "doc_id long, th long, n_words long, ht double, hb double, g long, occ long, target boolean")
-    met = own.join(pairs.where(~hot), "g", "left").withColumn("t", F.coalesce("t", F.col("target").cast("long"))).withColumn("b", F.coalesce("b", F.lit(1)))
-    met = _losses(met, vocab, totals, len(known))
+    hot = (F.col("b") * head > totals[1]) & (F.col("g") >= 0)
+    top = _head_losses(pairs.where(hot).select("g", "t", "b").toArrow(), counts, totals, size)  # HEAD at most
+    shared = spark.sparkContext.broadcast((ids, counts, *top))
+
+    rows = rows.select("doc_id", "th", "text", "target")
+    own = rows.mapInArrow(_scorer(shared), "doc_id long, th long, n_words long, ht double, hb double, g long, occ long, target boolean")
+    seen = lambda k: (F.coalesce(f"{k}t", F.col("target").cast("long")).alias(f"{k}t"), F.coalesce(f"{k}b", F.lit(1)).alias(f"{k}b"))
+    side = lambda p: F.broadcast(numbers.select(F.col("i").alias(f"{p}i"), F.col("t").alias(f"{p}t"), F.col("b").alias(f"{p}b")))  # noqa: E731 - WORDS + 2 rows at most
+    met = own.join(pairs.where((F.col("g") >= 0) & ~hot), "g", "left").select("doc_id", "th", "n_words", "ht", "hb", "g", "occ", *seen(""))
+    met = met.join(side("p"), F.shiftright("g", 32) == F.col("pi")).join(side("o"), F.col("g").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")) == F.col("oi"))
+    met = _losses(met, totals, size).select("doc_id", "th", "n_words", "ht", "hb", "occ", "lt", "lb")
+    if n_head < n_words:
+        rare = rows.mapInArrow(_rare(shared), "doc_id long, th long, target boolean, g long, occ long, p long, pt long, pb long, o long, ot long, ob long")
+        rare = rare.join(pairs.where("g < 0"), "g", "left").select("doc_id", "th", "target", "occ", *seen(""), "p", "pt", "pb", "o", "ot", "ob")
+        often = every.where(is_word & (F.col("b") > 1) & (F.col("b") < least if least is not None else F.lit(True)))
+        for k in "po":
+            counted = often.select(F.col("w").alias(k), F.col("t").alias("wt"), F.col("b").alias("wb"))
+            rare = rare.join(counted, k, "left").withColumn(f"{k}t", F.coalesce(f"{k}t", "wt")).withColumn(f"{k}b", F.coalesce(f"{k}b", "wb")).drop("wt", "wb", k)
+        rare = _losses(rare.select("doc_id", "th", "occ", "t", "b", *seen("p"), *seen("o")), totals, size)
+        none = lambda k, kind: F.lit(None).cast(kind).alias(k)
+        met = met.unionByName(rare.select("doc_id", "th", none("n_words", "long"), none("ht", "double"), none("hb", "double"), "occ", "lt", "lb"))
     total = lambda k: F.sum(F.col("occ") * F.col(f"l{k}") + F.coalesce(f"h{k}", F.lit(0.0)))
     sums = met.groupBy("doc_id", "th").agg(F.count("n_words").alias("m"), F.max("n_words").alias("n_words"), total("t").alias("t"), total("b").alias("b"))
     mean = lambda k: F.when(F.col("n_words") > 0, F.round(F.col(k) / F.col("m") / (F.col("n_words") + 1), 9)).otherwise(0.0)

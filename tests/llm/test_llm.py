@@ -290,6 +290,32 @@ def test_lm_scores_equal_brute_force(spark, head):
     assert max(r.score for r in got if r.doc_id == 1) < min(r.score for r in got if r.doc_id == 2)
 
 
+def test_lm_scores_keep_every_word_above_a_million_tokens(spark):
+    """A word seen twice among more than 2^20 tokens has its own counts, and what is broadcast changes no score."""
+    common = " ".join(["w"] * 110_000)
+    rows = [(i, common, "s") for i in range(10)] + [(20, "rareone raretwo rareone", "s"), (21, "rarethree w rarefour", "s"), (22, "rarethree w", "s")]
+    labels = spark.createDataFrame([(20, 1, 0)], "doc_id long, quality int, toxic int")
+    got = lmscore.lm_scores(docs(spark, rows), labels)
+    some = {r.doc_id: r for r in got.collect()}
+    n, size = 1_100_000 + 8 + 13, 5 + 3
+    one = lambda c, total: (c + lmscore.ADD) / (total + lmscore.ADD * size)
+    loss = lambda pair, before, c, total: -np.log2(lmscore.MIX * pair / before + (1 - lmscore.MIX) * one(c, total))
+    steps = [(1, 13, 2), (1, 2, 1), (1, 1, 2), (1, 2, 13)]
+    assert abs(some[20].background_bits - sum(loss(*x, n) for x in steps) / 4) < 1e-6
+    assert abs(some[20].target_bits - sum(loss(*x, 4) for x in [(1, 1, 2), (1, 2, 1), (1, 1, 2), (1, 2, 1)]) / 4) < 1e-6
+    assert max(abs(some[r.doc_id].score - r.score) for words in (0, 1, 2) for r in lmscore.lm_scores(docs(spark, rows), labels, words=words).collect()) < 1e-8
+
+
+@pytest.mark.parametrize("head, words", [(lmscore.HEAD, 0), (3, 2), (1, 5)])
+def test_lm_scores_do_not_depend_on_what_is_broadcast(spark, head, words):
+    rows = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = rows.unionByName(rows.limit(20))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    flat = lambda df: sorted((r.doc_id, r.n_words, r.target_bits, r.background_bits) for r in df.collect())
+    for a, b in zip(flat(lmscore.lm_scores(rows, labels)), flat(lmscore.lm_scores(rows, labels, head, words)), strict=True):
+        assert a[:2] == b[:2] and np.allclose(a[2:], b[2:], atol=1e-7)
+
+
 def test_lm_scores_of_awkward_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert lmscore.lm_scores(mixed(spark), labels).count() == 8 and lmscore.lm_scores(mixed(spark).where("false"), labels).count() == 0
