@@ -170,6 +170,15 @@ def test_main_text(spark):
     assert got[2] == "Text 2 More 2 andand" and got[9] == "" and got[10] == "H&M One twothree four Five"
 
 
+@pytest.mark.parametrize("around", ["div class='content with-sidebar'", "div class='no-sidebar'", "div id='page-widget'", "form action='/'", "section class='share_menu' role=''"])
+def test_layout_containers_keep_their_article(around):
+    tag = around.split()[0]
+    page = f"<{around}><div class='ad'>Buy</div><article><h1>Head</h1><p>Text</p><div class='comments'>No</div></article><aside>Side</aside></{tag}>"
+    assert wrapper.main_text(page, None) == "Head Text"
+    assert wrapper.main_text(page + "<div class='related'><article>Other</article></div>", None).startswith("Head Text")
+    assert wrapper.main_text("<main><p>Main</p></main><div class='related-posts'><article>Other</article></div>", None) == "Main"
+
+
 def test_wrapper_decides_in_articles(spark):
     """What all articles of a host hold is template; a host of copies keeps its text; tokens of repeats in repeats have their slot."""
     page = "<nav>Menu {0}</nav><article><div>Read our terms</div><h1>Head {0}</h1><p>Text {0}</p><div>All rights</div></article>"
