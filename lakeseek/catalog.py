@@ -373,8 +373,14 @@ def dedupe_queries(spark, sf_dir):
 
 @query(f"WITH {_TURNS}, r AS (SELECT doc_id, chunk_id, row_number() OVER (PARTITION BY doc_id ORDER BY turn) AS rank FROM (SELECT conv_id::VARCHAR AS doc_id, conv_id || '-' || turn AS chunk_id, turn FROM conversations)) SELECT chunk_id, round(1.0 / rank, 6)::DOUBLE AS score FROM r WHERE doc_id = (SELECT min(conv_id)::VARCHAR FROM conversations) AND rank <= 8")
 def fallback_doc_chunks(spark, sf_dir):
-    first = table(spark, sf_dir, "conversations").agg(F.min("conv_id")).first()[0]
-    return retrieve.fallback_chunks(turns(spark, sf_dir), str(first), 8).select("chunk_id", F.round("score", 6).alias("score"))
+    first = table(spark, sf_dir, "conversations").agg(F.min("conv_id").cast("string").alias("doc_id")).withColumn("qid", F.lit("q"))
+    return retrieve.fallback_chunks(turns(spark, sf_dir).drop("qid"), first, 8).select("chunk_id", F.round("score", 6).alias("score"))
+
+
+@query("WITH r AS (SELECT conv_id::VARCHAR AS qid, conv_id || '-' || turn AS chunk_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, conv_id || '-' || turn) AS rank FROM conversations) SELECT qid, chunk_id, round(1.0 / rank, 6)::DOUBLE AS score FROM r WHERE rank <= 8")
+def fallback_each_doc(spark, sf_dir):
+    rows = turns(spark, sf_dir).drop("qid")
+    return retrieve.fallback_chunks(rows, rows.select("doc_id", F.col("doc_id").alias("qid")).distinct(), 8).select("qid", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT d.doc_id, d.lang, l.quality FROM documents d LEFT JOIN (SELECT DISTINCT doc_id, quality FROM labels) l USING (doc_id) WHERE d.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")

@@ -44,13 +44,21 @@ def hydrate(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return chunks.join(lexical.small(hits), "chunk_id")
 
 
-def fallback_chunks(chunks: DataFrame, doc_id: str, k: int, by: str = "position") -> DataFrame:
-    """The first k chunks of a document, scored 1 / place."""
-    w = Window.partitionBy("doc_id").orderBy(by)
-    rows = chunks.where(F.col("doc_id") == doc_id).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def fallback_chunks(chunks: DataFrame, requests: DataFrame, k: int, by: str = "position") -> DataFrame:
+    """requests (qid, doc_id and, if any, qcorpus) -> the first k chunks of each one's document, scored 1 / place."""
+    w = Window.partitionBy("qid").orderBy(by, "chunk_id")
+    rows = chunks.join(lexical.small(requests), "doc_id")
+    rows = rows.where("qcorpus = '' OR qcorpus = corpus") if "qcorpus" in requests.columns else rows
+    rows = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return rows.withColumn("score", 1.0 / F.col("rank"))
 
 
+def without_hits(queries: DataFrame, hits: DataFrame, doc_id: str) -> DataFrame:
+    """(qid, qcorpus, doc_id) of queries that have no hit."""
+    asked = queries.select("qid", F.coalesce("corpus", F.lit("")).alias("qcorpus"), F.lit(doc_id).alias("doc_id")).distinct()
+    return asked.join(hits.select("qid").distinct(), "qid", "left_anti")
+
+
 def min_score_gate(hits: DataFrame, least: float) -> DataFrame:
     """All hits of a query, or none if its best is below the least."""
     return hits.withColumn("__top", F.max("score").over(Window.partitionBy("qid"))).where(F.col("__top") >= least).drop("__top")
@@ -71,7 +79,8 @@ def retrieve(index: Index, queries: DataFrame, p: RetrieveParams = RetrieveParam
     Lists are fused by id, then joined to chunks; short texts weigh less; articles named
     together are added; legal hits reranked. The cap per document comes before the
     filters by document and article, the limit after them, and the gate last, on the
-    best score. A query without hits has no row. In rrf mode scores are of another
+    best score. A query without hits has no row, or the first chunks of the document
+    where one is asked for. In rrf mode scores are of another
     order, so the gate is off there.
     """
     q = queries.select("qid", F.col("text").alias("query"), F.coalesce("corpus", F.lit("")).alias("qcorpus"))
@@ -89,12 +98,15 @@ def retrieve(index: Index, queries: DataFrame, p: RetrieveParams = RetrieveParam
     rows = top_k(rows, p.top_k)
     if p.fusion == "weighted" and p.min_score > 0:
         rows = min_score_gate(rows, p.min_score)
+    if p.doc_id:
+        columns = ["qid", "rank", "score", *index.chunks.columns]
+        rows = rows.select(columns).unionByName(fallback_chunks(index.chunks, without_hits(queries, rows, p.doc_id), p.top_k).select(columns))
     section = F.when(F.col("title") != "", F.col("title")).otherwise(F.col("section_path"))
     return rows.select("qid", "rank", "chunk_id", "doc_id", "score", "corpus", section.alias("section"), "doc_title", "section_path", "article")
 
 
 def retrieve_variants(index: Index, variants: DataFrame, p: RetrieveParams = RetrieveParams()) -> DataFrame:
-    """(qid, variant, text, corpus) -> (qid, chunk_id, score, rank): each variant ranked on its own (12 hits or more), fused by rank; gated on variant 0's best score."""
+    """(qid, variant, text, corpus) -> (qid, chunk_id, score, rank): each variant ranked on its own (12 hits or more), fused by rank; gated on variant 0's best score. A query without hits has the first chunks of the document where one is asked for."""
     own = F.concat_ws("\u0001", F.col("qid").cast("string"), F.col("variant").cast("string"))
     keys = variants.select(own.alias("qid"), "text", "corpus")
     wide = RetrieveParams(**{**p.__dict__, "top_k": max(p.top_k, 12), "min_score": 0.0})
@@ -102,7 +114,11 @@ def retrieve_variants(index: Index, variants: DataFrame, p: RetrieveParams = Ret
     back = variants.select(own.alias("k"), F.col("qid").alias("of"), "variant")
     rows = hits.join(lexical.small(back), F.col("qid") == F.col("k")).select(F.col("of").alias("qid"), "variant", "chunk_id", "rank", "score")
     good = rows.where("variant = 0").groupBy("qid").agg(F.max("score").alias("top")).where(F.col("top") >= p.min_score).select("qid")
-    return top_k(fusion.multi_query_rrf(rows.join(good, "qid", "left_semi")), p.top_k)
+    hits = top_k(fusion.multi_query_rrf(rows.join(good, "qid", "left_semi")), p.top_k)
+    if p.doc_id:
+        more = fallback_chunks(index.chunks, without_hits(variants.where("variant = 0"), hits, p.doc_id), p.top_k)
+        hits = hits.unionByName(more.select(hits.columns))
+    return hits
 
 
 def hyde_boost(hits: DataFrame, passage_hits: DataFrame, k: int) -> DataFrame:

@@ -78,6 +78,26 @@ def test_gate_and_hyde(spark):
     assert [retrieve.wants_hyde(0.9, True), retrieve.wants_hyde(0.5), retrieve.wants_hyde(0.9)] == [True, True, False]
 
 
+def test_fallback_of_an_asked_document(spark):
+    import duckdb
+
+    from lakeseek import catalog
+
+    c = spark.createDataFrame([chunk(f"a{i}", f"laws of motion {i}", doc="a", corpus="x", pos=i) for i in range(5)] + [chunk("b", "natural selection", corpus="x")], CHUNK)
+    q = spark.createDataFrame([("q", "zzz", ""), ("r", "laws", ""), ("s", "zzz", "y")], "qid string, text string, corpus string")
+    p = retrieve.RetrieveParams(doc_id="a", top_k=3, min_score=0.0)
+    got = retrieve.retrieve(index.build(c), q, p).collect()
+    assert [(r.rank, r.chunk_id, round(r.score, 6)) for r in sorted(got, key=lambda r: r.rank) if r.qid == "q"] == [(1, "a0", 1.0), (2, "a1", 0.5), (3, "a2", 0.333333)]
+    assert {r.qid for r in got} == {"q", "r"}
+    got = retrieve.retrieve_variants(index.build(c), q.withColumn("variant", F.lit(0)), p).collect()
+    assert sorted(r.chunk_id for r in got if r.qid == "q") == ["a0", "a1", "a2"] and not [r for r in got if r.qid == "s"]
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    for name in ("fallback_doc_chunks", "fallback_each_doc"):
+        got, want = catalog.QUERIES[name](spark, sf), con.sql(catalog.ORACLE_SQL[name])
+        assert sorted(map(tuple, got.collect())) == sorted(want.fetchall()) and want.columns == got.columns
+
+
 def test_eval_scores(spark):
     gold = spark.createDataFrame([("g", [], ["d2"], [], False, False), ("n", [], [], [], False, True), ("s", [], [], ["ARTICLE 5", "ARTICLE 7"], True, False)], "id string, expected_chunk_ids array<string>, expected_doc_ids array<string>, expected_sections array<string>, match_all_sections boolean, expect_no_results boolean")
     hits = spark.createDataFrame([("g", "c1", "d1", 1, "", ""), ("g", "c2", "d2", 2, "", ""), ("s", "c5", "d", 1, "ARTICLE 5", "5"), ("s", "c6", "d", 3, "ARTICLE 7", "7")], "qid string, chunk_id string, doc_id string, rank int, section string, article string")
