@@ -1,34 +1,36 @@
 """Cross-entropy difference: target and background bigram models over one vocabulary.
 
-A text is <s> w1 ... wn </s>. The vocabulary is every word, known by its XXH64, at any
-size of corpus. Word and pair counts are exact over all documents, so both tables grow
-with the corpus. What is broadcast changes where a count is looked up, never a score:
-
-- the most frequent words (WORDS at most) have numbers and are broadcast with their
-  counts; pairs of two such words with more than 1 / HEAD of all tokens (HEAD at most)
-  with their losses, which takes the hot keys out of the joins;
-- all other pairs of numbered words are joined to the pair counts by shuffle, once a
-  document and pair; a pair that the table lacks was seen once, in this document;
-- pairs with a word that has no number are joined so too, and then to the counts of
-  their words; a word that the table lacks was seen once, in this document.
+A text is <s> w1 ... wn </s>. The vocabulary is every word, known by its XXH64, and
+word and pair counts are exact over all documents, so what is gathered grows with the
+corpus at any size. Nothing of the models is broadcast or brought to the driver:
+
+- texts are tokenised once, into blocks of BLOCK tokens, written to the shared folder:
+  a block has its own word numbers, and how long each document is;
+- a block asks once for each different word and pair that it has, whatever its count
+  there. Questions are sorted keys, dealt by key range into buckets, so a word that is
+  a third of all tokens is one question a block;
+- a bucket adds up what the blocks say and answers each block with the counts that are
+  more than its own; what has no answer was seen in this block only;
+- each block, met by its answers, scores its documents.
 """
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds on the words and on the pairs that are broadcast.
-WORDS, HEAD = 1 << 18, 1 << 20
+#: Tokens of a block, and questions of a bucket, about.
+BLOCK = 1 << 21
 #: Weight of the bigram share against the smoothed word share, and the smoothing.
 MIX, ADD = 0.6, 0.1
 #: Target ids up to this number are broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-#: Tokens of a task that are counted in one go, and rows that go out in one go.
-BATCH, OUT = 1 << 21, 1 << 17
 
 #: Ids that no word has, and how many words the models allow for that no text has.
 START, END = 1, 2
@@ -37,171 +39,203 @@ _PART = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
 
 def word_ids(text: str | None) -> np.ndarray:
-    """XXH64 of each word as a signed number, never START or END."""
+    """XXH64 of each word, never START or END."""
     w = (text or "").lower().encode("utf-8", "surrogatepass").translate(_PART).split()
-    ids = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w)).view(np.int64)
-    return np.where((ids == START) | (ids == END), END + 1, ids)
+    ids = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
+    return np.where(ids <= END, np.uint64(END + 1), ids)
 
 
-def pair_ids(ids: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of <s> w1 ... wn </s>: their ids, all words, and the words' numbers in the sorted head (-1: none).
+def pair_ids(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit ids of pairs of word ids."""
+    x = a * np.uint64(0x9E3779B97F4A7C15)
+    x = ((x ^ x >> np.uint64(32)) + b) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ x >> np.uint64(32)
 
-    Two numbers make an id that is not negative, the number before in the upper 32 bits; other pairs have a negative hash of 63 bits.
-    """
-    w = np.concatenate([[START], ids, [END]])
-    at = np.minimum(np.searchsorted(head, w), len(head) - 1)
-    n = np.where(head[at] == w, at, -1)
-    g = n[:-1] << 32 | n[1:]
-    rare = (n[:-1] < 0) | (n[1:] < 0)
-    if rare.any():
-        u = w.view(np.uint64)
-        x = u[:-1][rare] * np.uint64(0x9E3779B97F4A7C15)
-        x = ((x ^ x >> np.uint64(32)) + u[1:][rare]) * np.uint64(0xD6E8FEB86659FD93)
-        x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-        g[rare] = (x ^ x >> np.uint64(32) | np.uint64(1 << 63)).view(np.int64)
-    return g, w, n
-
-
-def _counter(name: str, of):
-    """mapInArrow function (text, target) -> (name, t, b): what of(text) gives, counted for each BATCH of a task."""
-
-    def count(held: list[np.ndarray], target: list[bool]):
-        every = np.concatenate(held)
-        u, at = np.unique(every, return_inverse=True)
-        t = np.bincount(at, np.repeat(target, [len(x) for x in held]), len(u)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(t), pa.array(np.bincount(at, minlength=len(u)))], [name, "t", "b"])
+
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 up, as planes of as many bytes as the largest needs, compressed."""
+    x = np.ascontiguousarray(x).astype(np.uint64)
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    planes = x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return struct.pack("<BQ", width, len(x)) + (pa.compress(planes, "zstd", asbytes=True) if planes else b"")
+
+
+def unpack(data: bytes) -> np.ndarray:
+    width, n = struct.unpack_from("<BQ", data)
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, :width] = np.frombuffer(pa.decompress(data[9:], width * n, "zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.view(np.uint64).ravel()
+
+
+def _gaps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=np.zeros(1, x.dtype))
+
+
+_BLOCK = "block long, tokens long, doc_ids array<long>, lengths binary, target binary, vocabulary binary, stream binary"
+
+
+def _blocks(size: int):
+    """mapInArrow function (doc_id, text, target) -> blocks. Arrays of bytes: words a document; which are targets; its words, sorted; each word of the texts by its place there."""
+    schema = pa.schema([("block", pa.int64()), ("tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *((k, pa.binary()) for k in ("lengths", "target", "vocabulary", "stream"))])
 
     def run(batches):
-        held, target, n = [], [], 0
+        part, made = TaskContext.get().partitionId() << 32, 0
+        ids, target, words, n = [], [], [], 0
+
+        def block():
+            every = np.concatenate(words)
+            known, stream = np.unique(every, return_inverse=True)
+            row = [part + made], [len(every) + len(ids)], [ids], [pack(np.array([len(w) for w in words]))], [pack(np.array(target))], [pack(_gaps(known))], [pack(stream)]
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
+
         for batch in batches:
-            for text, is_target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = of(text)
-                if len(ids):
-                    held.append(ids)
-                    target.append(is_target)
-                    n += len(ids)
-                if n >= BATCH:
-                    yield count(held, target)
-                    held, target, n = [], [], 0
-        if held:
-            yield count(held, target)
+            for i, text, t in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                ids.append(i)
+                target.append(t)
+                words.append(word_ids(text.as_py()))
+                n += len(words[-1]) + 1
+                if n >= size:
+                    yield block()
+                    made += 1
+                    ids, target, words, n = [], [], [], 0
+        if ids:
+            yield block()
 
     return run
 
 
-def _counts(rows: DataFrame, name: str, of) -> DataFrame:
-    found = rows.select("text", "target").mapInArrow(_counter(name, of), f"{name} long, t long, b long")
-    return found.groupBy(name).agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+class Block:
+    """What a block asks for: sorted keys of its words and of its pairs, with their counts there."""
+
+    def __init__(self, lengths: bytes, target: bytes, vocabulary: bytes, stream: bytes):
+        self.lengths, self.target = unpack(lengths).astype(np.int64), unpack(target).astype(bool)
+        known = np.cumsum(unpack(vocabulary), dtype=np.uint64)
+        has = self.lengths > 0  # a text without a word has no start and no end
+        n, target = self.lengths[has] + 1, self.target[has]
+        self.words = np.concatenate([np.array([START, END], np.uint64), known])  # sorted: no word is less
+        ends = np.cumsum(n) - 1
+        after = np.ones(int(n.sum()), np.int64)
+        inner = np.ones(len(after), bool)
+        inner[ends] = False
+        after[inner] = unpack(stream).astype(np.int64) + 2
+        before = np.concatenate([[0], after[:-1]]).astype(np.int64) if len(after) else after
+        before[ends[:-1] + 1] = 0
+        weight, docs = np.repeat(target, n), np.bincount([0] * len(n), target, 1) if len(n) else np.zeros(1)
+        self.word_b, self.word_t = np.bincount(after, minlength=len(self.words)), np.bincount(after, weight, len(self.words)).astype(np.int64)
+        self.word_b[0], self.word_t[0] = len(n), int(docs[0])
+        key = pair_ids(self.words[before], self.words[after])
+        self.pairs, first, self.at, self.pair_b = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        self.pair_t = np.bincount(self.at, weight, len(self.pairs)).astype(np.int64)
+        self.before, self.after = before[first], after[first]
+        self.first = ends - n + 1  # where each document that has words begins
+
+    def losses(self, totals: tuple[int, int], size: int) -> np.ndarray:
+        """Mean bits of each document under either model, from the counts that the block has by now."""
+        out, has = np.zeros((2, len(self.lengths))), self.lengths > 0
+        for k, (pair, word) in enumerate(((self.pair_t, self.word_t), (self.pair_b, self.word_b))):
+            before, one = word[self.before], (word[self.after] + ADD) / (totals[k] + ADD * size)
+            bits = -np.log2(np.where(before > 0, MIX * pair / np.maximum(before, 1) + (1 - MIX) * one, one))
+            if has.any():
+                out[k, has] = np.add.reduceat(bits[self.at], self.first) / (self.lengths[has] + 1)
+        return out
+
+
+def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the sorted keys part into buckets, which are equal ranges of keys."""
+    edges = (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(np.int64)
+
+
+def _ask(pairs: int, words: int):
+    """mapInArrow function blocks -> (bucket, block, keys, t, b): what each asks of the buckets. The buckets of words come after those of pairs."""
+    names = ["bucket", "block", "asked", "t", "b"]
 
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                block, *data = (batch.column(c)[r].as_py() for c in (0, 3, 4, 5, 6))
+                x = Block(*data)
+                rows = []
+                for keys, t, b, n, start in ((x.pairs, x.pair_t, x.pair_b, pairs, 0), (x.words, x.word_t, x.word_b, words, pairs)):
+                    cuts = _cuts(keys, n) if n else [0]
+                    rows += [(start + k, block, pack(_gaps(keys[i:j])), pack(t[i:j]), pack(b[i:j])) for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
 
-def _with_bounds(text: str | None) -> np.ndarray:
-    ids = word_ids(text)
-    return np.concatenate([ids, [START, END]]) if len(ids) else ids
+    return run
 
 
-def _losses(rows: DataFrame, totals: tuple[int, int], size: int) -> DataFrame:
-    """rows with lt, lb: bits of a pair's second word under either model, from the counts of the pair (t, b), its first word (pt, pb) and its second (ot, ob)."""
+_ASKED = "bucket long, block long, asked binary, t binary, b binary"
 
-    def bits(k: str, total: int) -> Column:
-        one = (F.col(f"o{k}") + ADD) / (total + ADD * size)
-        return -F.log2(F.when(F.col(f"p{k}") > 0, MIX * F.col(k) / F.col(f"p{k}") + (1 - MIX) * one).otherwise(one))
 
-    return rows.withColumn("lt", bits("t", totals[0])).withColumn("lb", bits("b", totals[1])).drop("pt", "pb", "ot", "ob")
+def _buckets(batches):
+    """(bucket, block, keys, t, b) sorted by bucket -> for each bucket, its blocks, keys, and what the keys add up to; holds one bucket."""
+    held: list[tuple] = []
 
+    def bucket():
+        asked = [np.cumsum(unpack(r[2]), dtype=np.uint64) for r in held]
+        t, b = ([unpack(r[k]).astype(np.int64) for r in held] for k in (3, 4))
+        keys, at = np.unique(np.concatenate(asked), return_inverse=True)
+        sums = [np.bincount(at, np.concatenate(x), len(keys)).astype(np.int64) for x in (t, b)]  # exact up to 2^53
+        return held[0][0], [r[1] for r in held], keys, np.split(at, np.cumsum([len(x) for x in asked])[:-1]), b, *sums
 
-def _head_losses(top: pa.Table, counts: np.ndarray, totals: tuple[int, int], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted ids of pairs of numbered words, and their losses under either model."""
-    g = top["g"].to_numpy().astype(np.int64)
-    order = np.argsort(g)
-    g, out = g[order], []
-    for k, name in enumerate("tb"):
-        before, one = counts[k, g >> 32], (counts[k, g & 0xFFFFFFFF] + ADD) / (totals[k] + ADD * size)
-        out.append(-np.log2(np.where(before > 0, MIX * top[name].to_numpy()[order] / np.maximum(before, 1) + (1 - MIX) * one, one)))
-    return g, np.array(out).reshape(2, -1)
+    for batch in batches:
+        for r in range(batch.num_rows):
+            row = tuple(c[r].as_py() for c in batch.columns)
+            if held and held[0][0] != row[0]:
+                yield bucket()
+                held.clear()
+            held.append(row)
+    if held:
+        yield bucket()
 
 
-def _scorer(shared):
-    """mapInArrow function (doc_id, th, text, target) -> what broadcast pairs add up to (a row a document, occ 0), and its other pairs of numbered words."""
-    names = ["doc_id", "th", "n_words", "ht", "hb", "g", "occ", "target"]
+def _totals(batches):
+    """Asked words -> (t, b, words): tokens of either model and different words, a row a bucket."""
+    for _, _, keys, _, _, t, b in _buckets(batches):
+        yield pa.RecordBatch.from_pydict({"t": [int(t[keys != START].sum())], "b": [int(b[keys != START].sum())], "words": [int((keys > END).sum())]})
 
-    def run(batches):
-        words, _, head, losses = shared.value
-        start = int(np.searchsorted(words, START)) << 32
-
-        def rows(batch, place, n_words, sums, gs, occs):
-            size = np.array([len(g) for g in gs])
-            total, own = int(size.sum()), np.zeros(int(size.sum()), bool)
-            own[np.concatenate([[0], np.cumsum(size)[:-1]]).astype(int)] = True
-            at = np.repeat(np.arange(len(size)), size)
-            sparse = lambda x, kind: pa.array(np.asarray(x)[at], kind, mask=~own)
-            s, pick = np.array(sums), pa.array(np.array(place)[at])
-            cols = [batch.column(0).take(pick), batch.column(1).take(pick), sparse(n_words, pa.int64()), sparse(s[:, 0], pa.float64()), sparse(s[:, 1], pa.float64())]
-            out = pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(gs)), pa.array(np.concatenate(occs)), batch.column(3).take(pick)], names)
-            return (out.slice(i, OUT) for i in range(0, total, OUT))
 
-        for batch in batches:
-            held, n = ([], [], [], [], []), 0
-            for i, (text, h) in enumerate(zip(batch.column(2), batch.column(1).to_pylist(), strict=True)):
-                ids = word_ids(text.as_py())
-                g, occ = np.unique(pair_ids(ids, words)[0], return_counts=True) if len(ids) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-                g, occ = g[g >= 0], occ[g >= 0]
-                at = np.minimum(np.searchsorted(head, g), max(len(head) - 1, 0))
-                hot = head[at] == g if len(head) else np.zeros(len(g), bool)
-                # the document's own row goes where its text's hash says: to a pair of numbers, so the joins keep it
-                new = (i, len(ids), losses[:, at[hot]] @ occ[hot] if hot.any() else np.zeros(2), np.concatenate([[start | h % len(words)], g[~hot]]), np.concatenate([[0], occ[~hot]]))
-                for column, x in zip(held, new, strict=True):
-                    column.append(x)
-                n += len(new[3])
-                if n >= OUT:
-                    yield from rows(batch, *held)
-                    held, n = ([], [], [], [], []), 0
-            if n:
-                yield from rows(batch, *held)
+_ANSWER = "block long, bucket long, more binary, t binary, b binary"
 
-    return run
 
+def _answer(batches):
+    """What blocks ask -> for each, which keys others have too (bits, in the order asked), and their counts over all blocks."""
+    names = [f.split()[0] for f in _ANSWER.split(", ")]
+    for bucket, blocks, _, places, own, t, b in _buckets(batches):
+        rows = []
+        for block, at, mine in zip(blocks, places, own, strict=True):
+            more = b[at] > mine
+            if more.any():
+                rows.append((block, bucket, np.packbits(more).tobytes(), pack(t[at[more]]), pack(b[at[more]])))
+        for i in range(0, len(rows), 100):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 100], strict=True)], names)
 
-def _rare(shared):
-    """mapInArrow function (doc_id, th, text, target) -> its pairs with a word that has no number; a word that has one brings its counts, and its key is the pair's id."""
-    names = ["doc_id", "th", "target", "g", "occ", "p", "pt", "pb", "o", "ot", "ob"]
 
-    def run(batches):
-        words, counts, _, _ = shared.value
+_SCORES = "doc_id long, n_words long, target_bits double, background_bits double, score double"
 
-        def rows(batch, place, size, found):
-            g, occ, p, np_, o, no = (np.concatenate(x) for x in zip(*found, strict=True))
-            pick = pa.array(np.repeat(place, size))
-            sides = []
-            for w, n in ((p, np_), (o, no)):
-                sides += [pa.array(np.where(n < 0, w, g)), *(pa.array(c[n], mask=n < 0) for c in counts)]
-            out = pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), batch.column(3).take(pick), pa.array(g), pa.array(occ), *sides], names)
-            return (out.slice(i, OUT) for i in range(0, len(g), OUT))
 
-        for batch in batches:
-            place, size, found = [], [], []
-            for i, text in enumerate(batch.column(2)):
-                ids = word_ids(text.as_py())
-                if not len(ids):
-                    continue
-                g, w, n = pair_ids(ids, words)
-                at = np.flatnonzero(g < 0)
-                if not len(at):
-                    continue
-                u, first, occ = np.unique(g[at], return_index=True, return_counts=True)
-                first = at[first]
-                place.append(i)
-                size.append(len(u))
-                found.append((u, occ, w[first], n[first], w[first + 1], n[first + 1]))
-                if sum(size) >= OUT:
-                    yield from rows(batch, place, size, found)
-                    place, size, found = [], [], []
-            if place:
-                yield from rows(batch, place, size, found)
+def _score(pairs: int, words: int, totals: tuple[int, int], size: int):
+    """Cogroup function: a block and its answers -> the scores of its documents."""
+
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        x = Block(*(blocks.column(k)[0].as_py() for k in ("lengths", "target", "vocabulary", "stream")))
+        cuts = {0: _cuts(x.pairs, pairs), pairs: _cuts(x.words, words)}
+        for bucket, more, t, b in zip(*(answers.column(k).to_pylist() for k in ("bucket", "more", "t", "b")), strict=True):
+            start = pairs if bucket >= pairs else 0
+            i, j = cuts[start][bucket - start : bucket - start + 2]
+            at = i + np.flatnonzero(np.unpackbits(np.frombuffer(more, np.uint8), count=j - i))
+            of_t, of_b = (x.word_t, x.word_b) if start else (x.pair_t, x.pair_b)
+            of_t[at], of_b[at] = unpack(t), unpack(b)
+        t, b = np.round(x.losses(totals, size), 9)
+        return pa.table({"doc_id": blocks.column("doc_ids")[0].values, "n_words": pa.array(x.lengths), "target_bits": t, "background_bits": b, "score": np.round(t - b, 9)})
 
     return run
 
 
-def lm_scores(docs: DataFrame, labels: DataFrame, head: int = HEAD, words: int = WORDS) -> DataFrame:
+def lm_scores(docs: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_words, target_bits, background_bits, score) for each row.
 
     Target documents are those with labels.quality = 1, background is all documents.
@@ -209,59 +243,20 @@ def lm_scores(docs: DataFrame, labels: DataFrame, head: int = HEAD, words: int =
     bits (to 9 places); lower is nearer to the target. Null texts are empty; without a
     word all are 0. With no target document the target model is uniform. Repeated rows
     count, and are returned, as often as they come. An empty table gives an empty table.
-    Scores don't depend on head and words.
+    Scores don't depend on block, the tokens that a task holds; a longer text is a block.
     """
     from .common import cut
 
     ids = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("t_id")).distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("t_id"), "left")
-    rows = rows.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text", F.col("t_id").isNotNull().alias("target"))
-
-    spark, is_word = docs.sparkSession, ~F.col("w").isin(START, END)
-    every = cut(_counts(rows, "w", _with_bounds), "words")
-    *totals, n_words = every.where(F.col("w") != START).agg(*(F.coalesce(F.sum(k), F.lit(0)) for k in ("t", "b")), F.count_if(is_word)).first()
-    size = n_words + 2 + UNSEEN
-    least, n_head = None, 0
-    for b, n in sorted(every.where(is_word).groupBy("b").count().collect(), reverse=True):  # the square root of twice the tokens at most
-        if n_head + n > words:
-            break
-        least, n_head = b, n_head + n
-    known = every.where(~is_word | (F.col("b") >= least) if least is not None else ~is_word)
-    zero = spark.createDataFrame([(w, 0, 0) for w in (START, END)], "w long, t long, b long")
-    known = known.union(zero).groupBy("w").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toArrow().sort_by("w")  # WORDS + 2 at most
-    ids, counts = known["w"].to_numpy().copy(), np.array([known["t"].to_numpy(), known["b"].to_numpy()])
-    numbers = cut(spark.createDataFrame(pa.table({"i": np.arange(len(ids)), "t": counts[0], "b": counts[1]})), "numbers")
-    shared_ids = spark.sparkContext.broadcast(ids)
-
-    def pairs_of(text: str | None) -> np.ndarray:
-        found = word_ids(text)
-        return pair_ids(found, shared_ids.value)[0] if len(found) else found
-
-    pairs = cut(_counts(rows, "g", pairs_of).where("b > 1"), "pairs")
-    hot = (F.col("b") * head > totals[1]) & (F.col("g") >= 0)
-    top = _head_losses(pairs.where(hot).select("g", "t", "b").toArrow(), counts, totals, size)  # HEAD at most
-    shared = spark.sparkContext.broadcast((ids, counts, *top))
-
-    rows = rows.select("doc_id", "th", "text", "target")
-    own = rows.mapInArrow(_scorer(shared), "doc_id long, th long, n_words long, ht double, hb double, g long, occ long, target boolean")
-    seen = lambda k: (F.coalesce(f"{k}t", F.col("target").cast("long")).alias(f"{k}t"), F.coalesce(f"{k}b", F.lit(1)).alias(f"{k}b"))
-    side = lambda p: F.broadcast(numbers.select(F.col("i").alias(f"{p}i"), F.col("t").alias(f"{p}t"), F.col("b").alias(f"{p}b")))  # noqa: E731 - WORDS + 2 rows at most
-    met = own.join(pairs.where((F.col("g") >= 0) & ~hot), "g", "left").select("doc_id", "th", "n_words", "ht", "hb", "g", "occ", *seen(""))
-    met = met.join(side("p"), F.shiftright("g", 32) == F.col("pi")).join(side("o"), F.col("g").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")) == F.col("oi"))
-    met = _losses(met, totals, size).select("doc_id", "th", "n_words", "ht", "hb", "occ", "lt", "lb")
-    if n_head < n_words:
-        rare = rows.mapInArrow(_rare(shared), "doc_id long, th long, target boolean, g long, occ long, p long, pt long, pb long, o long, ot long, ob long")
-        rare = rare.join(pairs.where("g < 0"), "g", "left").select("doc_id", "th", "target", "occ", *seen(""), "p", "pt", "pb", "o", "ot", "ob")
-        often = every.where(is_word & (F.col("b") > 1) & (F.col("b") < least if least is not None else F.lit(True)))
-        for k in "po":
-            counted = often.select(F.col("w").alias(k), F.col("t").alias("wt"), F.col("b").alias("wb"))
-            rare = rare.join(counted, k, "left").withColumn(f"{k}t", F.coalesce(f"{k}t", "wt")).withColumn(f"{k}b", F.coalesce(f"{k}b", "wb")).drop("wt", "wb", k)
-        rare = _losses(rare.select("doc_id", "th", "occ", "t", "b", *seen("p"), *seen("o")), totals, size)
-        none = lambda k, kind: F.lit(None).cast(kind).alias(k)
-        met = met.unionByName(rare.select("doc_id", "th", none("n_words", "long"), none("ht", "double"), none("hb", "double"), "occ", "lt", "lb"))
-    total = lambda k: F.sum(F.col("occ") * F.col(f"l{k}") + F.coalesce(f"h{k}", F.lit(0.0)))
-    sums = met.groupBy("doc_id", "th").agg(F.count("n_words").alias("m"), F.max("n_words").alias("n_words"), total("t").alias("t"), total("b").alias("b"))
-    mean = lambda k: F.when(F.col("n_words") > 0, F.round(F.col(k) / F.col("m") / (F.col("n_words") + 1), 9)).otherwise(0.0)
-    done = sums.select("doc_id", "n_words", mean("t").alias("target_bits"), mean("b").alias("background_bits"), F.explode(F.sequence(F.lit(1), F.col("m"))).alias("i"))
-    return done.select("doc_id", "n_words", "target_bits", "background_bits", F.round(F.col("target_bits") - F.col("background_bits"), 9).alias("score"))
+    blocks = cut(rows.select("doc_id", "text", F.col("t_id").isNotNull().alias("target")).mapInArrow(_blocks(block), _BLOCK), "lm-blocks")
+
+    buckets = max(1, -(-(blocks.agg(F.sum("tokens")).first()[0] or 0) // block))
+    few = -(-buckets // 4)  # a block has fewer words than pairs
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda asked: asked.repartition(parts, "bucket").sortWithinPartitions("bucket", "block")
+    *totals, n_words = dealt(blocks.mapInArrow(_ask(0, few), _ASKED)).mapInArrow(_totals, "t long, b long, words long").agg(*(F.coalesce(F.sum(k), F.lit(0)) for k in ("t", "b", "words"))).first()
+    answers = dealt(blocks.mapInArrow(_ask(buckets, few), _ASKED)).mapInArrow(_answer, _ANSWER)
+    score = _score(buckets, few, tuple(totals), n_words + 2 + UNSEEN)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, _SCORES)

@@ -282,9 +282,9 @@ def test_tiling_equals_brute_force(spark):
     assert [h.item_id for h in blocks] == [1]
 
 
-@pytest.mark.parametrize("head", [lmscore.HEAD, 3, 1])
-def test_lm_scores_equal_brute_force(spark, head):
-    """With all pairs broadcast, some, and none; repeated rows, null ids and texts among them."""
+@pytest.mark.parametrize("block", [lmscore.BLOCK, 7, 1])
+def test_lm_scores_equal_brute_force(spark, block):
+    """With one block, some, and one a document; repeated rows, null ids and texts among them."""
     rows = [(1, "good words here good words", "s"), (2, "bad noise bad noise there", "s"), (3, None, None), (4, "", "s"), (1, "good words here", "s"), (5, "one two, Three", None), (5, "one two, Three", None), (None, "here here", "s")]
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     cut = {i: ["<s>", *re.findall("[a-z]+", (t or "").lower()), "</s>"] for i, (_, t, _) in enumerate(rows)}
@@ -303,13 +303,13 @@ def test_lm_scores_equal_brute_force(spark, head):
     for i, (d, _, _) in enumerate(rows):
         w, target = cut.get(i), [x for j, x in cut.items() if rows[j][0] == 1]
         want[(d, len(w) - 2, bits(target, w), bits(cut.values(), w)) if w else (d, 0, 0.0, 0.0)] += 1
-    got = lmscore.lm_scores(docs(spark, rows), labels, head=head).collect()
+    got = lmscore.lm_scores(docs(spark, rows), labels, block).collect()
     assert Counter((r.doc_id, r.n_words, round(r.target_bits, 6), round(r.background_bits, 6)) for r in got) == want
     assert max(r.score for r in got if r.doc_id == 1) < min(r.score for r in got if r.doc_id == 2)
 
 
 def test_lm_scores_keep_every_word_above_a_million_tokens(spark):
-    """A word seen twice among more than 2^20 tokens has its own counts, and what is broadcast changes no score."""
+    """A word seen twice among more than 2^20 tokens has its own counts, and how blocks are cut changes no score."""
     common = " ".join(["w"] * 110_000)
     rows = [(i, common, "s") for i in range(10)] + [(20, "rareone raretwo rareone", "s"), (21, "rarethree w rarefour", "s"), (22, "rarethree w", "s")]
     labels = spark.createDataFrame([(20, 1, 0)], "doc_id long, quality int, toxic int")
@@ -321,16 +321,16 @@ def test_lm_scores_keep_every_word_above_a_million_tokens(spark):
     steps = [(1, 13, 2), (1, 2, 1), (1, 1, 2), (1, 2, 13)]
     assert abs(some[20].background_bits - sum(loss(*x, n) for x in steps) / 4) < 1e-6
     assert abs(some[20].target_bits - sum(loss(*x, 4) for x in [(1, 1, 2), (1, 2, 1), (1, 1, 2), (1, 2, 1)]) / 4) < 1e-6
-    assert max(abs(some[r.doc_id].score - r.score) for words in (0, 1, 2) for r in lmscore.lm_scores(docs(spark, rows), labels, words=words).collect()) < 1e-8
+    assert max(abs(some[r.doc_id].score - r.score) for block in (1, 100_000) for r in lmscore.lm_scores(docs(spark, rows), labels, block).collect()) < 1e-8
 
 
-@pytest.mark.parametrize("head, words", [(lmscore.HEAD, 0), (3, 2), (1, 5)])
-def test_lm_scores_do_not_depend_on_what_is_broadcast(spark, head, words):
+@pytest.mark.parametrize("block", [10_000, 500])
+def test_lm_scores_do_not_depend_on_blocks(spark, block):
     rows = spark.read.parquet(f"{SF}/documents.parquet")
     rows = rows.unionByName(rows.limit(20))
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     flat = lambda df: sorted((r.doc_id, r.n_words, r.target_bits, r.background_bits) for r in df.collect())
-    for a, b in zip(flat(lmscore.lm_scores(rows, labels)), flat(lmscore.lm_scores(rows, labels, head, words)), strict=True):
+    for a, b in zip(flat(lmscore.lm_scores(rows, labels)), flat(lmscore.lm_scores(rows, labels, block)), strict=True):
         assert a[:2] == b[:2] and np.allclose(a[2:], b[2:], atol=1e-7)
 
 
