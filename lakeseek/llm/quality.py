@@ -1,127 +1,164 @@
 """Quality rules as a short-circuit cascade, in Spark expressions only.
 
-Each rule's cost and the share it rejects are measured on a sample; rules then run
-by rejection per cost, and a document that one rejects is not given to the later,
-dearer ones. The order changes what is spent, never what is kept.
+Each rule's cost and what it rejects are estimated on a sample; rules then run by
+rejection per cost, and a document that one rejects is not given to the later, dearer
+ones. The order changes what is spent, never what is kept.
 """
 
 from __future__ import annotations
 
+import re
 import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, words
+from .common import cut
 
 SYMBOLS = "#*$%&|<>"
-#: Rows that costs and rejections are measured on; they set the order of rules and nothing else.
-SAMPLE_ROWS = 400
-
-_SAME = " AND ".join(f"w[cast(e.a & m AS int) + {k}] = w[cast(e.b & m AS int) + {k}]" for k in range(3))
-_REPEAT = f"""IF(size(w) < 4, 0L, transform(array(IF(size(w) < 1048576, 1048575L, 2147483647L)), m ->
- aggregate(
-  transform(array(sort_array(transform(sequence(0, size(w) - 3), i -> (xxhash64(w[i], w[i + 1], w[i + 2]) & ~m) | i))), s ->
-   array_sort(array_distinct(flatten(transform(filter(
-    array_compact(zip_with(s, slice(s, 2, size(s)), (a, b) -> IF((a | m) = (b | m), named_struct('a', a, 'b', b), NULL))),
-    e -> {_SAME}), e -> array(e.a & m, e.b & m))))))[0],
-  named_struct('last', -3L, 'sum', 0L),
-  (a, v) -> named_struct('last', v, 'sum', a.sum + least(3L, v - a.last)),
-  a -> a.sum))[0])"""
-
-
-def n_repeat_words(w: str = "w") -> Column:
-    """Words of the array w that lie in a 3-word window found twice or more, the first included.
-
-    Windows are sorted as numbers, hash above place, so equal ones stand side by side:
-    neighbours of one hash whose words agree are kept. Their places, sorted again, add three words each,
-    less what the one before covers. O(n log n) for any text. Arrays of one element
-    bind a value to a name, so that it is made once.
+#: Rows, about, that costs and rejections are estimated on; they set the order of rules and nothing else.
+SAMPLE_ROWS = 1_000
+#: Bits of a window's number that hold its place; the rest are of its hash.
+PLACE_BITS = 20
+
+_WHITE = r"[\\x20\\x09-\\x0D]+"
+_WORD = r"[^\\x20\\x09-\\x0D]"
+
+
+def repeat_words(place_bits: int = PLACE_BITS) -> str:
+    """SQL: of the words of the array w, how many lie in a 3-word window found twice or more, the first included.
+
+    Windows are sorted as numbers, hash above place, so those of one hash stand side by
+    side. If all neighbours of one hash have the same words, as they do unless hashes
+    collide, these are the windows found again. Else, or in a text of more than
+    2^place_bits words, windows are sorted by hash and words, which is slower and exact
+    for any text. Places, sorted again, add three words each, less what the one before
+    covers. O(n log n). Arrays of one element bind a value to a name, so that it is made once.
     """
-    return F.expr(f"transform(array({w}), w -> {_REPEAT})[0]")
+    m = (1 << place_bits) - 1
+    same = " AND ".join(f"w[cast(e.a & {m}L AS int) + {k}] = w[cast(e.b & {m}L AS int) + {k}]" for k in range(3))
+    places = "sequence(0, size(w) - 3)"
+    numbers = f"sort_array(transform({places}, i -> (xxhash64(w[i], w[i + 1], w[i + 2]) & ~{m}L) | i))"
+    twins = f"transform(array({numbers}), s -> array_compact(zip_with(s, slice(s, 2, size(s)), (a, b) -> IF((a | {m}L) = (b | {m}L), named_struct('a', a, 'b', b), NULL))))[0]"
+    fast = f"flatten(transform(p, e -> array(e.a & {m}L, e.b & {m}L)))"
+    structs = f"sort_array(transform({places}, i -> named_struct('h', xxhash64(w[i], w[i + 1], w[i + 2]), 'x', w[i], 'y', w[i + 1], 'z', w[i + 2], 'i', cast(i AS long))))"
+    exact = f"transform(array({structs}), s -> flatten(array_compact(zip_with(s, slice(s, 2, size(s)), (a, b) -> IF(a.h = b.h AND a.x = b.x AND a.y = b.y AND a.z = b.z, array(a.i, b.i), NULL)))))[0]"
+    found = f"IF(size(w) <= {m}, transform(array({twins}), p -> IF(exists(p, e -> NOT ({same})), {exact}, {fast}))[0], {exact})"
+    return f"IF(size(w) < 4, 0L, aggregate(array_sort(array_distinct({found})), named_struct('last', -3L, 'sum', 0L), (a, v) -> named_struct('last', v, 'sum', a.sum + least(3L, v - a.last)), a -> a.sum))"
 
 
-def _lines(text: Column) -> Column:
-    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+def _of(text: str) -> str:
+    """SQL: the column of that name, null as empty."""
+    return f"coalesce(`{text.replace('`', '``')}`, '')"
 
 
-def n_symbols(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{SYMBOLS}]++", "")).cast("long")
+def _words(t: str) -> str:
+    return f"transform(array(regexp_replace({t}, '^{_WHITE}|{_WHITE}$', '')), b -> IF(b = '', cast(array() AS array<string>), split(b, '{_WHITE}')))[0]"
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of docs, and n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words. Null texts are empty."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumn("__t", t).withColumn("__w", words(F.col("__t"))).withColumn("__l", _lines(F.col("__t")))
-    return rows.withColumns({
-        "n_words": F.size("__w").cast("long"),
-        "word_chars": F.length(F.array_join("__w", "")).cast("long"),
-        "n_symbols": n_symbols(F.col("__t")),
-        "n_lines": F.size("__l").cast("long"),
-        "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
-        "n_repeat_words": n_repeat_words("__w"),
-    }).drop("__t", "__w", "__l")
+_LINES = rf"filter(split(t, '\\n'), x -> x rlike '{_WORD}')"
+#: What rules look at, as SQL over a text t that is not null.
+MEASURES = {
+    "n_words": f"regexp_count(t, '{_WORD}++')",
+    "word_chars": f"length(regexp_replace(t, '{_WHITE}', ''))",
+    "n_symbols": f"length(regexp_replace(t, '[^{SYMBOLS}]++', ''))",
+    "n_lines": f"size({_LINES})",
+    "n_dup_lines": f"transform(array({_LINES}), l -> size(l) - size(array_distinct(l)))[0]",
+    "n_repeat_words": f"transform(array({_words('t')}), w -> {repeat_words()})[0]",
+}
 
 
 @dataclass(frozen=True)
 class Rule:
-    """name; the columns of measured() that it needs, as an expression over text t; and when a document fails."""
+    """name, and when a document fails, in terms of MEASURES."""
 
     name: str
     fails: str
 
+    def over(self, text: str) -> str:
+        """fails for the text of that SQL; what it needs is measured once, and nothing else is."""
+        needs = [k for k in MEASURES if re.search(rf"\b{k}\b", self.fails)]
+        fails = re.sub(r"\b(" + "|".join(needs) + r")\b", r"m.\1", self.fails)
+        return f"transform(array({text}), t -> transform(array(struct({', '.join(f'{MEASURES[k]} AS {k}' for k in needs)})), m -> {fails})[0])[0]"
+
 
-#: A document is rejected if any rule says so. t: the text, never null.
-_W = r"filter(split(t, '[\\x20\\x09-\\x0D]+'), x -> x <> '')"
-_L = r"filter(split(t, '\\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')"
-_NW = r"regexp_count(t, '[^\\x20\\x09-\\x0D]++')"
+#: A document is rejected if any rule says so; the first two are the base rules.
 RULES = (
-    Rule("few_words", f"{_NW} < 50"),
-    Rule("repetition", f"transform(array({_W}), w -> 100 * {_REPEAT} > 50 * size(w))[0]"),
-    Rule("symbols", f"10 * length(regexp_replace(t, '[^{SYMBOLS}]++', '')) > {_NW}"),
-    Rule("dup_lines", f"transform(array({_L}), l -> 2 * (size(l) - size(array_distinct(l))) > size(l))[0]"),
-    Rule("word_length", rf"transform(array(length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', ''))), c -> c > 25 * {_NW} OR c < 2 * {_NW})[0]"),
-)
-#: Two of them over the columns of measured().
-BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
+    Rule("few_words", "n_words < 50"),
+    Rule("repetition", "100 * n_repeat_words > 50 * n_words"),
+    Rule("symbols", "10 * n_symbols > n_words"),
+    Rule("dup_lines", "2 * n_dup_lines > n_lines"),
+    Rule("word_length", "word_chars > 25 * n_words OR word_chars < 2 * n_words"),
+)
+BASE = RULES[:2]
 
 
-def order_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> list[Rule]:
-    """The rules by rejections per second on a sample, best first."""
-    sample = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).limit(SAMPLE_ROWS).checkpoint()
-    worth = []
-    for rule in rules:
-        began = time.perf_counter()
-        rejected = sample.where(rule.fails).count()
-        worth.append(((rejected + 0.5) / (time.perf_counter() - began), rule))
-    return [r for _, r in sorted(worth, key=lambda x: -x[0])]
+def measured(text: str = "text") -> Column:
+    """A struct of all MEASURES, as longs, of the column of that name (null: empty). Words and lines are parted once."""
+    own = MEASURES | {"n_words": "size(w)", "word_chars": "length(array_join(w, ''))", "n_lines": "size(l)", "n_dup_lines": "size(l) - size(array_distinct(l))", "n_repeat_words": repeat_words()}
+    out = ", ".join(f"cast({v} AS long) AS {k}" for k, v in own.items())
+    return F.expr(f"transform(array({_of(text)}), t -> transform(array({_words('t')}), w -> transform(array({_LINES}), l -> struct({out}))[0])[0])[0]")
+
 
+def order_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> list[Rule]:
+    """The rules in the order that rejects most per cost, on a random sample of about SAMPLE_ROWS rows of the whole table.
 
-def cascade(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None) -> Column:
-    """True where no rule rejects the text: CASE stops at the first that does, in measured order."""
-    rules = rules or order_rules(docs, text)
-    out = None
+    Rejections are counted for all rules together, so a rule counts for what those
+    before it leave. Cost is the time of the rule on the sample, less that of a pass
+    that does nothing, both once code is compiled.
+    """
+    n = docs.count()
+    if not n:
+        return list(rules)
+    sample = docs.select(F.expr(_of(text)).alias("t")).sample(min(1.0, 2 * SAMPLE_ROWS / n), seed=42).limit(SAMPLE_ROWS)
+    sample = cut(sample, "quality-sample")
+
+    def seconds(fails: str) -> float:
+        took = []
+        for _ in range(2):
+            began = time.perf_counter()
+            sample.where(fails).count()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    idle = seconds("length(t) < 0")
+    cost = [max(seconds(r.over("t")) - idle, 1e-3) for r in rules]
+    flags = [F.expr(r.over("t")).alias(f"r{i}") for i, r in enumerate(rules)]
+    seen = [tuple(x) for x in sample.select(*flags).groupBy(*(f"r{i}" for i in range(len(rules)))).count().collect()]  # 2^rules rows at most
+    order: list[int] = []
+    while len(order) < len(rules):
+        left = [x for x in seen if not any(x[i] for i in order)]
+        order.append(max((i for i in range(len(rules)) if i not in order), key=lambda i: (sum(x[-1] for x in left if x[i]) + 0.5) / cost[i]))
+    return [rules[i] for i in order]
+
+
+def cascade(rules: list[Rule], text: str | None = None) -> Column:
+    """True where no rule rejects: CASE stops at the first that does. With text, the name of a column, each rule measures what it needs; without, it reads columns of measures."""
+    out = F
     for rule in rules:
-        fails = F.expr(f"transform(array(coalesce(`{text}`, '')), t -> {rule.fails})[0]")
-        out = F.when(fails, False) if out is None else out.when(fails, False)
-    return out.otherwise(True)
+        out = out.when(F.expr(rule.over(_of(text)) if text else rule.fails), False)
+    return F.lit(True) if out is F else out.otherwise(True)
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows, with all their columns, that every rule passes; rules run in the order that a sample recommends."""
-    return docs.where(cascade(docs, text))
+    """The rows, with all their columns, that every rule passes; rules run in the order that a sample recommends.
+
+    Null and empty texts have no word and fail. Repeated rows are judged alike.
+    """
+    return docs.where(cascade(order_rules(docs, text), text))
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """For each row of (doc_id, text): the base measures, base_failed, and kept: what the cascade says.
 
-    All measures are over whole texts and are returned for every row. The cascade runs
-    for what base_failed leaves, in the order that a sample recommends, which changes
-    no verdict. Null and empty texts have no word and fail. Repeated rows and ids each
-    give a row. No shuffle.
+    All measures are over whole texts and are returned for every row, so each is made
+    once. The cascade then runs the other rules for what base_failed leaves, over these
+    columns and in the order that a sample recommends, which changes no verdict. Null
+    and empty texts have no word and fail. Repeated rows and ids each give a row. No shuffle.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    verdict = cascade(rows)
-    rows = measured(rows).withColumn("base_failed", F.expr(BASE_FAILED))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.when(F.col("base_failed"), False).otherwise(verdict).alias("kept"))
+    order = [r for r in order_rules(docs) if r not in BASE]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), measured().alias("m")).select("doc_id", "m.*")
+    failed = F.expr(" OR ".join(f"({r.fails})" for r in BASE))
+    rows = rows.withColumn("base_failed", failed)
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.when(F.col("base_failed"), False).otherwise(cascade(order)).alias("kept"))

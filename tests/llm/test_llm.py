@@ -122,14 +122,27 @@ def test_token_counts_are_the_library_s(spark):
     sp, c = sentencepiece.SentencePieceProcessor(model_file=public.path(tokencount.MODEL)), tokencount.counter()
     rng = random.Random(4)
     parts = ["the ", " ", "  ", "\n", "\t", "▁", "Ünï", "中文", "😀", "<s>", "</s>", "\x00", "a", ".", ",x"]
-    for _ in range(1500):
+    monkeypatch = pytest.MonkeyPatch()
+    for i in range(1500):
+        monkeypatch.setattr(tokencount, "STRETCH", 2 if i % 2 else 200_000)
         t = "".join(rng.choices(parts, k=rng.randrange(12)))
         assert c.count(t) == len(sp.encode(t)), repr(t)
-        assert c.prefix_counts(t).tolist() == [len(sp.encode(t[:i])) for i in range(len(t) + 1)], repr(t)
+        want, budget = [len(sp.encode(t[:i])) for i in range(len(t) + 1)], rng.randrange(1, 9)
+        fits = max(i for i, n in enumerate(want) if n <= budget)
+        assert c.prefix_counts(t).tolist() == want, repr(t)
+        assert c.fit(t, budget) == (want[-1], fits) and c.truncate(t, budget) == (t[:fits], want[fits]), repr(t)
+    monkeypatch.undo()
+    for long in ("".join(rng.choices("abcdefgh", k=60_000)), "z" * 60_000, " " * 60_000, "é中" * 20_000):  # atoms without a cut
+        assert c.count(long) == len(sp.encode(long)) and c.prefix_counts(long)[30_001] == len(sp.encode(long[:30_001]))
     rows = spark.read.parquet(f"{SF}/documents.parquet")
     want = {r.doc_id: len(sp.encode(r.text or "")) for r in rows.collect()}
     assert {r.doc_id: r.n_tokens for r in tokencount.token_counts(rows).collect()} == want
-    assert all(r.n_tokens <= 7 for r in tokencount.truncate_to_budget(rows, 7).collect())
+    short, whole = tokencount.truncate_to_budget(rows, 7).collect(), {r.doc_id: r.text or "" for r in rows.collect()}
+    assert all(r.n_tokens <= 7 and r.n_tokens == len(sp.encode(r.text)) and whole[r.doc_id].startswith(r.text) for r in short)
+    fit = {r.doc_id: r.fit_chars for r in tokencount.token_counts(rows, 7).collect()}
+    assert fit == {r.doc_id: len(r.text) for r in short}
+    assert {r.doc_id: r.counts[-1] for r in tokencount.prefix_table(rows).collect()} == want
+    assert tokencount.prefix_table(mixed(spark)).count() == 8 and tokencount.truncate_to_budget(mixed(spark).where("false"), 3).count() == 0
     assert [r.n_tokens for r in tokencount.token_counts(docs(spark, [(1, None, None), (2, "", None)])).collect()] == [0, 0]
 
 
@@ -153,6 +166,35 @@ def test_quality_equals_brute_force(spark):
     assert sorted(r.name for r in quality.order_rules(rows)) == sorted(r.name for r in quality.RULES)
 
 
+@pytest.mark.parametrize("bits", [2, 20, 58, 62])
+def test_repeated_words_are_exact_where_hashes_collide(spark, bits):
+    """Hashes cut to few bits collide at once; a text longer than the places takes the exact way."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abcdef", k=rng.randrange(60))) for _ in range(200)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("w", F.filter(F.split("text", " "), lambda x: x != ""))
+    got = {r.text: r.n for r in rows.select("text", F.expr(quality.repeat_words(bits)).alias("n")).collect()}
+    assert got == {t: measures(t)[4] for t in texts}
+
+
+def test_repeated_words_of_a_very_long_text(spark):
+    """Over 2^20 words; the same windows stand a million words apart."""
+    t = "same three words " + " ".join(map(str, range(1_048_600))) + " same three words"
+    row = docs(spark, [(1, t, "s"), (2, "same three words " * 2, "s")])
+    got = {r.doc_id: r for r in quality.quality(row).collect()}
+    assert got[1].n_words == 1_048_606 and got[1].n_repeat_words == 6 and got[2].n_repeat_words == 6
+
+
+def test_cascade_orders_by_rejections_per_cost(spark):
+    """A rule that rejects what another leaves goes before one whose rejections the first has already."""
+    rules = (quality.Rule("never", "n_words < 0"), quality.Rule("half", "n_words < 2"), quality.Rule("same", "n_words < 2 OR n_repeat_words < 0"), quality.Rule("rest", "n_words >= 2"))
+    rows = docs(spark, [(i, "a b c" if i % 2 else "a", "s") for i in range(200)])
+    order = [r.name for r in quality.order_rules(rows, rules=rules)]
+    assert order.index("half") < order.index("never") and order.index("rest") < order.index("never")
+    plain = docs(spark, [(1, "x y " * 40 + "z", "s"), (2, None, "s"), (2, None, "s")]).withColumnRenamed("text", "a`b").withColumn("n_words", F.lit(1)).withColumn("t", F.lit("z")).withColumn("m", F.lit(0))
+    assert [r.name for r in quality.order_rules(rows.where("false"), rules=rules)] == [r.name for r in rules]
+    assert quality.keep_good(plain, "a`b").columns == plain.columns and quality.keep_good(plain, "a`b").count() == 0
+
+
 def test_quality_runs_no_python(spark):
     plan = quality.quality(mixed(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
