@@ -13,19 +13,50 @@ WHITE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a temporary one on a local master, else an error."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
-        known = spark.sparkContext.getCheckpointDir()
-        if not known:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lakeseek-"))
-            known = spark.sparkContext.getCheckpointDir()
-        base = known
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lakeseek-"))
+        base = sc.getCheckpointDir()
     return base.rstrip("/")
 
 
+def app_dir(spark: SparkSession) -> str:
+    """Below the shared folder, where this application writes what it reads again."""
+    return f"{shared_dir(spark)}/lakeseek-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{app_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Deletes all that this application has written to the shared folder: once its results are stored, as they read from there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(app_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """names, each with as many underscores put before as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df.checkpoint(), with a folder for it."""
+    base, sc = shared_dir(df.sparkSession), df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(base)
+    return df.checkpoint()
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Edges (a, b) of longs -> (node, root): each node that has a link, and the smallest node it can reach.
@@ -15,7 +17,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     lineage is cut by checkpoint() each round.
     """
     lo, hi = F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")
-    e = edges.where("a <> b").select(hi, lo).distinct().checkpoint()
+    e = checkpointed(edges.where("a <> b").select(hi, lo).distinct())
     mark = None
     for _ in range(0 if e.isEmpty() else max_rounds):
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -23,7 +25,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        e = small.union(least.select("a", F.col("m").alias("b"))).distinct().checkpoint()
+        e = checkpointed(small.union(least.select("a", F.col("m").alias("b"))).distinct())
         now = e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
         if now == mark:
             break
