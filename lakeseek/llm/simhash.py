@@ -18,12 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import cut
+from .common import cut, fresh
 from .graph import connected_components
 
 HALF = 31
 #: Rows of an anchor that are compared in one go; larger anchors are dealt out as pairs of blocks.
 BLOCK = 1024
+#: Shares that the rows of a component are dealt out in.
+SHARES = 32
+#: Keys of rows that go, or come more than once, up to which they are broadcast (24 bytes each); beyond, documents are joined to them by shuffle.
+BROADCAST_KEYS = 500_000
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -138,18 +142,24 @@ def _compare(limit: int):
 def links(fps: DataFrame, limit: int = 3) -> DataFrame:
     """Distinct (fp) -> (a, b): links that connect whatever differs in limit bits or fewer, a spanning forest for each anchor.
 
-    An anchor of many fingerprints is dealt out as pairs of blocks of BLOCK rows,
-    so no task gets it whole and none emits all its pairs.
+    At an anchor the fingerprints whose home it is meet all others. One of many
+    fingerprints is dealt out as pairs of blocks of BLOCK rows, homes and others apart,
+    so no task gets it whole, none emits all its pairs, and what isn't at home is copied
+    once for each block of homes only.
     """
     if limit > 3:
         raise ValueError("the anchors cover three differing bits at most")
-    at = anchors(fps)
-    busy = at.groupBy("key").agg(F.count("*").alias("n"), F.max("home").alias("any_home")).where("n > 1 AND any_home").select("key", "n")
-    met = at.join(busy, "key").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int"))
-    met = met.withColumn("blk", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
-    met = met.withColumn("o", F.explode(F.expr("sequence(0, nb - 1)")))
-    met = met.select("key", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), "fp", "home", "blk")
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = anchors(fps.repartition(parts))  # 8 bytes a row: few partitions would each copy many rows
+    busy = at.groupBy("key").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("o")).where("h > 0 AND h + o > 1")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    large = (F.col("h") + F.col("o")) > BLOCK
+    met = at.join(busy, "key").withColumn("hb", F.when(large, blocks("h")).otherwise(1)).withColumn("ob", F.when(large, blocks("o")).otherwise(0))
+    place = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
+    blk = F.when(F.col("home") | (F.col("ob") == 0), place("hb")).otherwise(F.col("hb") + place("ob"))
+    meets = F.when(F.col("home") & (F.col("ob") > 0), F.col("hb") + F.col("ob") - 1).otherwise(F.col("hb") - 1)  # homes meet all, others meet homes
+    met = met.withColumn("blk", blk).withColumn("o", F.explode(F.sequence(F.lit(0), meets)))
+    met = met.select("key", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), "fp", "home", "blk")
     return met.repartition(parts, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(_compare(limit), "a long, b long")
 
 
@@ -157,9 +167,12 @@ def _classes(rows: DataFrame, limit: int) -> DataFrame:
     """(doc_id, fp) rows -> (fp, root, component_id): a row for each fingerprint."""
     own = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     root = connected_components(links(own.select("fp"), limit))
-    own = own.join(root, own.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.join(named, "root").select("fp", "root", "component_id")
+    own = own.join(root, own.fp == root.node, "left")
+    share = F.when(F.col("node").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.lit(SHARES)).cast("int"))  # what has no link is its own component
+    own = own.select("fp", "least", F.coalesce("root", "fp").alias("root"), share.alias("share"))
+    named = own.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = named.select("root", "component_id", F.explode(F.when(F.col("n") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SHARES - 1)))).alias("share"))
+    return own.join(named, ["root", "share"]).select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = 3) -> DataFrame:
@@ -180,13 +193,25 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     Of rows that share this id that of the least fingerprint, then text hash, stays,
     once: rows equal in id and text too are one. A component of null ids keeps one row.
+    Only keys are shuffled, and documents that come more than once; the others are read
+    past the keys of what goes.
     """
-    key, th = F.col(doc_id).cast("long"), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    rows = cut(with_fingerprint(docs.select(key.alias("doc_id"), th.alias("th"), F.col(text).alias("text"))).select("doc_id", "th", "fp"), "fingerprints")
+    row, none, key, th, order = fresh(docs, "__row", "__none", "__key", "__th", "__order")
+    own_key = {none: F.col(doc_id).isNull(), key: F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), th: F.xxhash64(F.coalesce(F.col(text), F.lit("")))}
+    keys = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
+    rows = cut(with_fingerprint(keys).select("doc_id", "th", "fp"), "fingerprints")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "th"))
     kept = rows.join(_classes(rows, limit).select("fp", "root"), "fp").groupBy("root").agg(best.alias("x"))
-    id_or_least = lambda c: F.coalesce(c, F.lit(-(1 << 63)).cast("long"))
-    kept = kept.select(id_or_least(F.col("x.doc_id")).alias("__k"), F.col("x.th").alias("__th")).distinct()
-    own = docs.select(F.struct(*docs.columns).alias("__row"), id_or_least(key).alias("__k"), th.alias("__th"), F.xxhash64(*docs.columns).alias("__o"))
-    left = own.join(kept, ["__k", "__th"], "left_semi").groupBy("__k", "__th").agg(F.min_by("__row", "__o").alias("__row"))
-    return left.select("__row.*")
+    named = lambda c: [F.col(f"{c}doc_id").isNull().alias(none), F.coalesce(f"{c}doc_id", F.lit(0)).alias(key), F.col(f"{c}th").alias(th)]
+    kept = kept.select(*named("x.")).distinct().withColumn("kept", F.lit(True))
+    ids = [none, key, th]
+    touched = rows.select(*named("")).groupBy(*ids).agg(F.count("*").alias("n")).join(kept, ids, "left").where("kept IS NULL OR n > 1")
+    touched = cut(touched.select(*ids, F.col("kept").isNotNull().alias("kept")), "touched")
+    n, again = touched.agg(F.count("*"), F.count_if("kept")).first()
+    side = (lambda df: F.broadcast(df)) if n <= BROADCAST_KEYS else (lambda df: df)
+    left = docs.withColumns(own_key).join(side(touched.select(*ids)), ids, "left_anti").select(*docs.columns)
+    if again:  # rows equal in id and text: one of them stays
+        twice = docs.select(F.struct(*docs.columns).alias(row), F.xxhash64(*docs.columns).alias(order), *(c.alias(k) for k, c in own_key.items()))
+        twice = twice.join(side(touched.where("kept").select(*ids)), ids, "left_semi").groupBy(*ids).agg(F.min_by(row, order).alias(row))
+        left = left.unionByName(twice.select(f"{row}.*"))
+    return left
