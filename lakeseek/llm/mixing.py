@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words
+from .common import checkpointed, cut, n_words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: No source's target, and no document's copies, go beyond so many times its size.
@@ -25,26 +25,36 @@ RANKED = 100_000
 PHASES = 64
 
 
+def _ranked(sources: DataFrame, name: str = "rank") -> DataFrame:
+    """sources with their place by code point, null last, from 0: counted inside ranges, so no task sorts all of them."""
+    spark, by = sources.sparkSession, F.col("source").asc_nulls_last()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(sources.repartitionByRange(parts, by).withColumn("range", F.spark_partition_id()), "sources")
+    n = dict(dealt.groupBy("range").count().collect())  # a row a range
+    before = spark.createDataFrame([(p, sum(n[q] for q in n if q < p)) for p in n], "range int, before long")
+    place = F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy(by)) - 1
+    return dealt.join(F.broadcast(before), "range").withColumn(name, place).drop("range", "before")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """(source, size) rows -> (source, source_size, target): a row for each source.
 
     Sources by code point, null last, weigh weights[0], weights[1], ... and again; they
     share the whole size, a target stops at most * source_size and the excess is
-    reshared by weight until none is above. The level that this ends at is read off
-    sources sorted by capacity per weight, so no loop is needed. The windows are over
-    sources, not documents: a row for each, summed before.
+    reshared by weight until none is above. A round of resharing is a sum over sources;
+    it ends once a round finds no more that are above, which are fewer each time.
     """
     per = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    w = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int"))
-    per = per.withColumn("w", w).withColumn("cap", most * F.col("source_size").cast("double"))
-    by_cap = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before, rest, all_ = by_cap.rowsBetween(Window.unboundedPreceding, -1), by_cap.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
-    level = (F.sum("source_size").over(all_) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(rest)
-    per = per.withColumn("level", level)  # if this source and all of more capacity were below theirs
-    fits = F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct(F.col("cap") / F.col("w"), F.coalesce("source", F.lit("")), F.col("level").alias("level")))).over(all_)
-    per = per.withColumn("at", fits["level"])
-    return per.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("at") * F.col("w"), F.col("cap"))).alias("target"))
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    per = cut(_ranked(per).withColumn("w", w).withColumn("cap", most * F.col("source_size").cast("double")), "shares")
+    level, above = 0.0, -1
+    while True:
+        over = F.col("cap") < F.lit(level) * F.col("w")
+        total, capped, rest, n = per.agg(F.sum("source_size"), F.sum(F.when(over, F.col("cap")).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col("w"))), F.count_if(over)).first()
+        if n == above or not rest:
+            break
+        level, above = (total - capped) / rest, n
+    return per.select("source", "source_size", F.least("cap", F.lit(level) * F.col("w")).alias("target"))
 
 
 def balance(sizes: DataFrame, targets: DataFrame, rounds: int = 50, tol: float = 1e-12) -> DataFrame:
@@ -58,12 +68,13 @@ def balance(sizes: DataFrame, targets: DataFrame, rounds: int = 50, tol: float =
     per = sizes.groupBy("source").agg(F.sum("size").cast("double").alias("s"))
     t = targets.select(F.col("source").alias("ts"), F.col("target").alias("t"))
     per = per.join(t, F.col("source").eqNullSafe(F.col("ts"))).withColumn("active", (F.col("s") > 0) & (F.col("t") > 0))
-    per = per.withColumn("l", F.lit(0.0)).select("source", "s", "t", "active", "l").checkpoint()
+    per = per.withColumn("l", F.lit(0.0)).select("source", "s", "t", "active", "l")
+    per = checkpointed(per)
     step = F.when(F.col("active"), F.least(F.lit(1.0), F.try_divide(F.col("t"), F.col("s") * F.exp("l")) - 1)).otherwise(0.0)
     for _ in range(rounds):
         for _ in range(5):
             per = per.withColumn("l", F.col("l") + step)
-        per = per.checkpoint()
+        per = checkpointed(per)
         off = per.agg(F.max(F.abs(step))).first()[0]
         if off is None or off < tol:
             break
@@ -110,7 +121,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST)
     Places go by hash and id, so reruns agree. An empty table gives an empty table.
     """
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")), "sizes")
-    targets = source_targets(rows, weights, most).checkpoint()
+    targets = cut(source_targets(rows, weights, most), "targets")
     taken = copies(rows, balance(rows, targets), most)
     t = targets.select(F.col("source").alias("ts"), "source_size", "target")
     return taken.join(t, _same("source", "ts")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
