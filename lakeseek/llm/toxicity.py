@@ -1,7 +1,7 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Rates are per coordinate and L1 keeps most weights at zero, so what is broadcast
-is an array of 2^DIM_BITS floats at most (4 MB), whatever the corpus.
+Rates are per coordinate and L1 keeps most weights at zero; what is broadcast are the
+slots and weights that are not, 2^DIM_BITS of them at most, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .common import fresh
+
 DIM_BITS = 20
 #: Bound on the labelled rows that are learnt from: those of the smallest hash of doc_id.
 MAX_TRAIN = 12_000
@@ -95,10 +97,16 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> np.
 
 def scorer(spark: SparkSession, weights: np.ndarray):
     """Column function text -> probability of label 1."""
-    shared = spark.sparkContext.broadcast(weights)
+    keep = np.flatnonzero(weights)
+    shared = spark.sparkContext.broadcast((keep.astype(np.int32), weights[keep]))
+    dense: list[np.ndarray] = []
 
     def score(texts: pa.Array) -> pa.Array:
-        w, out = shared.value, np.zeros(len(texts))
+        if not dense:
+            slots, values = shared.value
+            dense.append(np.zeros(1 << DIM_BITS, np.float32))
+            dense[0][slots] = values
+        w, out = dense[0], np.zeros(len(texts))
         for i, t in enumerate(texts.to_pylist()):
             at = features(t)
             out[i] = w[np.unique(at[w[at] != 0])].sum(dtype=np.float64) if len(at) else 0
@@ -119,6 +127,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAI
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """The rows, with all their columns, that are not predicted toxic."""
+    """The rows, with all their columns, that are not predicted toxic. Null and empty texts have the bias alone; repeated rows are judged alike. A score of just 0.5, as all have without weights, says nothing: the row stays."""
     score = scorer(docs.sparkSession, train(docs, labels, max_train))
-    return docs.withColumn("__toxic", score(F.col("text"))).where("__toxic < 0.5").drop("__toxic")
+    (name,) = fresh(docs, "__toxic")
+    return docs.withColumn(name, score(F.col("text"))).where(F.col(name) <= 0.5).drop(name)
