@@ -307,21 +307,89 @@ def tiles(doc, item, k):
             md[d + j] = mi[p + j] = True
 
 
-def test_tiling_equals_brute_force(spark):
+@pytest.mark.parametrize("seeds", [decontaminate.SEEDS, 3])
+def test_tiling_equals_brute_force(spark, monkeypatch, seeds):
+    """Ties too: the first in the document, then in the item. Items under a tile are met whole; seeds go through in stretches."""
+    monkeypatch.setattr(decontaminate, "SEEDS", seeds)
     rng = random.Random(7)
-    for _ in range(150):
-        item = [rng.choice("abcd") for _ in range(rng.randrange(4, 16))]
+    for _ in range(200):
+        item = [rng.choice("abcd") for _ in range(rng.randrange(1, 16))]
         doc = [rng.choice("abcde") for _ in range(rng.randrange(0, 25))] + item[5:] + ["z"] + item[:5]
-        got = dict(decontaminate.Index([(1, " ".join(item))], 4).hits(" ".join(doc), 0.01)).get(1, 0) * len(item)
-        assert abs(got - tiles(doc, item, 4)) <= 4, (item, doc)  # ties between equally long tiles may go either way
+        got = dict(decontaminate.Index([(1, " ".join(item))], 4).hits(" ".join(doc), 1e-9)).get(1, 0) * len(item)
+        assert round(got) == tiles(doc, item, min(4, len(item))), (item, doc)
+    assert decontaminate.Index([(1, "a " * 2000)]).hits("a " * 2000) == [(1, 1.0)] and decontaminate.Index([]).hits("a b c d") == []
     words = [f"q{i}" for i in range(40)]
     bench = spark.createDataFrame([(1, " ".join(words)), (2, "too short"), (None, "x"), (3, None)], "item_id long, text string")
     moved = "start " + " ".join(words[20:]).upper() + ", middle. " + " ".join(words[:20])
-    got = {r.doc_id: r for r in decontaminate.decontaminate(docs(spark, [(1, moved, "s"), (2, " ".join(words[:15]), "s"), (3, None, "s"), (4, "", "s")]), bench).collect()}
-    assert got[1].contaminated and got[1].item_ids == [1] and got[1].coverage == 1.0
+    rows = docs(spark, [(1, moved, "s"), (2, " ".join(words[:15]), "s"), (3, None, "s"), (4, "", "s"), (5, "is too short", "s"), (1, moved, "s")])
+    got = {r.doc_id: r for r in decontaminate.decontaminate(rows, bench).collect()}
+    assert got[1].contaminated and got[1].item_ids == [1] and got[1].coverage == 1.0 and got[5].item_ids == [2]
     assert not any(got[i].contaminated for i in (2, 3, 4)) and got[2].best_item is None
-    blocks = decontaminate.with_hits(docs(spark, [(1, moved, "s")]), bench, block_chars=5).first().hits
-    assert [h.item_id for h in blocks] == [1]
+    blocks = Counter((r.doc_id, tuple(h.item_id for h in r.found)) for r in decontaminate.with_hits(rows, bench, "found", block_chars=5).collect())
+    assert blocks == Counter({(1, (1,)): 2, (2, ()): 1, (3, ()): 1, (4, ()): 1, (5, (2,)): 1})
+
+
+def clashing(df):
+    """df with columns of names that stages use inside."""
+    for name in ("__hits", "__toxic", "__row", "__key", "__th", "__none", "__order", "__x", "__y", "__more", "n_words", "m", "t", "rank", "target", "hits"):
+        df = df.withColumn(name, F.lit("mine"))
+    return df
+
+
+STAGE = {
+    "toxicity": lambda s, d: toxicity.drop_toxic(d, s.createDataFrame([(1, 1, 0), (2, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")),
+    "quality": lambda s, d: quality.keep_good(d),
+    "near_duplicates": lambda s, d: simhash.drop_near_duplicates(d),
+    "decontamination": lambda s, d: decontaminate.drop_contaminated(d, s.createDataFrame([(1, "same text here now"), (None, "x")], "item_id long, text string")),
+    "decontamination in blocks": lambda s, d: decontaminate.with_hits(d, s.createDataFrame([(1, "same text here now"), (2, "other things here")], "item_id long, text string"), "found", block_chars=5).where("size(found) = 0").drop("found"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(STAGE))
+def test_stages_keep_columns_and_awkward_rows(spark, name):
+    """Nulls, empty and very long texts, repeats and clashing names; empty tables."""
+    d = clashing(mixed(spark))
+    got = STAGE[name](spark, d)
+    want = {"toxicity": [None, None, 1, 2, 3, 3, 4, 4], "quality": [], "near_duplicates": [None, 1, 2, 3, 4]}.get(name, [None, None, 1, 2, 4])
+    assert got.columns == d.columns
+    assert sorted((r.doc_id for r in got.collect()), key=repr) == sorted(want, key=repr)
+    assert all(r["__row"] == r["hits"] == "mine" for r in got.collect())
+    assert STAGE[name](spark, d.where("false")).count() == 0
+
+
+def test_near_duplicate_stage_without_broadcast(spark, monkeypatch):
+    """Keys of what goes joined by shuffle; rows equal in id and text become one, whatever else they hold."""
+    monkeypatch.setattr(simhash, "BROADCAST_KEYS", -1)
+    rows = docs(spark, [(i % 50, f"text {i % 30} of its own", "a" if i % 2 else "b") for i in range(200)])
+    got = sorted((r.doc_id, r.text) for r in simhash.drop_near_duplicates(rows).collect())
+    monkeypatch.undo()
+    assert got == sorted((r.doc_id, r.text) for r in simhash.drop_near_duplicates(rows).collect())
+    classes = simhash.near_duplicates(rows).collect()
+    assert len(got) == len({r.component_id for r in classes}) and {i for i, _ in got} == {r.component_id for r in classes}
+
+
+def test_ftrl_equals_a_loop_over_coordinates():
+    rng, model = random.Random(9), toxicity.Ftrl(alpha=0.7, beta=0.9, l1=0.3, l2=0.2)
+    z, n = Counter(), Counter()
+    for _ in range(300):
+        at, y = sorted(rng.sample(range(40), 7)), float(rng.random() < 0.4)
+        w = {i: 0.0 if abs(z[i]) <= 0.3 else -(z[i] - (0.3 if z[i] > 0 else -0.3)) / ((0.9 + n[i] ** 0.5) / 0.7 + 0.2) for i in at}
+        g = 1 / (1 + np.exp(-sum(w.values()))) - y
+        for i in at:
+            z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / 0.7 * w[i]
+            n[i] += g * g
+        model.learn(np.array(at), y)
+    assert all(abs(model.z[i] - z[i]) < 1e-9 and abs(model.n[i] - n[i]) < 1e-9 for i in range(40))
+    assert not (model.weights(np.arange(40)) == 0).all()
+
+
+def test_toxicity_scores_equal_weights_by_hand(spark):
+    """A score is the logistic of the bias and the weights of a text's different features."""
+    rows = docs(spark, [(i, f"you vile scum {i}" if i % 3 == 0 else f"a fine day {i}", "s") for i in range(90)] + [(None, None, "s"), (200, LONG, "s")])
+    w = toxicity.train(rows, spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(90)], "doc_id long, quality int, toxic int"))
+    for r in rows.withColumn("p", toxicity.scorer(spark, w)(F.col("text"))).collect():
+        slots = {0, *toxicity.features(r.text).tolist()}
+        assert abs(r.p - 1 / (1 + np.exp(-sum(float(w[i]) for i in slots)))) < 1e-9
 
 
 @pytest.mark.parametrize("block", [lmscore.BLOCK, 7, 1])
