@@ -7,12 +7,15 @@ divisible by 100 (and its embedding), against all rows.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import terms as T
 from .functions import text as X
-from .operators import chunking, evalkit, excerpt, fusion, index, legal, lexical, retrieve, stats, vector
+from .operators import chunking, embedding, evalkit, excerpt, fusion, index, legal, lexical, retrieve, stats, vector
+from .session import new_path
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -49,9 +52,18 @@ def asked(spark: SparkSession, sf_dir: str, corpus: bool = False, doubled: bool
     return d.select(F.col("doc_id").cast("string").alias("qid"), text.alias("text"), (F.col("lang") if corpus else F.lit("")).alias("corpus"))
 
 
+#: Where an application has put its index of a folder of tables: built once, read by all queries.
+_BUILT: dict[tuple[str, str], str] = {}
+
+
 def index_of(spark: SparkSession, sf_dir: str) -> index.Index:
-    at = index.build(chunks_of(spark, sf_dir))
-    return index.Index(at.chunks, at.postings.persist(), at.term_df, at.stats)
+    """The stored index of chunks_of(), with the vectors of embeddings."""
+    key, chunks = (spark.sparkContext.applicationId, sf_dir), chunks_of(spark, sf_dir)
+    if key not in _BUILT:
+        path = new_path(spark, "index")
+        index.build(chunks, path)
+        _BUILT[key] = path
+    return replace(index.load(spark, _BUILT[key], chunks.schema), vectors=vectors_of(spark, sf_dir))
 
 
 # DuckDB pieces
@@ -181,7 +193,7 @@ _BOUND = "coalesce(list_filter({p}, lambda p: strlen(p) > 20)[{i}], {p}[{i}], ''
 @query(
     "WITH l AS (SELECT conv_id, turn, coalesce(text, '') AS text, lag(coalesce(text, '')) OVER w AS b, lead(coalesce(text, '')) OVER w AS a FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), "
     f"s AS (SELECT conv_id, turn, text, {_BOUND.format(p=_PARTS.format('b'), i=-1)} AS b, {_BOUND.format(p=_PARTS.format('a'), i=1)} AS a FROM l) "
-    f"SELECT conv_id, turn, md5(CASE WHEN b <> '' THEN '{T.CONTEXT_BEFORE}' || chr(10) || b || chr(10) || chr(10) ELSE '' END || text || CASE WHEN a <> '' THEN chr(10) || chr(10) || '{T.CONTEXT_AFTER}' || chr(10) || a ELSE '' END) AS h FROM s"
+    f"SELECT conv_id, turn, md5(CASE WHEN b <> '' THEN '{T.CONTEXT_BEFORE} ' || b || '.' || chr(10) || chr(10) ELSE '' END || text || CASE WHEN a <> '' THEN chr(10) || chr(10) || '{T.CONTEXT_AFTER} ' || a ELSE '' END) AS h FROM s"
 )
 def neighbor_context(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
@@ -324,7 +336,7 @@ def hybrid_retrieve(spark, sf_dir):
     q = v.where("cast(chunk_id AS bigint) % 100 = 0").select(F.col("chunk_id").alias("qid"), F.lit("").alias("corpus"), "embedding")
     ids = asked(spark, sf_dir).select("qid").union(q.select("qid")).distinct()
     queries = ids.join(asked(spark, sf_dir), "qid", "left").select("qid", F.coalesce("text", F.lit("")).alias("text"), F.lit("").alias("corpus"))
-    hits = retrieve.retrieve(index_of(spark, sf_dir), queries, retrieve.RetrieveParams(legal_rerank=False), v, q)
+    hits = retrieve.retrieve(index_of(spark, sf_dir), queries, retrieve.RetrieveParams(legal_rerank=False), q)
     return hits.select("qid", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 6).alias("score"), "corpus", "doc_title", F.md5("section").alias("section"))
 
 
@@ -371,10 +383,13 @@ def dedupe_queries(spark, sf_dir):
     return fusion.dedupe_queries(c, "qid", "text", "ord").select(F.lower(F.trim("text")).alias("k"), F.col("ord").alias("first"))
 
 
-@query(f"WITH {_TURNS}, r AS (SELECT doc_id, chunk_id, row_number() OVER (PARTITION BY doc_id ORDER BY turn) AS rank FROM (SELECT conv_id::VARCHAR AS doc_id, conv_id || '-' || turn AS chunk_id, turn FROM conversations)) SELECT chunk_id, round(1.0 / rank, 6)::DOUBLE AS score FROM r WHERE doc_id = (SELECT min(conv_id)::VARCHAR FROM conversations) AND rank <= 8")
+@query(f"WITH {_TURNS}, r AS (SELECT t.doc_id, t.qid AS corpus, c.turn, t.chunk_id FROM t JOIN conversations c ON t.chunk_id = c.conv_id || '-' || c.turn), n AS (SELECT 'q' || doc_id AS qid, chunk_id, row_number() OVER (PARTITION BY doc_id ORDER BY turn, chunk_id) AS rank FROM r WHERE corpus::BIGINT % 2 = 0) SELECT qid, chunk_id, round(1.0 / rank, 6)::DOUBLE AS score FROM n WHERE rank <= 8")
 def fallback_doc_chunks(spark, sf_dir):
-    first = table(spark, sf_dir, "conversations").agg(F.min("conv_id").cast("string").alias("doc_id")).withColumn("qid", F.lit("q"))
-    return retrieve.fallback_chunks(turns(spark, sf_dir).drop("qid"), first, 8).select("chunk_id", F.round("score", 6).alias("score"))
+    """A request for every document, in the corpus that it is in (even ones) or another."""
+    rows = turns(spark, sf_dir).withColumnRenamed("qid", "corpus")
+    odd = F.col("corpus").cast("long") % 2 == 1
+    asked_for = rows.select("doc_id", F.concat(F.lit("q"), "doc_id").alias("qid"), F.when(odd, "none").otherwise(F.col("corpus")).alias("qcorpus")).distinct()
+    return retrieve.fallback_chunks(rows, asked_for, 8).select("qid", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query("WITH r AS (SELECT conv_id::VARCHAR AS qid, conv_id || '-' || turn AS chunk_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, conv_id || '-' || turn) AS rank FROM conversations) SELECT qid, chunk_id, round(1.0 / rank, 6)::DOUBLE AS score FROM r WHERE rank <= 8")
@@ -442,11 +457,12 @@ def overlap_bonus(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(legal.overlap_bonus(asked_for, F.element_at(F.split(text, "\n"), 1), text), 6).alias("bonus"))
 
 
-@query(_CAP + " SELECT qid, chunk_id, score FROM k WHERE doc_id = (SELECT min(conv_id)::VARCHAR FROM conversations)")
+@query(_CAP + ", a AS (SELECT qid, min(doc_id) AS doc_id FROM t GROUP BY qid) SELECT qid, chunk_id, score FROM k JOIN a USING (qid, doc_id)")
 def doc_filter_after_cap(spark, sf_dir):
+    """Each query asks for one document; the cap per document comes first."""
     rows = turns(spark, sf_dir)
-    first = table(spark, sf_dir, "conversations").agg(F.min("conv_id").cast("string").alias("doc_id"))
-    return fusion.cap_per_doc(rows, 2).join(F.broadcast(first), "doc_id", "left_semi").select("qid", "chunk_id", "score")  # one row
+    asked_for = rows.groupBy("qid").agg(F.min("doc_id").alias("doc_id"))
+    return fusion.cap_per_doc(rows, 2).join(lexical.local(asked_for), ["qid", "doc_id"], "left_semi").select("qid", "chunk_id", "score")
 
 
 @query(
@@ -463,11 +479,45 @@ def article_boost(spark, sf_dir):
     return legal.boost_articles(lexical.search(at, q), named, chunks).select("qid", "chunk_id", F.round("score", 6).alias("score"))
 
 
-@query()
+def _expansion_sql(q: str, t: str) -> str:
+    """List of q and its variants; t: its terms."""
+    any_of = lambda words: f"list_has_any({t}, [" + ", ".join(f"'{w}'" for w in words) + "])"
+    president, abstract, election, emergency = any_of(T.PRESIDENT), any_of(T.ABSTRACT_INTENT), any_of(T.ELECTION), any_of(T.EMERGENCY)
+    rules = {
+        "article_one": f"({any_of(['premier'])} OR contains(lower({q}), 'article 1') OR contains(lower({q}), 'article premier')) AND {any_of(['republique', 'republic'])}",
+        "president_role": f"{president} AND {abstract} AND NOT {election}", "president_election": f"{president} AND {election}", "emergency": emergency,
+        "emergency_election": f"{emergency} AND ({president} OR {election})", "parliament": f"{any_of(['parlement'])} AND {abstract}", "government": f"{any_of(['gouvernement'])} AND {abstract}",
+    }
+    more = ", ".join(f"CASE WHEN {cond} THEN {q} || ' {T.EXPANSIONS[name]}' END" for name, cond in rules.items())
+    return f"CASE WHEN {q} = '' THEN [] ELSE list_filter([{q}, {more}], lambda x: x IS NOT NULL) END"
+
+
+_MORE = (" rôle du président", " scrutin du président", " urgence et scrutin", " rôle du parlement", "")
+_MORE_SQL = "trim(coalesce(text, '') || [" + ", ".join(f"'{m}'" for m in _MORE) + "][conv_id % 5 + 1])"
+
+
+def _more(text: str = "text"):
+    return F.concat(F.coalesce(text, F.lit("")), F.element_at(F.array(*map(F.lit, _MORE)), (F.col("conv_id") % 5 + 1).cast("int")))
+
+
+@query(f"WITH q AS (SELECT conv_id, turn, {_MORE_SQL} AS q FROM conversations), t AS (SELECT *, {TERMS.format('q')} AS t FROM q), x AS (SELECT conv_id, turn, {_expansion_sql('q', 't')} AS x FROM t) SELECT conv_id, turn, unnest(generate_series(0, len(x) - 1))::INT AS variant, unnest(x) AS text FROM x")
 def query_expansion(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("role = 'user'")
-    more = F.element_at(F.array(*map(F.lit, (" rôle du président", " scrutin du président", " urgence et scrutin", " rôle du parlement", ""))), (F.col("conv_id") % 5 + 1).cast("int"))
-    return c.select("conv_id", "turn", F.posexplode(legal.expansions(F.concat(F.coalesce("text", F.lit("")), more))).alias("variant", "text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(legal.expansions(_more())).alias("variant", "text"))
+
+
+@query(
+    f"WITH q AS (SELECT conv_id || '-' || turn AS qid, {_MORE_SQL} AS g, CASE WHEN turn % 3 = 2 THEN trim(coalesce(text, '')) ELSE '' END AS r, turn % 2 = 0 AS legal, turn FROM conversations), t AS (SELECT *, {TERMS.format('g')} AS t FROM q), "
+    f"x AS (SELECT qid, CASE WHEN r <> '' THEN [r] WHEN legal THEN {_expansion_sql('g', 't')} ELSE [g] END || CASE WHEN r = '' AND turn % 4 = 1 AND is_abstract THEN ['Un autre texte', 'encore un'] ELSE [] END AS x FROM (SELECT *, g <> '' AND strlen(g) < 200 AND NOT regexp_matches(g, '(?i)article\\s+(premier|\\d+)') AND (list_has_any(t, ["
+    + ", ".join(f"'{w}'" for w in [*T.INSTITUTIONS, *T.ABSTRACT_INTENT])
+    + "])) AS is_abstract FROM t)), u AS (SELECT qid, unnest(generate_series(0, len(x) - 1)) AS o, trim(unnest(x)) AS text FROM x), d AS (SELECT *, row_number() OVER (PARTITION BY qid, lower(text) ORDER BY o) AS n FROM u WHERE text <> '') "
+    "SELECT qid, (row_number() OVER (PARTITION BY qid ORDER BY o) - 1)::INT AS variant, text FROM d WHERE n = 1"
+)
+def build_queries(spark, sf_dir):
+    """What is searched for: a retrieval text alone, or the question, its rule-made variants and a model's lines."""
+    c = table(spark, sf_dir, "conversations").withColumn("qid", F.concat_ws("-", "conv_id", "turn"))
+    asked_for = c.select("qid", _more().alias("generation_q"), F.when(F.col("turn") % 3 == 2, F.col("text")).alias("retrieval_q"), F.when(F.col("turn") % 2 == 0, "legal-demo").otherwise("web").alias("corpus"))
+    raw = c.where("turn % 4 = 1").select("qid", F.lit("Requête 1 : Un autre texte\nRequête 2: UN AUTRE TEXTE\nabc\nencore un").alias("raw"))
+    return retrieve.build_queries(asked_for, raw).select("qid", "variant", "text")
 
 
 @query(
@@ -515,3 +565,83 @@ def event_windows(spark, sf_dir):
     from .streaming.ingest import event_windows as windows
 
     return windows(table(spark, sf_dir, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# --- the store, the embedder, filters, prompts and evaluation
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id, CASE doc_id % 4 WHEN 0 THEN '2024' WHEN 1 THEN '' WHEN 2 THEN 'legal' END AS corpus, length(coalesce(text, ''))::BIGINT AS n_chars FROM documents WHERE doc_id % 10 <> 3 AND doc_id IS NOT NULL")
+def store_roundtrip(spark, sf_dir):
+    """Documents stored in two commits, the second replacing some of the first, and some deleted; corpora look like numbers, are empty or null."""
+    from .jobs.engine import Engine
+
+    d = table(spark, sf_dir, "documents")
+    corpus = F.when(F.col("doc_id") % 4 == 0, "2024").when(F.col("doc_id") % 4 == 1, "").when(F.col("doc_id") % 4 == 2, "legal")
+    empty = {k: F.lit("") for k in ("original_content", "book_title", "article")}
+    d = d.select(F.col("doc_id").cast("string").alias("id"), F.coalesce("source", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("content"), F.lit("markdown").alias("content_type"), corpus.alias("corpus")).withColumns(empty)
+    store = Engine(spark, new_path(spark, "store"))
+    store.ingest(d.where("cast(id AS bigint) % 3 = 0").withColumn("content", F.lit("an older text")))
+    store.ingest(d)
+    store.delete([r.id for r in d.where("cast(id AS bigint) % 10 = 3").select("id").collect()])  # a caller's list of ids
+    return store.documents().select("doc_id", "corpus", F.length("content").cast("long").alias("n_chars"))
+
+
+def _sizes(texts: list[str]) -> list[list[float]]:
+    """An embedder that fails for some texts."""
+    if len(texts[0]) % 7 == 0:
+        raise ValueError("no vector for this text")
+    return [[float(len(t)), 1.0] for t in texts]
+
+
+@query("SELECT doc_id, CASE WHEN length(text) % 7 <> 0 THEN length(text)::DOUBLE END AS size, coalesce(length(text) % 7 = 0 AND text <> '', false) AS embed_failed FROM documents")
+def embed_failures(spark, sf_dir):
+    rows = embedding.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), _sizes, batch=1)
+    return rows.select("doc_id", F.get("embedding", F.lit(0)).cast("double").alias("size"), "embed_failed")
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN (doc_id % 17)::VARCHAR ELSE '' END AS article, CASE WHEN doc_id % 40 = 7 THEN 'Article Premier' ELSE 'Article ' || (doc_id % 20) || '. x' END AS title FROM documents) WHERE article = '1' OR regexp_matches(upper(title), 'ARTICLE 1([^0-9]|$)') OR contains(upper(title), 'ARTICLE PREMIER')")
+def retrieve_article_filter(spark, sf_dir):
+    n = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(n % 3 == 0, (n % 17).cast("string")).otherwise("").alias("article"), F.when(n % 40 == 7, "Article Premier").otherwise(F.concat(F.lit("Article "), (n % 20).cast("string"), F.lit(". x"))).alias("title"))
+    return retrieve.filter_by_article(rows, "1").select("doc_id")
+
+
+_SHOWN = "h AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '16' WHEN 1 THEN '7' ELSE '' END AS article, CASE WHEN conv_id % 2 = 0 THEN coalesce(text, '') || ' DISSOUTE' ELSE coalesce(text, '') END AS excerpt FROM conversations)"
+
+
+@query(f"WITH {_SHOWN}, b AS (SELECT conv_id, bool_or(article = '16' AND contains(lower(excerpt), 'dissoute')) AS a16, bool_or(article = '7') AS a7 FROM h GROUP BY conv_id) SELECT conv_id AS qid, CASE WHEN a16 OR a7 THEN '{T.CHECK_HEAD}' || CASE WHEN a16 THEN '{T.CHECK_16.replace(chr(39), chr(39) * 2)}' ELSE '' END || CASE WHEN a7 THEN '{T.CHECK_7.replace(chr(39), chr(39) * 2)}' ELSE '' END ELSE '' END AS checklist FROM b")
+def prompt_checklist(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    article = F.when(F.col("turn") % 3 == 0, "16").when(F.col("turn") % 3 == 1, "7").otherwise("")
+    hits = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("qid"), article.alias("article"), F.when(F.col("conv_id") % 2 == 0, F.concat(text, F.lit(" DISSOUTE"))).otherwise(text).alias("excerpt"))
+    return excerpt.checklist(hits)
+
+
+@query("SELECT conv_id, turn, " + " OR ".join(f"contains(lower(answer), '{p}')" for p in T.REFUSALS) + " AS refusal FROM (SELECT conv_id, turn, coalesce(text, '') || CASE turn % 3 WHEN 0 THEN ' The excerpts DO NOT contain it.' WHEN 1 THEN ' Aucune information.' ELSE '' END AS answer FROM conversations)")
+def refusal_flags(spark, sf_dir):
+    more = F.when(F.col("turn") % 3 == 0, " The excerpts DO NOT contain it.").when(F.col("turn") % 3 == 1, " Aucune information.").otherwise("")
+    return evalkit.refusals(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), more).alias("answer"))).drop("answer")
+
+
+_FIRST_WORDS = "list_slice(" + FIELDS_SQL.format("coalesce(text, '')") + ", 1, 2)"
+
+
+@query(
+    f"WITH c AS (SELECT *, coalesce(text, '') AS x FROM conversations), g AS (SELECT conv_id, upper(role) AS want, {_FIRST_WORDS} AS terms FROM c WHERE turn = 1), h AS (SELECT g.conv_id, want, terms, c.x, row_number() OVER (PARTITION BY g.conv_id ORDER BY c.turn) AS n FROM g JOIN c ON c.conv_id = g.conv_id AND contains(upper(c.role), want)) "
+    "SELECT conv_id AS id, want AS section, len(list_filter(terms, lambda w: NOT contains(lower(x), lower(w)))) = 0 AS passed FROM h WHERE n = 1"
+)
+def eval_excerpts(spark, sf_dir):
+    """Cases: the section is the role of a conversation's second turn, the terms its first words; they must be in the first turn of that role."""
+    c = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    gold = c.where("turn = 1").select(F.col("conv_id").alias("id"), F.create_map(F.upper("role"), F.slice(X.fields(F.col("text")), 1, 2)).alias("excerpt_terms_by_section"))
+    hits = c.select(F.col("conv_id").alias("qid"), F.col("turn").alias("rank"), F.col("role").alias("section"), F.lit("").alias("article"), F.col("text").alias("excerpt"))
+    return evalkit.excerpt_cases(hits, gold)
+
+
+@query(f"WITH c AS (SELECT *, coalesce(text, '') AS x FROM conversations), a AS (SELECT conv_id, string_agg(x, ' ' ORDER BY turn) AS answer FROM c WHERE turn % 2 = 1 GROUP BY conv_id), g AS (SELECT conv_id, {_FIRST_WORDS} AS phrases FROM c WHERE turn = 0) SELECT g.conv_id AS id, len(list_filter(phrases, lambda w: NOT contains(lower(coalesce(answer, '')), lower(w)))) = 0 AS passed FROM g LEFT JOIN a USING (conv_id) WHERE len(phrases) > 0")
+def eval_phrases(spark, sf_dir):
+    """Cases: the first words of a conversation must be in what its odd turns say together."""
+    c = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ")
+    gold = c.where("turn = 0").select(F.col("conv_id").alias("id"), F.slice(X.fields(F.col("text")), 1, 2).alias("generation_phrases"))
+    return evalkit.phrase_cases(c.where("turn % 2 = 1").groupBy(F.col("conv_id").alias("id")).agg(said.alias("answer")), gold)

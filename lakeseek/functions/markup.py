@@ -69,26 +69,29 @@ def heading_sections(md: str | None) -> list[tuple[int, str, str]]:
     return out
 
 
+def heading_list(md: str | None) -> list[tuple[int, str]]:
+    """(level, text) of each heading that has text."""
+    return [(level, title) for level, title, _ in heading_sections(md) if level and title]
+
+
+PREAMBLE = "PRÉAMBULE"
+
+
 def legal_sections(text: str | None) -> list[tuple[str, str, str]]:
-    """(title, path, text) by article headings; a Titre line names the path of the articles after it."""
-    article, titre, path, lines, out = "PRÉAMBULE", "", "PRÉAMBULE", [], []
-
-    def flush():
-        body = "\n".join(lines).strip()
-        if body:
-            out.append((article, path, body))
-
-    for raw in (text or "").split("\n"):
-        line = raw.strip()
-        if re.match(r"(?i)^titre\s+", line):
-            flush()
-            titre, lines[:] = line, []
-            article, path = line, line
-        elif re.match(r"(?i)^article\s+(premier|\d+)\.?$", line):
-            flush()
-            article, lines[:] = line.rstrip("."), [line]
-            path = f"{titre} -> {article}" if titre else article
-        elif line:
-            lines.append(line)
-    flush()
-    return [s for s in out if s[2] != s[0]]
+    """(title, path, text) by article headings; the path starts with the Titre line last seen when the article begins. A text starts with its title."""
+    out: list[tuple[str, str, list[str]]] = []
+    titre, body = "", None
+    for line in (text or "").split("\n"):
+        bare = line.strip()
+        if re.match(r"(?i)titre\s+", bare):
+            titre = bare
+            continue
+        if re.fullmatch(r"(?i)article\s+(premier|\d+)\.?", bare) or (body is None and bare.upper() == PREAMBLE):
+            body = [bare, ""]
+            out.append((bare, f"{titre} -> {bare}" if titre else bare, body))
+        elif bare or body:
+            if body is None:
+                body = []
+                out.append((PREAMBLE, f"{titre} -> {PREAMBLE}" if titre else PREAMBLE, body))
+            body.append(line)
+    return [(title, path, joined) for title, path, lines in out if (joined := "\n".join(lines).strip())]

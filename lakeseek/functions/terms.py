@@ -45,6 +45,17 @@ ACCENTS, FOLDED = "àâäáãåçéèêëîïíôöóõùûüúœ", "aaaaaaceeee
 FRENCH_WORDS, FRENCH_LETTERS = ["comment", "quoi", "pourquoi", "une", "les", "des", "est"], "àâäéèêëïîôùûüçœ"
 # Marks of neighbour context inside a chunk's text.
 CONTEXT_BEFORE, CONTEXT_AFTER = "[Contexte précédent]", "[Contexte suivant]"
+# Reminders put after the excerpts of articles 16 and 7.
+CHECK_HEAD = "\nRappel pour la partie (2) :\n"
+CHECK_16 = "- Article 16 : énoncer explicitement que l'Assemblée nationale ne peut être dissoute pendant les pouvoirs exceptionnels, avec citation [n].\n"
+CHECK_7 = "- Article 7 : énoncer les règles d'organisation ou de report du scrutin présidentiel pertinentes, avec citation [n].\n"
+# Phrases that mark an answer as a refusal.
+REFUSALS = ["no information", "aucune information", "do not contain", "ne contiennent pas"]
+#: Instructions for answers, by language.
+SYSTEM_PROMPTS = {
+    "en": "Answer from the numbered excerpts only and cite each claim as [n]. Name an article where its excerpt does. Keep different articles apart, one subsection each. Say which excerpts are off topic and what they leave open. Use no other knowledge.",
+    "fr": "Réponds uniquement à partir des extraits numérotés et cite chaque affirmation par [n]. Nomme l'article quand l'extrait le donne. Traite les articles distincts en sous-sections séparées. Dis quels extraits sont hors sujet et ce qu'ils ne couvrent pas. N'utilise aucune autre connaissance.",
+}
 # BM25 and its field boosts.
 K1, B = 1.2, 0.75
 BOOSTS = {"text": 1.0, "title": 2.0, "doc_title": 2.5, "section": 1.5, "article": 3.0}

@@ -27,8 +27,18 @@ def count_tokens(text: Column) -> Column:
 
 
 def tokenize(text: Column) -> Column:
-    """Index tokens: lower case, letters and digits of each word; 'article premier' and 'article 1er' are one token."""
-    bare = F.transform(F.split(F.trim(F.lower(text)), r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]+", ""))
+    """Index tokens: lower case, letters and digits of each word; 'article premier' and 'article 1er' are one token.
+
+    One pass over the text takes out what is neither, one splits it; only texts that hold
+    'article' before such a word are gone through word by word.
+    """
+    low = F.lower(text)
+    split = lambda t: F.array_remove(F.split(t, r"\s+"), F.lit(""))
+    return let(F.regexp_replace(low, r"[^\p{L}\p{N}\s]++", ""), lambda t: F.when(t.rlike(r"article\s+(?:premier|1er)"), _merged(low)).otherwise(split(t)))
+
+
+def _merged(low: Column) -> Column:
+    bare = F.transform(F.split(F.trim(low), r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]+", ""))
     joined = F.concat(F.lit(" "), F.array_join(bare, "  "), F.lit(" "))
     merged = F.regexp_replace(joined, " article  (premier|1er) ", " article\u0001$1 ")
     return F.transform(F.filter(F.split(merged, " +"), lambda w: w != ""), lambda w: F.replace(w, F.lit("\u0001"), F.lit(" ")))
@@ -74,7 +84,7 @@ def stable_doc_id(path: Column) -> Column:
 def strip_markup(text: Column) -> Column:
     """Tags become spaces, blank and bare bullet lines go, white space collapses."""
     lines = F.split(F.regexp_replace(text, "<[^>]+>", " "), "\n")
-    kept = F.filter(F.transform(lines, F.trim), lambda x: ~x.isin("", "•", "*", "-"))
+    kept = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: ~x.isin("", "•", "*", "-"))
     return F.trim(F.regexp_replace(F.array_join(kept, " "), r"\s+", " "))
 
 
@@ -105,7 +115,7 @@ def article_refs(query: Column) -> Column:
 
 def boundary_sentence(text: Column, from_end: bool) -> Column:
     """The last or first part, at '. ', of over 20 bytes; else the last or first part at all."""
-    parts = F.filter(F.transform(F.split(F.trim(text), r"\. "), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.trim(text), r"\. "), lambda x: F.trim(x)), lambda p: p != "")
     long = F.filter(parts, lambda p: F.octet_length(p) > 20)
     at = -1 if from_end else 1
     return F.coalesce(F.try_element_at(long, F.lit(at)), F.try_element_at(parts, F.lit(at)), F.lit(""))
@@ -180,6 +190,6 @@ def cosine(a: Column, b: Column) -> Column:
 
 def params(text: Column) -> Column:
     """key=value lines as a map; blank and # lines are left out, the last of equal keys wins."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: (x != "") & ~x.startswith("#") & x.contains("="))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#") & x.contains("="))
     pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("k"), F.trim(F.substring(x, F.locate("=", x) + 1, F.length(x))).alias("v")))
     return F.aggregate(pairs, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["k"]), F.create_map(p["k"], p["v"])))

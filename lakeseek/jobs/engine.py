@@ -1,84 +1,228 @@
-"""The library as one object: tables below a root folder."""
+"""The library as one object: an append-only store of documents, chunks and postings below a root folder."""
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunking, evalkit, excerpt, index, stats
+from ..operators import chunking, embedding, evalkit, excerpt, index, lexical, stats
 from ..operators import retrieve as ranking
-from ..operators.legal import expansions
-from ..session import ship
+from ..session import cut, ship
+
+#: How chunks are made; an index of another version should be built anew.
+CHUNKING_VERSION = "2"
+
+_CHUNKS = "chunk_id string, doc_id string, corpus string, title string, doc_title string, section_path string, source string, position int, article string, text string, embedding array<float>, embed_failed boolean, committed long"
+#: Tables of a commit. committed: when, in microseconds, so that a later mark of a document takes out its earlier rows only.
+TABLES = {
+    "documents": "doc_id string, title string, corpus string, content string, content_type string, original_content string, book_title string, article string, committed long",
+    "chunks": _CHUNKS,
+    "postings": index.SCHEMAS["postings"] + ", committed long",
+    "term_df": index.SCHEMAS["term_df"],
+    "counts": "n long, tokens long",
+    "marks": "doc_id string, marked long",
+    "log": "event string, doc_id string, corpus string, chunks long, embedded long, failed long, at timestamp",
+}
+_COMMITS = "id string, at long, kind string, replaces array<string>, tables array<string>"
 
 
 class Engine:
-    """Each ingest or delete writes new versions of the tables and then the pointer to them, so readers never see half of one."""
+    """A commit is a folder of tables, and counts once its entry in commits is there: readers never see half of one.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = ship(spark), root.rstrip("/")
+    Nothing is rewritten by ingest() and delete(): they add rows, and marks that take out
+    what a document had before; document frequencies and lengths are sums of what commits
+    add and take away. compact() folds all into one commit. Ids of commits are unique, so
+    writers don't overwrite each other's; of two that bring the same new document at once
+    both stay until it comes again. A commit of a given id is written once, so a batch
+    that runs again changes nothing.
+    """
 
-    def _versions(self) -> list[int]:
+    def __init__(self, spark: SparkSession, root: str, embed: Callable[[list[str]], list[list[float]]] | None = None, model: str = ""):
+        self.spark, self.root, self.embed = ship(spark), root.rstrip("/"), embed
+        self.settings = {"chunking_version": CHUNKING_VERSION, "embeddings_enabled": embed is not None, "embedding_model": model}
+
+    # --- commits
+
+    def _read(self, path: str, schema: str, kind: str = "parquet") -> DataFrame | None:
         try:
-            rows = self.spark.read.json(f"{self.root}/versions").collect()
+            return self.spark.read.schema(schema).format(kind).load(path)
         except Exception as e:
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                return []
+            if "PATH_NOT_FOUND" in str(e):
+                return None
             raise
-        return sorted(r["version"] for r in rows)
+
+    def _commits(self) -> list:
+        """Commits that count, in order; those that a compaction took in don't."""
+        rows = self._read(f"{self.root}/commits/*", _COMMITS, "json")
+        rows = [] if rows is None else sorted(rows.collect(), key=lambda r: (r["at"], r["id"]))
+        gone = {i for r in rows for i in r["replaces"] or ()}
+        return [r for r in rows if r["id"] not in gone]
+
+    def _table(self, name: str, commits: list) -> DataFrame:
+        paths = [f"{self.root}/data/{r['id']}/{name}" for r in commits if name in r["tables"]]
+        return self.spark.read.schema(TABLES[name]).parquet(*paths) if paths else self.spark.createDataFrame([], TABLES[name])
+
+    def _commit(self, kind: str, tables: dict[str, DataFrame], at: int, name: str | None = None, replaces: list[str] = ()) -> None:
+        name = name or f"{at}-{uuid.uuid4().hex}"
+        for k, df in tables.items():
+            cast = (f"CAST(`{c.split()[0]}` AS {c.split(' ', 1)[1]}) AS `{c.split()[0]}`" for c in TABLES[k].split(", "))
+            df.selectExpr(*cast).write.mode("overwrite").parquet(f"{self.root}/data/{name}/{k}")
+        entry = self.spark.createDataFrame([(name, at, kind, list(replaces), list(tables))], _COMMITS).coalesce(1)
+        entry.write.mode("ignore").json(f"{self.root}/commits/{name}")
+
+    def _now(self, commits: list) -> int:
+        """Later than every commit there is."""
+        return max([time.time_ns() // 1000, *(r["at"] + 1 for r in commits)])
+
+    # --- what the store holds
+
+    def _live(self, name: str, commits: list) -> DataFrame:
+        """Rows of a table that no later mark of their document takes out."""
+        marks = self._table("marks", commits).groupBy("doc_id").agg(F.max("marked").alias("marked"))
+        rows = self._table(name, commits)
+        if not any("marks" in r["tables"] for r in commits):
+            return rows
+        found = lexical.held(marks)
+        marks = marks if found is None else F.broadcast(self.spark.createDataFrame(found, marks.schema))
+        return rows.join(marks.withColumnRenamed("doc_id", "marked_id"), (F.col("doc_id") == F.col("marked_id")) & (F.col("marked") > F.col("committed")), "left_anti")
 
     def index(self) -> index.Index | None:
-        v = self._versions()
-        return index.load(self.spark, f"{self.root}/v{v[-1]}") if v else None
-
-    def _publish(self, chunks: DataFrame, log: DataFrame) -> None:
-        v = (self._versions() or [0])[-1] + 1
-        index.build(chunks, f"{self.root}/v{v}")
-        log.write.mode("append").parquet(f"{self.root}/log")
-        self.spark.createDataFrame([(v,)], "version int").coalesce(1).write.mode("append").json(f"{self.root}/versions")
-
-    def ingest(self, docs: DataFrame) -> None:
-        """Chunks, indexes and stores documents; those that are there already are replaced."""
-        new = chunking.chunk_documents(chunking.normalize_documents(docs))
-        old = self.index()
-        rows = index.upsert(old.chunks.select(new.columns), new) if old else new
-        self._publish(rows, stats.ingest_log(new))
+        commits = self._commits()
+        if not commits:
+            return None
+        chunks = self._live("chunks", commits)
+        df = self._table("term_df", commits).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        vectors = chunks.where("embedding IS NOT NULL").select("chunk_id", "corpus", "embedding")
+        return index.Index(chunks.drop("committed"), self._live("postings", commits).drop("committed"), df, index.mean_length(self._table("counts", commits)), vectors)
+
+    def documents(self) -> DataFrame:
+        """Stored documents with their content, as Markdown and as it came."""
+        return self._live("documents", self._commits()).drop("committed")
+
+    def stats(self) -> DataFrame:
+        return stats.totals(self._table("log", self._commits()))
+
+    def manifest(self) -> dict:
+        """The settings that the store was made with; those of this engine where there are none."""
+        rows = self._read(f"{self.root}/manifest", "value string", "text")
+        found = [] if rows is None else rows.collect()
+        return json.loads(found[0]["value"]) if found else dict(self.settings)
+
+    def warnings(self) -> list[str]:
+        """Where the running settings differ from the manifest."""
+        return stats.manifest_warnings(self.manifest(), self.settings)
+
+    # --- changes
+
+    def _minus(self, old: DataFrame) -> dict[str, DataFrame]:
+        """Document frequencies and lengths of chunks that go, to be taken away."""
+        fields = index.chunk_fields(old)
+        posted = cut(index.postings(fields), "gone")
+        counts = index.corpus_counts(fields, posted)
+        return {"term_df": index.term_df(posted).select("term", (-F.col("df")).alias("df")), "counts": counts.select((-F.col("n")).alias("n"), (-F.col("tokens")).alias("tokens"))}
+
+    def ingest(self, docs: DataFrame, commit: str | None = None) -> None:
+        """Chunks, embeds, indexes and stores documents; those that are there already are replaced. Of rows of one id the one of least hash is taken."""
+        commits = self._commits()
+        if commit is not None and any(r["id"] == commit for r in commits):
+            return
+        if not commits:
+            self.spark.createDataFrame([(json.dumps(self.settings),)], "value string").coalesce(1).write.mode("ignore").text(f"{self.root}/manifest")
+        at = self._now(commits)
+        again = docs.groupBy("id").count().where("count > 1")
+        if not again.isEmpty():  # only these are moved
+            often = docs.join(again.select("id"), "id", "left_semi").groupBy("id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("d")).select("d.*")
+            docs = docs.join(again.select("id"), "id", "left_anti").unionByName(often)
+        docs = cut(chunking.normalize_documents(docs.where("coalesce(id, '') <> ''")), "documents")
+        chunks = chunking.chunk_documents(docs)
+        chunks = embedding.embed(chunks, self.embed) if self.embed else chunks.withColumns({"embedding": F.lit(None).cast("array<float>"), "embed_failed": F.lit(False)})
+        chunks = cut(chunks, "chunks")
+        fields = index.chunk_fields(chunks)
+        posted = cut(index.by_term(index.postings(fields)), "postings")
+        tables = {"term_df": index.term_df(posted), "counts": index.corpus_counts(fields, posted)}
+        if commits:
+            ids = docs.select(F.col("id").alias("doc_id"))
+            known = cut(self._live("documents", commits).select("doc_id").join(ids, "doc_id", "left_semi").distinct(), "known")
+            tables["marks"] = known.withColumn("marked", F.lit(at))
+            old = self._live("chunks", commits).join(known, "doc_id", "left_semi")
+            for k, gone in self._minus(old).items():
+                tables[k] = tables[k].unionByName(gone)
+            tables["term_df"] = tables["term_df"].groupBy("term").agg(F.sum("df").alias("df"))
+            log = stats.ingest_log(old, event="delete").unionByName(stats.ingest_log(chunks))
+        else:
+            log = stats.ingest_log(chunks)
+        own = F.lit(at).alias("committed")
+        tables |= {"documents": docs.select(F.col("id").alias("doc_id"), *(c for c in docs.columns if c != "id"), own), "chunks": chunks.select("*", own), "postings": posted.select("*", own), "log": log}
+        self._commit("ingest", tables, at, commit)
 
     def delete(self, ids: list[str]) -> int:
         """Removes documents; how many there were."""
-        old = self.index()
-        if old is None:
-            return 0
-        keys = self.spark.createDataFrame([(i,) for i in ids], "doc_id string")
-        gone = old.chunks.join(F.broadcast(keys), "doc_id", "left_semi")
-        n = gone.select("doc_id").distinct().count()
+        commits = self._commits()
+        keys = self.spark.createDataFrame([(i,) for i in set(ids)], "doc_id string")
+        known = cut(self._live("documents", commits).join(F.broadcast(keys), "doc_id", "left_semi").select("doc_id").distinct(), "known")
+        n = known.count()
         if n:
-            self._publish(index.delete(old.chunks, keys), stats.ingest_log(gone, event="delete"))
+            at = self._now(commits)
+            old = self._live("chunks", commits).join(known, "doc_id", "left_semi")
+            self._commit("delete", self._minus(old) | {"marks": known.withColumn("marked", F.lit(at)), "log": stats.ingest_log(old, event="delete")}, at)
         return n
 
+    def compact(self) -> None:
+        """Folds all commits into one: marked rows go, and their marks with them. Readers of the old ones are not disturbed; their files stay until someone removes them."""
+        commits = self._commits()
+        if len(commits) < 2:
+            return
+        chunks = self._live("chunks", commits)
+        df = self._table("term_df", commits).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        tables = {"documents": self._live("documents", commits), "chunks": chunks, "postings": index.by_term(self._live("postings", commits)), "term_df": df, "counts": self._table("counts", commits).agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")), "log": self._table("log", commits)}
+        self._commit("compact", tables, self._now(commits), replaces=[r["id"] for r in commits])
+
     def reset(self) -> None:
-        old = self.index()
-        if old is not None:
-            self._publish(old.chunks.where("false"), stats.ingest_log(old.chunks, event="delete"))
+        """Empties the store; the log keeps what was there."""
+        commits = self._commits()
+        if commits:
+            log = self._table("log", commits).unionByName(stats.ingest_log(self._live("chunks", commits), event="delete"))
+            self._commit("reset", {"log": log}, self._now(commits), replaces=[r["id"] for r in commits])
 
-    def stats(self) -> DataFrame:
-        return stats.totals(self.spark.read.parquet(f"{self.root}/log"))
+    # --- questions
+
+    def _vectors(self, queries: DataFrame) -> DataFrame | None:
+        """queries with the vectors of their texts; those that can't be had are left out."""
+        return embedding.embed(queries, self.embed).where("embedding IS NOT NULL") if self.embed else None
 
     def retrieve(self, queries: DataFrame, params: ranking.RetrieveParams = ranking.RetrieveParams(), expand: bool = False) -> DataFrame:
-        """Hits for a table of queries (qid, text, corpus); with expand, over rule-made variants of each."""
+        """Hits for a table of queries (qid, text, corpus), by words and, with an embedder, by vectors; with expand, queries of legal corpora are searched for in rule-made variants too."""
         if queries.where("trim(coalesce(text, '')) = ''").limit(1).count():
             raise ValueError("a query has no text")
         at = self.index()
         if at is None:
             raise ValueError("nothing is indexed yet")
         if expand:
-            rows = queries.select("qid", F.posexplode(expansions(F.col("text"))).alias("variant", "text"), "corpus")
-            return ranking.retrieve_variants(at, rows, params)
-        return ranking.retrieve(at, queries, params)
+            rows = ranking.build_queries(queries.select("qid", F.col("text").alias("generation_q"), F.lit("").alias("retrieval_q"), "corpus"))
+            vectors = self._vectors(rows)
+            return ranking.retrieve_variants(at, rows, params, None if vectors is None else vectors.select("qid", "variant", "corpus", "embedding"))
+        vectors = self._vectors(queries)
+        return ranking.retrieve(at, queries, params, None if vectors is None else vectors.select("qid", "corpus", "embedding"))
 
     def prompts(self, queries: DataFrame, params: ranking.RetrieveParams = ranking.RetrieveParams()) -> DataFrame:
         hits = self.retrieve(queries, params)
         return excerpt.prompts(excerpt.with_excerpts(hits, self.index().chunks, queries), queries, params.top_k)
 
-    def evaluate(self, gold: DataFrame, params: ranking.RetrieveParams = ranking.RetrieveParams()) -> DataFrame:
+    def evaluate(self, gold: DataFrame, params: ranking.RetrieveParams = ranking.RetrieveParams(), path: str | None = None) -> DataFrame:
+        """Recall, reciprocal rank and refusals over gold cases; path: where the report goes, as JSON, with the cases."""
+        q = gold.select(F.col("id").alias("qid"), F.coalesce("retrieval_q", "generation_q").alias("text"), "corpus")
+        cases = cut(evalkit.per_case(self.retrieve(q, params), gold, params.top_k), "cases")
+        done = evalkit.report(cases)
+        if path:
+            evalkit.write_report(done, cases, path)
+        return done
+
+    def evaluate_excerpts(self, gold: DataFrame, params: ranking.RetrieveParams = ranking.RetrieveParams()) -> DataFrame:
+        """(id, section, passed) for each section whose excerpt must hold terms."""
         q = gold.select(F.col("id").alias("qid"), F.coalesce("retrieval_q", "generation_q").alias("text"), "corpus")
-        return evalkit.report(evalkit.per_case(self.retrieve(q, params), gold, params.top_k))
+        return evalkit.excerpt_cases(excerpt.with_excerpts(self.retrieve(q, params), self.index().chunks, q), gold)

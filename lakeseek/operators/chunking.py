@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from ..functions import markup
 from ..functions import text as X
@@ -34,11 +34,11 @@ def token_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", c
 
 
 def neighbor_context(sections: DataFrame, by: str, order: str, text: str = "text") -> DataFrame:
-    """sections with column context: the last sentence of the one before and the first of the one after around the text."""
+    """sections with column context: the last sentence of the one before and the first of the one after around the text, behind their marks."""
     w = Window.partitionBy(by).orderBy(order)
     before, after = X.boundary_sentence(F.lag(text).over(w), True), X.boundary_sentence(F.lead(text).over(w), False)
-    out = F.when(before != "", F.concat(F.lit(T.CONTEXT_BEFORE + "\n"), before, F.lit("\n\n"))).otherwise(F.lit(""))
-    end = F.when(after != "", F.concat(F.lit("\n\n" + T.CONTEXT_AFTER + "\n"), after)).otherwise(F.lit(""))
+    out = F.when(before != "", F.concat(F.lit(T.CONTEXT_BEFORE + " "), before, F.lit(".\n\n"))).otherwise(F.lit(""))
+    end = F.when(after != "", F.concat(F.lit("\n\n" + T.CONTEXT_AFTER + " "), after)).otherwise(F.lit(""))
     return sections.withColumn("__b", before).withColumn("__a", after).withColumn("context", F.concat(out, F.col(text), end)).drop("__b", "__a")
 
 
@@ -48,37 +48,50 @@ def is_indexable(text: Column, title: Column, min_bytes: int = 80) -> Column:
     return (F.octet_length(t) >= min_bytes) & ((F.trim(title) == "") | (F.lower(t) != F.lower(F.trim(title))))
 
 
-def merge_small(chunks: DataFrame, by: str, order: str, min_bytes: int = 80) -> DataFrame:
-    """(by, id, title, text): while a chunk is under min_bytes it takes in the next, keeping its own id. One row group a document."""
-    arr = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("chunk_id").alias("id"), "title", "text")))
+def merge_small(chunks: DataFrame, by: str, order: str, min_bytes: int = 80, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(by, position, chunk_id, title, text and the columns to carry): while a chunk is under min_bytes it takes in the next, keeping its own id and what it carries. One row group a document."""
+    arr = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("chunk_id").alias("id"), "title", "text", *carry)))
     rows = chunks.groupBy(by).agg(arr.alias("a"))
+    more = "".join(f", '{c}', {{0}}.{c}" for c in carry)
+    one = lambda x: f"named_struct('id', {x}.id, 'title', {x}.title, 'text', {x}.text{more.format(x)})"
     fold = f"""aggregate(slice(a, 2, greatest(size(a) - 1, 0)),
-      named_struct('out', cast(array() AS array<struct<id:string,title:string,text:string>>), 'cur', named_struct('id', a[0].id, 'title', a[0].title, 'text', a[0].text)),
+      named_struct('out', slice(array({one('a[0]')}), 1, 0), 'cur', {one('a[0]')}),
       (s, x) -> if(octet_length(trim(s.cur.text)) < {min_bytes},
-        named_struct('out', s.out, 'cur', named_struct('id', s.cur.id, 'title', if(s.cur.title = '' AND x.title <> '', x.title, s.cur.title), 'text', concat(trim(s.cur.text), '\n\n', trim(x.text)))),
-        named_struct('out', concat(s.out, array(s.cur)), 'cur', named_struct('id', x.id, 'title', x.title, 'text', x.text))),
+        named_struct('out', s.out, 'cur', named_struct('id', s.cur.id, 'title', if(s.cur.title = '' AND x.title <> '', x.title, s.cur.title), 'text', concat(trim(s.cur.text), '\n\n', trim(x.text)){more.format('s.cur')})),
+        named_struct('out', concat(s.out, array(s.cur)), 'cur', {one('x')})),
       s -> concat(s.out, array(s.cur)))"""
-    return rows.select(by, F.posexplode(F.expr(fold)).alias("position", "c")).select(by, "position", F.col("c.id").alias("chunk_id"), F.col("c.title").alias("title"), F.col("c.text").alias("text"))
+    return rows.select(by, F.posexplode(F.expr(fold)).alias("position", "c")).select(by, "position", F.col("c.id").alias("chunk_id"), "c.title", "c.text", *(f"c.{c}" for c in carry))
 
 
-_SECTIONS = ArrayType(StructType([StructField("level", IntegerType()), StructField("title", StringType()), StructField("path", StringType()), StructField("text", StringType())]))
-_KIND = pa.list_(pa.struct([("level", pa.int32()), ("title", pa.string()), ("path", pa.string()), ("text", pa.string())]))
+_SECTIONS = ArrayType(StructType([StructField("title", StringType()), StructField("path", StringType()), StructField("text", StringType()), StructField("legal", BooleanType())]))
+_KIND = pa.list_(pa.struct([("title", pa.string()), ("path", pa.string()), ("text", pa.string()), ("legal", pa.bool_())]))
 
 
 @F.arrow_udf(_SECTIONS)
 def sections(text: pa.Array) -> pa.Array:
-    """Sections of Markdown by headings, or by articles where the text is legal and has more of those."""
+    """Sections of Markdown by headings (no path yet), or by articles where the text has one heading at most and several of those. A text starts with its title."""
     out = []
     for t in text.to_pylist():
-        rows = [{"level": a, "title": b, "path": b, "text": markup.markdown_text(c)} for a, b, c in markup.heading_sections(t)]
+        rows = [{"title": title, "path": None, "text": "\n\n".join(x for x in (title, markup.markdown_text(body)) if x), "legal": False} for _, title, body in markup.heading_sections(t)]
+        rows = [r | {"title": r["title"] or r["text"].split("\n")[0].strip()} for r in rows]
         if len(rows) <= 1:
             legal = markup.legal_sections(t)
             if len(legal) > 1:
-                rows = [{"level": 1, "title": a, "path": p, "text": c} for a, p, c in legal]
-        out.append([r for r in rows if r["text"] or r["title"]])
+                rows = [{"title": title, "path": path, "text": body, "legal": True} for title, path, body in legal]
+        out.append([r for r in rows if r["text"]])
     return pa.array(out, _KIND)
 
 
+@F.arrow_udf(ArrayType(StructType([StructField("level", IntegerType()), StructField("text", StringType())])))
+def _heading_list(text: pa.Array) -> pa.Array:
+    return pa.array([[{"level": n, "text": x} for n, x in markup.heading_list(t)] for t in text.to_pylist()], pa.list_(pa.struct([("level", pa.int32()), ("text", pa.string())])))
+
+
+def headings(text: Column) -> Column:
+    """Array of 'Titre 1: text' and the like, one for each heading of a Markdown text."""
+    return F.transform(_heading_list(text), lambda x: F.concat(X.heading_prefix(x["level"]), F.lit(" "), x["level"].cast("string"), F.lit(": "), x["text"]))
+
+
 @F.arrow_udf(StringType())
 def to_markdown(html: pa.Array) -> pa.Array:
     return pa.array([markup.html_to_markdown(t) for t in html.to_pylist()], pa.string())
@@ -95,29 +108,32 @@ def normalize_documents(docs: DataFrame) -> DataFrame:
 def chunk_documents(docs: DataFrame, cfg: ChunkConfig = ChunkConfig()) -> DataFrame:
     """Documents (normalised) -> chunks.
 
-    Sections by heading or article; those of over 2 * max_words words go by token
-    windows; small ones merge; what isn't indexable is left out, and a document left
-    with nothing is one chunk if it is indexable as a whole. chunk_id is
-    '{doc_id}-chunk-{i}', i by place of origin.
+    Sections by heading, or by article; articles have the sentences next to them put
+    around them and a path 'Titre -> article'. Sections of over 2 * max_words words go
+    by token windows; small ones merge, keeping the first one's id, path and article;
+    what isn't indexable is left out, and a document left with nothing is one chunk if
+    it is indexable as a whole. chunk_id is '{doc_id}-chunk-{i}', i by place of origin.
+    Null and empty documents have no chunk; rows of one id are one document's.
     """
-    base = docs.select(F.col("id").alias("doc_id"), F.coalesce("title", F.lit("")).alias("doc_title"), F.coalesce("corpus", F.lit("")).alias("corpus"), "content")
-    rows = base.select("doc_id", F.posexplode(sections(F.col("content"))).alias("sec", "s"))
+    base = docs.select(F.col("id").alias("doc_id"), F.coalesce("title", F.lit("")).alias("doc_title"), F.coalesce("corpus", F.lit("")).alias("corpus"), "content", "content_type")
+    rows = base.select("doc_id", F.posexplode(sections(F.col("content"))).alias("sec", "s")).select("doc_id", "sec", "s.*")
+    rows = neighbor_context(rows, "doc_id", "sec").withColumn("body", F.when(F.col("legal"), F.col("context")).otherwise(F.col("text")))
+    rows = rows.withColumn("path", F.coalesce("path", X.section_path(F.col("title"), F.col("sec"))))
     step = cfg.max_words - cfg.overlap
-    rows = rows.select("doc_id", "sec", "s.title", "s.path", F.col("s.text").alias("body")).withColumn("w", X.fields(F.col("body")))
+    rows = rows.select("doc_id", "sec", "title", "path", "body").withColumn("w", X.fields(F.col("body")))
     cut = F.expr(f"if(size(w) > {2 * cfg.max_words}, transform(sequence(0, cast(ceil((size(w) - {cfg.max_words}) / {step}D) AS int)), i -> array_join(slice(w, i * {step} + 1, {cfg.max_words}), ' ')), array(body))")
     rows = rows.select("doc_id", "sec", "title", "path", F.posexplode(cut).alias("part", "text"))
-    order = F.struct("sec", "part")
-    rows = rows.withColumn("o", order)
+    rows = rows.withColumn("o", F.struct("sec", "part"))
     w = Window.partitionBy("doc_id").orderBy("o")
     rows = rows.withColumn("chunk_id", F.concat_ws("-", "doc_id", F.lit("chunk"), F.row_number().over(w) - 1))
-    merged = merge_small(rows.withColumn("text", F.concat_ws("\n", F.when(F.col("title") != "", F.col("title")), "text")), "doc_id", "o", cfg.min_bytes)
+    merged = merge_small(rows, "doc_id", "o", cfg.min_bytes, ("path",)).withColumn("source", F.lit("markdown"))
     good = merged.where(is_indexable(F.col("text"), F.col("title"), cfg.min_bytes))
     whole = base.join(good.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("text", X.strip_markup(F.col("content")))
-    whole = whole.where(is_indexable(F.col("text"), F.lit(""), cfg.min_bytes)).select("doc_id", F.lit(0).alias("position"), F.concat_ws("-", "doc_id", F.lit("chunk-0")).alias("chunk_id"), F.lit("document").alias("title"), "text")
-    out = good.select("doc_id", "position", "chunk_id", "title", "text").unionByName(whole)
-    out = out.join(base.select("doc_id", "doc_title", "corpus"), "doc_id")
+    whole = whole.where(is_indexable(F.col("text"), F.lit(""), cfg.min_bytes))
+    whole = whole.select("doc_id", F.lit(0).alias("position"), F.concat_ws("-", "doc_id", F.lit("chunk-0")).alias("chunk_id"), F.lit("document").alias("title"), "text", F.lit("document").alias("path"), F.col("content_type").alias("source"))
+    out = good.select(whole.columns).unionByName(whole).join(base.select("doc_id", "doc_title", "corpus"), "doc_id")
     return out.select(
         "chunk_id", "doc_id", "corpus", F.when(F.trim("title") == "", F.col("doc_title")).otherwise(F.col("title")).alias("title"), "doc_title",
-        X.section_path(F.col("title"), F.col("position")).alias("section_path"), F.lit("html").alias("source"), "position",
+        F.col("path").alias("section_path"), "source", "position",
         F.when(F.upper("title").startswith("ARTICLE"), X.article_number(F.col("title"))).otherwise("").alias("article"), X.strip_markup(F.col("text")).alias("text"),
     )

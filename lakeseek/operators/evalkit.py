@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import terms as T
 from ..functions import text as X
 
 
@@ -41,7 +42,7 @@ def report(cases: DataFrame) -> DataFrame:
 def excerpt_cases(hits: DataFrame, gold: DataFrame) -> DataFrame:
     """(id, section, passed): the excerpt of the first hit in a section holds every term asked for there."""
     asked = gold.where("excerpt_terms_by_section IS NOT NULL").select("id", F.explode("excerpt_terms_by_section").alias("want", "terms"))
-    rows = asked.join(hits.withColumnRenamed("qid", "id"), "id", "left").where("section IS NULL OR " + "true")
+    rows = asked.join(hits.withColumnRenamed("qid", "id"), "id", "left")
     match = X.section_matches(F.coalesce("section", F.lit("")), F.coalesce("article", F.lit("")), F.col("want"))
     first = rows.groupBy("id", "want", "terms").agg(F.min_by(F.when(match, F.col("excerpt")), F.when(match, F.col("rank"))).alias("excerpt"))
     low = F.lower(F.coalesce("excerpt", F.lit("")))
@@ -53,3 +54,15 @@ def phrase_cases(answers: DataFrame, gold: DataFrame) -> DataFrame:
     rows = gold.where("size(generation_phrases) > 0").join(answers, "id", "left")
     low = F.lower(F.coalesce("answer", F.lit("")))
     return rows.select("id", F.forall("generation_phrases", lambda p: F.contains(low, F.lower(p))).alias("passed"))
+
+
+def refusals(answers: DataFrame) -> DataFrame:
+    """answers with refusal: whether the answer says that the excerpts don't tell."""
+    low = F.lower(F.coalesce("answer", F.lit("")))
+    return answers.withColumn("refusal", F.exists(F.array(*map(F.lit, T.REFUSALS)), lambda p: F.contains(low, p)))
+
+
+def write_report(report: DataFrame, cases: DataFrame, path: str) -> None:
+    """One JSON object below path: the report's columns and per_case, sorted by id. Cases are as many as someone wrote down."""
+    each = cases.agg(F.array_sort(F.collect_list(F.struct("id", "hit", "rr", "retrieved", "expect_no_results"))).alias("per_case"))
+    report.join(F.broadcast(each)).coalesce(1).write.mode("overwrite").json(path)

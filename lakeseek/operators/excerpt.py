@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms as T
 from ..functions import text as X
+from . import lexical
 
 EXCERPT, LEGAL, HEAD, PROMPT, SENTENCES = 900, 2200, 1200, 6000, 3
 
@@ -26,7 +27,7 @@ def sentence_score(sentence: Column, query_terms: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    parts = F.transform(F.split(text, r"\. "), F.trim)
+    parts = F.transform(F.split(text, r"\. "), lambda x: F.trim(x))
     return F.filter(parts, lambda s: (s != "") & ~heading_only(s))
 
 
@@ -80,9 +81,9 @@ def _excerpt(t: Column, query: Column, article: Column, limit: int) -> Column:
 
 def with_excerpts(hits: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """hits with column excerpt."""
-    texts = chunks.select("chunk_id", "text").join(F.broadcast(hits), "chunk_id")
+    texts = chunks.select("chunk_id", "text").join(lexical.local(hits), "chunk_id")
     q = queries.select("qid", F.col("text").alias("query"))
-    return texts.join(F.broadcast(q), "qid").withColumn("excerpt", excerpt(F.col("text"), F.col("query"), F.col("article"))).drop("text", "query")
+    return texts.join(lexical.local(q), "qid").withColumn("excerpt", excerpt(F.col("text"), F.col("query"), F.col("article"))).drop("text", "query")
 
 
 def within_budget(rows: DataFrame, by: str, order: str, text: str, budget: int = PROMPT) -> DataFrame:
@@ -91,14 +92,35 @@ def within_budget(rows: DataFrame, by: str, order: str, text: str, budget: int =
     return rows.withColumn("used", used.cast("long")).where(F.col("used") <= budget)
 
 
+def is_legal_result() -> Column:
+    """Whether any hit of the query is of a legal corpus or an article."""
+    return F.max((F.col("article") != "") | F.contains(F.lower("corpus"), F.lit("legal"))).over(Window.partitionBy("qid"))
+
+
+def checklist(hits: DataFrame) -> DataFrame:
+    """(qid, checklist) of hits with excerpts: reminders for articles 16 (where its excerpt says 'dissoute') and 7; '' without either."""
+    art = F.trim("article")
+    of = hits.groupBy("qid").agg(F.bool_or((art == "16") & F.contains(F.lower("excerpt"), F.lit("dissoute"))).alias("a16"), F.bool_or(art == "7").alias("a7"))
+    lines = F.concat(F.when(F.col("a16"), T.CHECK_16).otherwise(""), F.when(F.col("a7"), T.CHECK_7).otherwise(""))
+    return of.select("qid", F.when(F.col("a16") | F.col("a7"), F.concat(F.lit(T.CHECK_HEAD), lines)).otherwise("").alias("checklist"))
+
+
+def system_prompt(lang: Column, prompts: dict[str, str] | None = None) -> Column:
+    """The instruction for an answer's language: French or, for any other, English. prompts: others than the library's."""
+    p = T.SYSTEM_PROMPTS if prompts is None else prompts
+    return F.when(lang == "fr", F.lit(p["fr"])).otherwise(F.lit(p["en"]))
+
+
 def prompts(hits: DataFrame, queries: DataFrame, top_k: int = 8, legal_k: int = 4) -> DataFrame:
-    """(qid, prompt): numbered excerpts within the budget after the question; legal results show fewer."""
-    legal = F.max((F.col("article") != "") | F.contains(F.lower("corpus"), F.lit("legal"))).over(Window.partitionBy("qid"))
-    rows = hits.withColumn("__k", F.when(legal, min(top_k, legal_k)).otherwise(top_k)).where(F.col("rank") <= F.col("__k"))
+    """(qid, system, prompt): after the question numbered excerpts within the budget, and the checklist where it still fits; legal results show fewer."""
+    rows = hits.withColumn("__k", F.when(is_legal_result(), min(top_k, legal_k)).otherwise(top_k)).where(F.col("rank") <= F.col("__k"))
     path = F.when((F.col("doc_title") != "") & (F.col("doc_title") != F.col("section")), F.concat_ws(" -> ", "doc_title", "section")).otherwise(F.col("section"))
     art = F.when(F.col("article") != "", F.concat(F.lit(" article="), F.col("article"))).otherwise("")
     block = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] section="), path, art, F.lit("\nTexte:\n"), F.col("excerpt"), F.lit("\n\n"))
-    rows = within_budget(rows.withColumn("block", block), "qid", "rank", "block")
-    asked = queries.select("qid", F.col("text").alias("query"))
+    shown = within_budget(rows.withColumn("block", block), "qid", "rank", "block")
     blocks = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]), "")
-    return rows.groupBy("qid").agg(blocks.alias("b")).join(F.broadcast(asked), "qid").select("qid", F.concat(F.lit("Question: "), "query", F.lit("\n\nExcerpts:\n"), "b").alias("prompt"))
+    shown = shown.groupBy("qid").agg(blocks.alias("b")).join(checklist(rows), "qid")
+    more = F.when(F.length("b") + F.length("checklist") <= PROMPT, F.col("checklist")).otherwise("")
+    asked = queries.select("qid", F.col("text").alias("query"))
+    text = F.concat(F.lit("Question: "), "query", F.lit("\n\nExcerpts:\n"), "b", more)
+    return shown.join(lexical.local(asked), "qid").select("qid", system_prompt(X.query_language(F.col("query"))).alias("system"), text.alias("prompt"))

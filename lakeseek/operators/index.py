@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as X
 
 FIELDS = ("text", "title", "doc_title", "section", "article")
+#: Files that the postings of one term are dealt out to, so that a word of every chunk is no task's alone.
+SHARES = 8
 
 
 def chunk_fields(chunks: DataFrame) -> DataFrame:
@@ -19,16 +22,29 @@ def chunk_fields(chunks: DataFrame) -> DataFrame:
     return rows.select("chunk_id", "doc_id", "corpus", "text", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("doc_title", F.lit("")).alias("doc_title"), section.alias("section"), F.coalesce("article", F.lit("")).alias("article"))
 
 
+def _counted(tokens: Column) -> Column:
+    """Tokens -> array of (term, tf): sorted, then cut where the term changes. Counted in the row, so nothing is shuffled."""
+    starts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    ends = lambda s, at: F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(s)))
+    of = lambda s: X.let(starts(s), lambda at: F.zip_with(at, ends(s, at), lambda i, j: F.struct(F.get(s, i).alias("term"), (j - i).cast("long").alias("tf"))))
+    return X.let(F.sort_array(tokens), lambda s: of(s))
+
+
 def field_tokens(fields: DataFrame) -> DataFrame:
-    """(chunk_id, corpus, field, tokens): a row for each field that has tokens."""
-    pairs = F.array(*(F.struct(F.lit(f).alias("field"), X.tokenize(F.col(f)).alias("tokens")) for f in FIELDS))
-    return fields.select("chunk_id", "corpus", F.explode(pairs).alias("x")).select("chunk_id", "corpus", "x.field", "x.tokens").where("size(tokens) > 0")
+    """(chunk_id, doc_id, corpus, field, tokens, before): a row for each field that has tokens; before are those of the shorter fields, named after it."""
+    rows = fields.select("chunk_id", "doc_id", "corpus", *(X.tokenize(F.col(f)).alias(f) for f in FIELDS))
+    pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("tokens"), F.concat(F.array().cast("array<string>"), *(F.col(g) for g in FIELDS[i + 1 :])).alias("before")) for i, f in enumerate(FIELDS)))
+    return rows.select("chunk_id", "doc_id", "corpus", F.explode(pairs).alias("x")).select("chunk_id", "doc_id", "corpus", "x.*").where("size(tokens) > 0")
 
 
 def postings(fields: DataFrame) -> DataFrame:
-    """(term, chunk_id, corpus, field, tf, dl). The field's length is kept with each posting, so scoring joins nothing on chunks."""
-    rows = field_tokens(fields).select("chunk_id", "corpus", "field", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
-    return rows.groupBy("term", "chunk_id", "corpus", "field", "dl").agg(F.count("*").alias("tf")).select("term", "chunk_id", "corpus", "field", "tf", "dl")
+    """(term, chunk_id, doc_id, corpus, field, tf, dl, first), without a shuffle.
+
+    The field's length is kept with each posting, so scoring joins nothing on chunks.
+    first marks one posting of each term and chunk, so document frequencies are plain counts.
+    """
+    rows = field_tokens(fields).select("chunk_id", "doc_id", "corpus", "field", F.size("tokens").cast("long").alias("dl"), "before", F.explode(_counted(F.col("tokens"))).alias("x"))
+    return rows.select("x.term", "chunk_id", "doc_id", "corpus", "field", "x.tf", "dl", (~F.array_contains("before", F.col("x.term"))).alias("first"))
 
 
 def field_lengths(fields: DataFrame) -> DataFrame:
@@ -37,13 +53,23 @@ def field_lengths(fields: DataFrame) -> DataFrame:
 
 def term_df(posted: DataFrame) -> DataFrame:
     """(term, df): chunks with the term in any field."""
-    return posted.groupBy("term").agg(F.countDistinct("chunk_id").alias("df"))
+    return posted.groupBy("term").agg(F.count_if("first").alias("df"))
+
+
+def corpus_counts(fields: DataFrame, posted: DataFrame) -> DataFrame:
+    """One row: n, and the tokens of all fields but article. Texts aren't tokenised again."""
+    n = fields.agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("tokens"))
+    return n.union(posted.where("field <> 'article'").agg(F.lit(0).cast("long"), F.sum("tf"))).agg(F.sum("n").alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+
+
+def mean_length(counts: DataFrame) -> DataFrame:
+    """n and tokens, summed over rows -> one row: n, avgdl."""
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.try_divide(F.sum("tokens").cast("double"), F.sum("n")), F.lit(0.0)).alias("avgdl"))
 
 
-def corpus_stats(fields: DataFrame) -> DataFrame:
+def corpus_stats(fields: DataFrame, posted: DataFrame | None = None) -> DataFrame:
     """One row: n, and avgdl over the summed lengths of all fields but article."""
-    total = sum((F.size(X.tokenize(F.col(f))) for f in FIELDS[:4]), F.lit(0))
-    return fields.agg(F.count("*").alias("n"), F.coalesce(F.avg(total), F.lit(0.0)).alias("avgdl"))
+    return mean_length(corpus_counts(fields, postings(fields) if posted is None else posted))
 
 
 def idf(df, n):
@@ -52,31 +78,46 @@ def idf(df, n):
 
 @dataclass(frozen=True)
 class Index:
-    """Tables of an index; postings are sorted by term inside files, so a query's terms skip row groups."""
+    """Tables of an index; stored postings are sorted by term inside files, so a query's terms skip row groups. vectors: (chunk_id, corpus, embedding) of chunks that have one."""
 
     chunks: DataFrame
     postings: DataFrame
     term_df: DataFrame
     stats: DataFrame
+    vectors: DataFrame | None = None
+
+
+def by_term(posted: DataFrame) -> DataFrame:
+    """Postings as they are stored: dealt by term, large ones to several files, sorted by it."""
+    return posted.repartition("term", F.pmod(F.xxhash64("chunk_id"), F.lit(SHARES))).sortWithinPartitions("term")
+
+
+#: What an index has below its path; the types are read from nothing else, so a corpus '2024' or '' stays what it is.
+SCHEMAS = {
+    "postings": "term string, chunk_id string, doc_id string, corpus string, field string, tf long, dl long, first boolean",
+    "term_df": "term string, df long",
+    "stats": "n long, avgdl double",
+}
 
 
 def build(chunks: DataFrame, path: str | None = None) -> Index:
     """The index of chunks; written below path if given (the way to go at scale: text is tokenised once)."""
-    spark = chunks.sparkSession
     fields = chunk_fields(chunks)
     posted = postings(fields)
     if path is None:
-        return Index(chunks, posted, term_df(posted), corpus_stats(fields))
-    posted.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    posted = spark.read.parquet(f"{path}/postings")
+        return Index(chunks, posted, term_df(posted), corpus_stats(fields, posted))
+    spark = chunks.sparkSession
+    by_term(posted).write.mode("overwrite").parquet(f"{path}/postings")
+    posted = spark.read.schema(SCHEMAS["postings"]).parquet(f"{path}/postings")
     term_df(posted).write.mode("overwrite").parquet(f"{path}/term_df")
-    corpus_stats(fields).write.mode("overwrite").parquet(f"{path}/stats")
-    chunks.write.mode("overwrite").partitionBy("corpus").parquet(f"{path}/chunks")
-    return load(spark, path)
+    corpus_stats(fields, posted).write.mode("overwrite").parquet(f"{path}/stats")
+    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+    return load(spark, path, chunks.schema)
 
 
-def load(spark, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("chunks", "postings", "term_df", "stats")))
+def load(spark, path: str, chunks: StructType) -> Index:
+    read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
+    return Index(read("chunks", chunks), *(read(t, s) for t, s in SCHEMAS.items()))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import terms as T
 from ..functions import text as X
+from ..session import cut
 from . import lexical
 
 
 def is_legal(corpus: Column) -> Column:
+    """Corpora whose queries are expanded by rule."""
     return F.contains(F.lower(corpus), F.lit("legal"))
 
 
@@ -86,7 +88,13 @@ def rerank(hits: DataFrame, enabled: bool | None = None) -> DataFrame:
 def boost_articles(hits: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """For queries that name several articles: all chunks of those that aren't hits yet, at 0.95 of the best score (1 without hits)."""
     refs = queries.select("qid", F.coalesce("corpus", F.lit("")).alias("qcorpus"), X.article_refs(F.col("text")).alias("refs")).where("size(refs) > 1").select("qid", "qcorpus", F.explode("refs").alias("article"))
+    named = lexical.held(refs)
+    if named is not None:
+        if not named.num_rows:
+            return hits.select("qid", "chunk_id", "score")
+        refs = F.broadcast(refs.sparkSession.createDataFrame(named, refs.schema))
+        hits = cut(hits, "hits")  # read three times from here
     top = hits.groupBy("qid").agg(F.max("score").alias("top"))
-    more = chunks.where("article <> ''").join(lexical.small(refs), "article").where("qcorpus = '' OR qcorpus = corpus").select("qid", "chunk_id")
+    more = chunks.where("article <> ''").join(refs, "article").where("qcorpus = '' OR qcorpus = corpus").select("qid", "chunk_id")
     more = more.join(hits.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti").join(top, "qid", "left")
     return hits.select("qid", "chunk_id", "score").unionByName(more.select("qid", "chunk_id", (0.95 * F.coalesce("top", F.lit(1 / 0.95))).alias("score")))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut, small
 from . import fusion, legal, lexical, vector
 from .index import Index
 from .lexical import top_k
@@ -40,19 +41,28 @@ def default_cap(p: RetrieveParams):
 
 
 def hydrate(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Hits with their chunk's columns; hits of unknown chunks go. Hits are few, so they meet the chunks as the small side."""
-    return chunks.join(lexical.small(hits), "chunk_id")
+    """Hits with their chunk's columns; hits of unknown chunks go. Hits are written once, then counted; few of them meet the chunks as the small side."""
+    return chunks.join(small(hits, "hits"), "chunk_id")
 
 
 def fallback_chunks(chunks: DataFrame, requests: DataFrame, k: int, by: str = "position") -> DataFrame:
     """requests (qid, doc_id and, if any, qcorpus) -> the first k chunks of each one's document, scored 1 / place."""
     w = Window.partitionBy("qid").orderBy(by, "chunk_id")
-    rows = chunks.join(lexical.small(requests), "doc_id")
+    rows = chunks.join(lexical.local(requests), "doc_id")
     rows = rows.where("qcorpus = '' OR qcorpus = corpus") if "qcorpus" in requests.columns else rows
     rows = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return rows.withColumn("score", 1.0 / F.col("rank"))
 
 
+def filter_by_article(hits: DataFrame, article: str) -> DataFrame:
+    """Hits of the article, by its number or, where a chunk has none that fits, by 'ARTICLE n' in its title: the whole number, so 1 isn't 16."""
+    want = article.strip().upper()
+    if not want:
+        return hits
+    named = F.upper(F.coalesce("title", F.lit(""))).rlike(r"ARTICLE \Q" + want + r"\E(?![0-9])" + ("|ARTICLE PREMIER" if want == "1" else ""))
+    return hits.where((F.upper(F.coalesce("article", F.lit(""))) == want) | named)
+
+
 def without_hits(queries: DataFrame, hits: DataFrame, doc_id: str) -> DataFrame:
     """(qid, qcorpus, doc_id) of queries that have no hit."""
     asked = queries.select("qid", F.coalesce("corpus", F.lit("")).alias("qcorpus"), F.lit(doc_id).alias("doc_id")).distinct()
@@ -64,57 +74,83 @@ def min_score_gate(hits: DataFrame, least: float) -> DataFrame:
     return hits.withColumn("__top", F.max("score").over(Window.partitionBy("qid"))).where(F.col("__top") >= least).drop("__top")
 
 
-def candidates(index: Index, queries: DataFrame, p: RetrieveParams, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None) -> DataFrame:
-    """(qid, chunk_id, score): lexical hits, fused with vector hits where there are vectors."""
+def candidates(index: Index, queries: DataFrame, p: RetrieveParams, query_vectors: DataFrame | None = None) -> DataFrame:
+    """(qid, chunk_id, score): lexical hits, fused with vector hits where the index and the queries have vectors."""
     words = lexical.search(index, queries, p.bm25_k)
-    if vectors is None or query_vectors is None:
+    if index.vectors is None or query_vectors is None:
         return fusion.weighted(words, words.where("false"), 1.0) if p.fusion == "weighted" else fusion.rrf(words)
-    near = vector.search(vectors, query_vectors, p.vector_k)
+    near = vector.search(index.vectors, query_vectors, p.vector_k)
     return fusion.weighted(words, near, p.weight) if p.fusion == "weighted" else fusion.rrf(words, near)
 
 
-def retrieve(index: Index, queries: DataFrame, p: RetrieveParams = RetrieveParams(), vectors: DataFrame | None = None, query_vectors: DataFrame | None = None) -> DataFrame:
+def retrieve(index: Index, queries: DataFrame, p: RetrieveParams = RetrieveParams(), query_vectors: DataFrame | None = None) -> DataFrame:
     """(qid, text, corpus) -> hits (qid, rank, chunk_id, doc_id, score, corpus, section, doc_title, section_path, article).
 
     Lists are fused by id, then joined to chunks; short texts weigh less; articles named
     together are added; legal hits reranked. The cap per document comes before the
     filters by document and article, the limit after them, and the gate last, on the
     best score. A query without hits has no row, or the first chunks of the document
-    where one is asked for. In rrf mode scores are of another
-    order, so the gate is off there.
+    where one is asked for. In rrf mode scores are of another order, so the gate is off
+    there. Ranking is one job, whose few rows are written; what follows reads them.
     """
     q = queries.select("qid", F.col("text").alias("query"), F.coalesce("corpus", F.lit("")).alias("qcorpus"))
-    fused = candidates(index, queries, p, vectors, query_vectors)
+    fused = candidates(index, queries, p, query_vectors)
     fused = legal.boost_articles(fused, queries, index.chunks)
-    rows = hydrate(fused, index.chunks).join(lexical.small(q), "qid")
+    rows = hydrate(fused, index.chunks).join(lexical.local(q), "qid")
     if p.fusion == "weighted":
         rows = rows.withColumn("score", fusion.length_penalty(F.col("score"), F.col("text")))
     rows = legal.rerank(rows, p.legal_rerank)
     rows = fusion.cap_per_doc(rows, default_cap(p))
     if p.doc_id:
         rows = rows.where(F.col("doc_id") == p.doc_id)
-    if p.article:
-        rows = rows.where(F.col("article") == p.article)
-    rows = top_k(rows, p.top_k)
+    rows = top_k(filter_by_article(rows, p.article), p.top_k)
     if p.fusion == "weighted" and p.min_score > 0:
         rows = min_score_gate(rows, p.min_score)
     if p.doc_id:
         columns = ["qid", "rank", "score", *index.chunks.columns]
-        rows = rows.select(columns).unionByName(fallback_chunks(index.chunks, without_hits(queries, rows, p.doc_id), p.top_k).select(columns))
+        rows = cut(rows.select(columns), "ranked")
+        rows = rows.unionByName(fallback_chunks(index.chunks, without_hits(queries, rows, p.doc_id), p.top_k).select(columns))
     section = F.when(F.col("title") != "", F.col("title")).otherwise(F.col("section_path"))
     return rows.select("qid", "rank", "chunk_id", "doc_id", "score", "corpus", section.alias("section"), "doc_title", "section_path", "article")
 
 
-def retrieve_variants(index: Index, variants: DataFrame, p: RetrieveParams = RetrieveParams()) -> DataFrame:
-    """(qid, variant, text, corpus) -> (qid, chunk_id, score, rank): each variant ranked on its own (12 hits or more), fused by rank; gated on variant 0's best score. A query without hits has the first chunks of the document where one is asked for."""
+def build_queries(queries: DataFrame, rewrites: DataFrame | None = None) -> DataFrame:
+    """(qid, generation_q, retrieval_q, corpus) -> (qid, variant, text, corpus): what is searched for.
+
+    A retrieval text stands alone. Else the question, expanded by rule in legal corpora,
+    and the lines of a model's answer (rewrites: qid, raw) for abstract questions; all
+    distinct but for case, blank ones out, in this order.
+    """
+    rows = queries.select("qid", F.trim(F.coalesce("generation_q", F.lit(""))).alias("g"), F.trim(F.coalesce("retrieval_q", F.lit(""))).alias("r"), F.coalesce("corpus", F.lit("")).alias("corpus"))
+    rows = rows.join(rewrites.select("qid", "raw"), "qid", "left") if rewrites is not None else rows.withColumn("raw", F.lit(None).cast("string"))
+    own = F.when(legal.is_legal(F.col("corpus")), legal.expansions(F.col("g"))).otherwise(F.array("g"))
+    more = F.when(F.col("raw").isNotNull() & legal.is_abstract(F.col("g")), legal.parse_rewrites(F.col("raw"))).otherwise(F.array().cast("array<string>"))
+    texts = F.when(F.col("r") != "", F.array("r")).otherwise(F.concat(own, more))
+    rows = rows.select("qid", F.posexplode(texts).alias("o", "text"), "corpus")
+    rows = fusion.dedupe_queries(rows.withColumn("text", F.trim("text")), "qid", "text", "o")
+    return rows.select("qid", (F.row_number().over(Window.partitionBy("qid").orderBy("o")) - 1).alias("variant"), "text", "corpus")
+
+
+def excerpt_queries(queries: DataFrame, variants: DataFrame) -> DataFrame:
+    """(qid, text): what excerpts are chosen by: the retrieval text, else all variants joined; '' without either."""
+    joined = variants.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("variant", "text"))), lambda x: x["text"]), " ").alias("all"))
+    own = F.trim(F.coalesce("retrieval_q", F.lit("")))
+    return queries.join(joined, "qid", "left").select("qid", F.when(own != "", F.col("retrieval_q")).otherwise(F.coalesce("all", F.lit(""))).alias("text"))
+
+
+def retrieve_variants(index: Index, variants: DataFrame, p: RetrieveParams = RetrieveParams(), query_vectors: DataFrame | None = None) -> DataFrame:
+    """(qid, variant, text, corpus) -> (qid, chunk_id, score, rank): each variant ranked on its own (12 hits or more), fused by rank; gated on variant 0's best score. A query without hits has the first chunks of the document where one is asked for.
+
+    query_vectors: (qid, variant, corpus, embedding), if any.
+    """
     own = F.concat_ws("\u0001", F.col("qid").cast("string"), F.col("variant").cast("string"))
     keys = variants.select(own.alias("qid"), "text", "corpus")
     wide = RetrieveParams(**{**p.__dict__, "top_k": max(p.top_k, 12), "min_score": 0.0})
-    hits = retrieve(index, keys, wide)
+    hits = retrieve(index, keys, wide, None if query_vectors is None else query_vectors.select(own.alias("qid"), "corpus", "embedding"))
     back = variants.select(own.alias("k"), F.col("qid").alias("of"), "variant")
-    rows = hits.join(lexical.small(back), F.col("qid") == F.col("k")).select(F.col("of").alias("qid"), "variant", "chunk_id", "rank", "score")
+    rows = hits.join(lexical.local(back), F.col("qid") == F.col("k")).select(F.col("of").alias("qid"), "variant", "chunk_id", "rank", "score")
     good = rows.where("variant = 0").groupBy("qid").agg(F.max("score").alias("top")).where(F.col("top") >= p.min_score).select("qid")
-    hits = top_k(fusion.multi_query_rrf(rows.join(good, "qid", "left_semi")), p.top_k)
+    hits = cut(top_k(fusion.multi_query_rrf(rows.join(good, "qid", "left_semi")), p.top_k), "variants")
     if p.doc_id:
         more = fallback_chunks(index.chunks, without_hits(variants.where("variant = 0"), hits, p.doc_id), p.top_k)
         hits = hits.unionByName(more.select(hits.columns))

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def ingest_log(chunks: DataFrame, embedded: DataFrame | None = None, event: str = "ingest") -> DataFrame:
-    """(event, doc_id, corpus, chunks, embedded, at): a row for each document."""
-    has = F.col("embedding").isNotNull() if "embedding" in chunks.columns else F.lit(False)
-    return chunks.groupBy("doc_id", "corpus").agg(F.count("*").alias("chunks"), F.sum(has.cast("long")).alias("embedded")).select(F.lit(event).alias("event"), "doc_id", "corpus", "chunks", "embedded", F.current_timestamp().alias("at"))
+def ingest_log(chunks: DataFrame, event: str = "ingest") -> DataFrame:
+    """(event, doc_id, corpus, chunks, embedded, failed, at): a row for each document."""
+    count = lambda c: F.sum(F.col(c).cast("long")) if c in chunks.columns else F.lit(0).cast("long")
+    has = F.sum(F.col("embedding").isNotNull().cast("long")) if "embedding" in chunks.columns else F.lit(0).cast("long")
+    return chunks.groupBy("doc_id", "corpus").agg(F.count("*").alias("chunks"), has.alias("embedded"), count("embed_failed").alias("failed")).select(F.lit(event).alias("event"), "doc_id", "corpus", "chunks", "embedded", "failed", F.current_timestamp().alias("at"))
 
 
 def totals(log: DataFrame) -> DataFrame:

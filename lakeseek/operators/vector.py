@@ -11,6 +11,8 @@ from .lexical import top_k
 
 #: Query vectors in a block: what is broadcast at once.
 BLOCK = 4096
+#: Rows that are held against a block in one product.
+ROWS = 2048
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -18,52 +20,56 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
+def _by_length(vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Length -> places and matrix of the vectors of that length."""
+    size = np.array([len(v) for v in vectors])
+    return {int(n): (at := np.flatnonzero(size == n), np.array([vectors[i] for i in at], np.float64)) for n in np.unique(size)}
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(chunk_id, corpus, embedding) x (qid, corpus, embedding) -> (qid, chunk_id, score, rank).
 
-    Queries go in blocks of BLOCK, each broadcast and held against all rows once; a
-    batch of rows keeps k for each query, so what is shuffled is a few rows a task.
-    Null and empty vectors are left out; dimensions are compared over the shorter.
+    Queries go in blocks of BLOCK, each broadcast and held against all rows once, by one
+    matrix product for ROWS rows; these keep k for each query, so what is shuffled is a
+    few rows a task. Null and empty vectors are left out; dimensions are compared over
+    the shorter. A zero vector is at 0 from all.
     """
     rows = queries.where("size(embedding) > 0").select("qid", F.coalesce("corpus", F.lit("")).alias("corpus"), F.col("embedding").cast("array<double>").alias("embedding"))
-    n = rows.count()
-    kind = {"bigint": pa.int64(), "int": pa.int32()}.get(dict(rows.dtypes)["qid"], pa.string())
-    of = {"bigint": pa.int64(), "int": pa.int32()}.get(dict(vectors.dtypes)["chunk_id"], pa.string())
-    schema = pa.schema([("qid", kind), ("chunk_id", of), ("score", pa.float64())])
-    ddl = f"qid {dict(rows.dtypes)['qid']}, chunk_id {dict(vectors.dtypes)['chunk_id']}, score double"
-    parts = []
-    blocks = max(1, -(-n // BLOCK))
+    kinds = {"bigint": pa.int64(), "int": pa.int32()}
+    qid, chunk = dict(rows.dtypes)["qid"], dict(vectors.dtypes)["chunk_id"]
+    schema = pa.schema([("qid", kinds.get(qid, pa.string())), ("chunk_id", kinds.get(chunk, pa.string())), ("score", pa.float64())])
+    found, blocks = None, max(1, -(-rows.count() // BLOCK))
     for b in range(blocks):
-        held = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        block = [(r["qid"], r["corpus"], np.array(r["embedding"])) for r in held.collect()]
+        block = (rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)).collect()
+        near = vectors.where("size(embedding) > 0").select("chunk_id", F.coalesce("corpus", F.lit("")).alias("corpus"), "embedding").mapInArrow(_nearest(block, k, schema), f"qid {qid}, chunk_id {chunk}, score double")
+        found = near if found is None else found.union(near)
+    return top_k(found, k)
 
-        def near(batches, block=block):
-            for batch in batches:
-                if not batch.num_rows or not block:
-                    continue
+
+def _nearest(block: list, k: int, schema: pa.Schema):
+    def run(batches):
+        asked = _by_length([r["embedding"] for r in block]) if block else {}
+        corpora_asked = np.array([r["corpus"] for r in block], dtype=object)
+        for whole in batches:
+            for start in range(0, whole.num_rows if block else 0, ROWS):
+                batch = whole.slice(start, ROWS)
                 ids, corpora = np.array(batch.column(0).to_pylist(), dtype=object), np.array(batch.column(1).to_pylist(), dtype=object)
-                vecs = [np.array(v, np.float64) for v in batch.column(2).to_pylist()]
-                width = max(map(len, vecs))
-                m = np.zeros((len(vecs), width))
-                for i, v in enumerate(vecs):
-                    m[i, : len(v)] = v
-                even = all(len(v) == width for v in vecs)
+                s = np.empty((len(block), batch.num_rows))
+                for n, (at, m) in _by_length(batch.column(2).to_pylist()).items():
+                    for d, (of, q) in asked.items():
+                        w = min(n, d)
+                        s[np.ix_(of, at)] = _unit(q[:, :w]) @ _unit(m[:, :w]).T
+                place = np.argsort(np.argsort(ids, kind="stable"))
                 out = ([], [], [])
-                for qid, corpus, q in block:
-                    d = min(width, len(q))
-                    if even:
-                        s = _unit(m[:, :d]) @ _unit(q[None, :d])[0]
-                    else:
-                        s = np.array([(_unit(v[None, : min(len(v), len(q))]) @ _unit(q[None, : min(len(v), len(q))])[0])[0] for v in vecs])
-                    ok = np.arange(len(vecs)) if not corpus else np.flatnonzero(corpora == corpus)
-                    best = ok[np.lexsort((ids[ok], -np.round(s[ok], 9)))[:k]] if len(ok) else ok
-                    out[0].extend([qid] * len(best))
+                for i, r in enumerate(block):
+                    ok = np.flatnonzero(corpora == corpora_asked[i]) if corpora_asked[i] else np.arange(len(ids))
+                    near = np.round(s[i, ok], 9)
+                    if len(ok) > k:  # all that may be among the k best, ties at the border included
+                        ok = ok[near >= np.partition(near, len(near) - k)[len(near) - k]]
+                    best = ok[np.lexsort((place[ok], -np.round(s[i, ok], 9)))[:k]]
+                    out[0].extend([r["qid"]] * len(best))
                     out[1].extend(ids[best].tolist())
-                    out[2].extend(s[best].tolist())
+                    out[2].extend(s[i, best].tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-        parts.append(vectors.where("size(embedding) > 0").select("chunk_id", F.coalesce("corpus", F.lit("")).alias("corpus"), "embedding").mapInArrow(near, ddl))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
-    return top_k(found, k)
+    return run

@@ -1,12 +1,17 @@
-"""Session helpers."""
+"""Session helpers: the package on the executors, and tables in the folder that all of them share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows up to which a side whose count was checked is broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -21,3 +26,51 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(to))
         sc._lakeseek_shipped = True
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a temporary one on a local master, else an error."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lakeseek-"))
+        base = sc.getCheckpointDir()
+    return base.rstrip("/")
+
+
+def app_dir(spark: SparkSession) -> str:
+    """Below the shared folder, where this application writes what it reads again."""
+    return f"{shared_dir(spark)}/lakeseek-{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{app_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Deletes all that this application has written to the shared folder: once its results are stored, as they read from there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(app_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it back: lineage ends there, and a lost executor costs a reread only."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df.checkpoint(), with a folder for it."""
+    base, sc = shared_dir(df.sparkSession), df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(base)
+    return df.checkpoint()
+
+
+def small(df: DataFrame, name: str = "small", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df written once, and to be broadcast if it has limit rows at most; else joins to it shuffle."""
+    df = cut(df, name)
+    return F.broadcast(df) if df.count() <= limit else df

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -11,13 +13,12 @@ from ..sources.files import DOCUMENT
 
 
 def ingest_stream(engine: Engine, folder: str, checkpoint: str, files_per_batch: int = 1000) -> StreamingQuery:
-    """JSON documents that arrive in folder go to the engine. A batch that runs again writes the same documents, so the result is the same."""
+    """JSON documents that arrive in folder go to the engine. A batch is a commit named by the stream's checkpoint and its number, so one that runs again is written once."""
+    name = hashlib.sha1(checkpoint.encode()).hexdigest()[:16]
 
     def batch(rows: DataFrame, epoch: int) -> None:
-        if rows.isEmpty():
-            return
-        w = Window.partitionBy("id").orderBy(F.xxhash64(*rows.columns))
-        engine.ingest(rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n"))
+        if not rows.isEmpty():
+            engine.ingest(rows, commit=f"stream-{name}-{epoch}")
 
     source = engine.spark.readStream.schema(DOCUMENT).option("maxFilesPerTrigger", files_per_batch).json(folder)
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
