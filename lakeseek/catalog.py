@@ -332,9 +332,17 @@ def fuse_rrf(spark, sf_dir):
 )
 def hybrid_retrieve(spark, sf_dir):
     """The flagship: BM25 and vectors fused, chunks joined, capped, cut and gated, for all queries at once."""
+    return hybrid(spark, sf_dir)
+
+
+def hybrid(spark, sf_dir, n: int | None = None) -> DataFrame:
+    """hybrid_retrieve for all queries, or for the first n of them."""
     v = vectors_of(spark, sf_dir)
     q = v.where("cast(chunk_id AS bigint) % 100 = 0").select(F.col("chunk_id").alias("qid"), F.lit("").alias("corpus"), "embedding")
     ids = asked(spark, sf_dir).select("qid").union(q.select("qid")).distinct()
+    if n is not None:
+        ids = ids.orderBy(F.col("qid").cast("long")).limit(n)
+        q = q.join(ids, "qid", "left_semi")
     queries = ids.join(asked(spark, sf_dir), "qid", "left").select("qid", F.coalesce("text", F.lit("")).alias("text"), F.lit("").alias("corpus"))
     hits = retrieve.retrieve(index_of(spark, sf_dir), queries, retrieve.RetrieveParams(legal_rerank=False), q)
     return hits.select("qid", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 6).alias("score"), "corpus", "doc_title", F.md5("section").alias("section"))
