@@ -157,7 +157,7 @@ class Engine:
         else:
             log = stats.ingest_log(chunks)
         own = F.lit(at).alias("committed")
-        tables |= {"documents": docs.select(F.col("id").alias("doc_id"), *(c for c in docs.columns if c != "id"), own), "chunks": chunks.select("*", own), "postings": posted.select("*", own), "log": log}
+        tables |= {"documents": docs.select(F.col("id").alias("doc_id"), *(c for c in docs.columns if c != "id"), own), "chunks": chunks.select("*", own).sortWithinPartitions("chunk_id"), "postings": posted.select("*", own), "log": log}
         self._commit("ingest", tables, at, commit)
 
     def delete(self, ids: list[str]) -> int:
@@ -179,7 +179,7 @@ class Engine:
             return
         chunks = self._live("chunks", commits)
         df = self._table("term_df", commits).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
-        tables = {"documents": self._live("documents", commits), "chunks": chunks, "postings": index.by_term(self._live("postings", commits)), "term_df": df, "counts": self._table("counts", commits).agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")), "log": self._table("log", commits)}
+        tables = {"documents": self._live("documents", commits), "chunks": chunks.sortWithinPartitions("chunk_id"), "postings": index.by_term(self._live("postings", commits)), "term_df": df, "counts": self._table("counts", commits).agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")), "log": self._table("log", commits)}
         self._commit("compact", tables, self._now(commits), replaces=[r["id"] for r in commits])
 
     def reset(self) -> None:

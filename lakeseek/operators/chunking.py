@@ -97,6 +97,17 @@ def to_markdown(html: pa.Array) -> pa.Array:
     return pa.array([markup.html_to_markdown(t) for t in html.to_pylist()], pa.string())
 
 
+@F.arrow_udf(ArrayType(StructType([StructField("title", StringType()), StructField("text", StringType())])))
+def _html_blocks(html: pa.Array) -> pa.Array:
+    return pa.array([[{"title": a, "text": b} for a, b in markup.html_blocks(t)] for t in html.to_pylist()], pa.list_(pa.struct([("title", pa.string()), ("text", pa.string())])))
+
+
+def html_chunks(docs: DataFrame, id_col: str = "id", html: str = "content") -> DataFrame:
+    """(chunk_id, doc_id, title, section_path, source, position, text): a chunk for each heading, paragraph, list item and piece of code right below a page's body, from 1. None of these is inside a heading, so paths are 'root'."""
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.posexplode(_html_blocks(F.col(html))).alias("at", "b"))
+    return rows.select(F.concat_ws("-", "doc_id", F.lit("chunk"), F.col("at") + 1).alias("chunk_id"), "doc_id", "b.title", F.lit("root").alias("section_path"), F.lit("html").alias("source"), (F.col("at") + 1).alias("position"), "b.text")
+
+
 def normalize_documents(docs: DataFrame) -> DataFrame:
     """content as Markdown; what was HTML is kept in original_content."""
     kind = F.lower(F.trim(F.coalesce("content_type", F.lit(""))))

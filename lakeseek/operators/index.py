@@ -111,7 +111,7 @@ def build(chunks: DataFrame, path: str | None = None) -> Index:
     posted = spark.read.schema(SCHEMAS["postings"]).parquet(f"{path}/postings")
     term_df(posted).write.mode("overwrite").parquet(f"{path}/term_df")
     corpus_stats(fields, posted).write.mode("overwrite").parquet(f"{path}/stats")
-    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+    chunks.sortWithinPartitions("chunk_id").write.mode("overwrite").parquet(f"{path}/chunks")  # so that few ids are few pages of a file
     return load(spark, path, chunks.schema)
 
 

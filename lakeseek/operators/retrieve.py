@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, small
+from ..session import cut
 from . import fusion, legal, lexical, vector
 from .index import Index
 from .lexical import top_k
@@ -41,8 +41,19 @@ def default_cap(p: RetrieveParams):
 
 
 def hydrate(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Hits with their chunk's columns; hits of unknown chunks go. Hits are written once, then counted; few of them meet the chunks as the small side."""
-    return chunks.join(small(hits, "hits"), "chunk_id")
+    """Hits with their chunk's columns; hits of unknown chunks go.
+
+    Hits are written once. Few of them meet the chunks as the small side, and very few
+    are pushed down to the chunks' files, which the store sorts by chunk_id.
+    """
+    hits = cut(hits, "hits")
+    rows = lexical.held(hits)
+    if rows is None:
+        return chunks.join(hits, "chunk_id")
+    ids = rows["chunk_id"].unique().to_pylist()
+    if len(ids) <= lexical.PUSHED:
+        chunks = chunks.where(F.col("chunk_id").isin(ids))
+    return chunks.join(F.broadcast(hits.sparkSession.createDataFrame(rows, hits.schema)), "chunk_id")
 
 
 def fallback_chunks(chunks: DataFrame, requests: DataFrame, k: int, by: str = "position") -> DataFrame:
@@ -93,10 +104,11 @@ def retrieve(index: Index, queries: DataFrame, p: RetrieveParams = RetrieveParam
     where one is asked for. In rrf mode scores are of another order, so the gate is off
     there. Ranking is one job, whose few rows are written; what follows reads them.
     """
+    queries = lexical.local(queries.select("qid", "text", "corpus"))
     q = queries.select("qid", F.col("text").alias("query"), F.coalesce("corpus", F.lit("")).alias("qcorpus"))
     fused = candidates(index, queries, p, query_vectors)
     fused = legal.boost_articles(fused, queries, index.chunks)
-    rows = hydrate(fused, index.chunks).join(lexical.local(q), "qid")
+    rows = hydrate(fused, index.chunks).join(q, "qid")
     if p.fusion == "weighted":
         rows = rows.withColumn("score", fusion.length_penalty(F.col("score"), F.col("text")))
     rows = legal.rerank(rows, p.legal_rerank)

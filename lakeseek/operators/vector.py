@@ -38,9 +38,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     kinds = {"bigint": pa.int64(), "int": pa.int32()}
     qid, chunk = dict(rows.dtypes)["qid"], dict(vectors.dtypes)["chunk_id"]
     schema = pa.schema([("qid", kinds.get(qid, pa.string())), ("chunk_id", kinds.get(chunk, pa.string())), ("score", pa.float64())])
-    found, blocks = None, max(1, -(-rows.count() // BLOCK))
+    found, first = None, rows.limit(BLOCK + 1).collect()
+    blocks = 1 if len(first) <= BLOCK else -(-rows.count() // BLOCK)
     for b in range(blocks):
-        block = (rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)).collect()
+        block = first if blocks == 1 else rows.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).collect()
         near = vectors.where("size(embedding) > 0").select("chunk_id", F.coalesce("corpus", F.lit("")).alias("corpus"), "embedding").mapInArrow(_nearest(block, k, schema), f"qid {qid}, chunk_id {chunk}, score double")
         found = near if found is None else found.union(near)
     return top_k(found, k)

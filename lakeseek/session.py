@@ -8,10 +8,6 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Rows up to which a side whose count was checked is broadcast.
-BROADCAST_ROWS = 500_000
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -69,8 +65,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(base)
     return df.checkpoint()
 
-
-def small(df: DataFrame, name: str = "small", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df written once, and to be broadcast if it has limit rows at most; else joins to it shuffle."""
-    df = cut(df, name)
-    return F.broadcast(df) if df.count() <= limit else df

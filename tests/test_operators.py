@@ -227,6 +227,26 @@ def test_heading_chunks_and_lists(spark):
     assert heads == {"d": ["Titre 1: One", "Section 3: Article two"], "e": ["Titre 1: H & M"], "n": []}
 
 
+def test_html_chunks(spark):
+    page = "<html><head><title>T</title></head><body><h1>One</h1><p>First <b>bold</b><p>Second<h2>Two</h2><p>Third</p><ul><li>a<li>b <ul><li>c</ul></ul><div><p>inside</p></div><pre>code\\n</pre></body></html>"
+    d = spark.createDataFrame([("d", page), ("n", None), ("e", "plain")], "id string, content string")
+    got = [(r.chunk_id, r.title, r.text.replace("\\n", "")) for r in chunking.html_chunks(d).orderBy("position").collect()]
+    want = [("One", "One"), ("One", "First bold"), ("One", "Second"), ("Two", "Two"), ("One", "Third"), ("", "a"), ("", "b c"), ("", "c"), ("", "code")]
+    assert got == [(f"d-chunk-{i + 1}", *w) for i, w in enumerate(want)]
+
+
+def test_bench_lines(spark, tmp_path):
+    import io
+
+    from lakeseek.jobs import cli
+
+    engine, out = Engine(spark, str(tmp_path / "store")), io.StringIO()
+    engine.ingest(corpora(spark, [("a", "Whales are large animals of the sea and sing long songs to each other at night", "c")]))
+    cli.bench(engine, ["whales songs", "zzz"], out)
+    head, one, none = out.getvalue().splitlines()
+    assert head == "query,latency_ms,hits,doc_titles" and one.startswith("whales songs,") and one.endswith(",1,t") and none.endswith(",0,")
+
+
 def test_normalised_texts(spark):
     import html
     import re
