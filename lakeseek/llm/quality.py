@@ -57,15 +57,16 @@ def _words(t: str) -> str:
     return f"transform(array(regexp_replace({t}, '^{_WHITE}|{_WHITE}$', '')), b -> IF(b = '', cast(array() AS array<string>), split(b, '{_WHITE}')))[0]"
 
 
-_LINES = rf"filter(split(t, '\\n'), x -> x rlike '{_WORD}')"
-#: What rules look at, as SQL over a text t that is not null.
+#: What a text is parted into, as SQL over a text t that is not null.
+PARTS = {"w": _words("t"), "l": rf"filter(split(t, '\\n'), x -> x rlike '{_WORD}')"}
+#: What rules look at: the part that it is of, and SQL over it.
 MEASURES = {
-    "n_words": f"regexp_count(t, '{_WORD}++')",
-    "word_chars": f"length(regexp_replace(t, '{_WHITE}', ''))",
-    "n_symbols": f"length(regexp_replace(t, '[^{SYMBOLS}]++', ''))",
-    "n_lines": f"size({_LINES})",
-    "n_dup_lines": f"transform(array({_LINES}), l -> size(l) - size(array_distinct(l)))[0]",
-    "n_repeat_words": f"transform(array({_words('t')}), w -> {repeat_words()})[0]",
+    "n_words": ("w", "size(w)"),
+    "word_chars": ("w", "length(array_join(w, ''))"),
+    "n_symbols": (None, f"length(regexp_replace(t, '[^{SYMBOLS}]++', ''))"),
+    "n_lines": ("l", "size(l)"),
+    "n_dup_lines": ("l", "size(l) - size(array_distinct(l))"),
+    "n_repeat_words": ("w", repeat_words()),
 }
 
 
@@ -76,11 +77,29 @@ class Rule:
     name: str
     fails: str
 
-    def over(self, text: str) -> str:
-        """fails for the text of that SQL; what it needs is measured once, and nothing else is."""
-        needs = [k for k in MEASURES if re.search(rf"\b{k}\b", self.fails)]
-        fails = re.sub(r"\b(" + "|".join(needs) + r")\b", r"m.\1", self.fails)
-        return f"transform(array({text}), t -> transform(array(struct({', '.join(f'{MEASURES[k]} AS {k}' for k in needs)})), m -> {fails})[0])[0]"
+    @property
+    def needs(self) -> list[str]:
+        return [k for k in MEASURES if re.search(rf"\b{k}\b", self.fails)]
+
+    @property
+    def parts(self) -> set[str]:
+        return {MEASURES[k][0] for k in self.needs} - {None}
+
+
+def _passes(rules: list[Rule], bound: dict[str, str]) -> str:
+    """SQL over t: whether no rule rejects it, the first that does ends it. What a rule needs is made when it is reached, once for it and those after it. bound: names of what is made already."""
+    if not rules:
+        return "true"
+    rule, at = rules[0], f"m{len(bound)}"
+    new = [k for k in rule.needs if k not in bound]
+    names = bound | {k: f"{at}.{k}" for k in new}
+    fails = re.sub(r"\b(" + "|".join(names) + r")\b", lambda m: names[m[1]], rule.fails) if names else rule.fails
+    out = f"IF({fails}, false, {_passes(rules[1:], names | {p: p for p in rule.parts})})"
+    if new:
+        out = f"transform(array(struct({', '.join(f'{MEASURES[k][1]} AS {k}' for k in new)})), {at} -> {out})[0]"
+    for p in sorted(rule.parts - set(bound)):
+        out = f"transform(array({PARTS[p]}), {p} -> {out})[0]"
+    return out
 
 
 #: A document is rejected if any rule says so; the first two are the base rules.
@@ -96,9 +115,10 @@ BASE = RULES[:2]
 
 def measured(text: str = "text") -> Column:
     """A struct of all MEASURES, as longs, of the column of that name (null: empty). Words and lines are parted once."""
-    own = MEASURES | {"n_words": "size(w)", "word_chars": "length(array_join(w, ''))", "n_lines": "size(l)", "n_dup_lines": "size(l) - size(array_distinct(l))", "n_repeat_words": repeat_words()}
-    out = ", ".join(f"cast({v} AS long) AS {k}" for k, v in own.items())
-    return F.expr(f"transform(array({_of(text)}), t -> transform(array({_words('t')}), w -> transform(array({_LINES}), l -> struct({out}))[0])[0])[0]")
+    out = "struct(" + ", ".join(f"cast({v} AS long) AS {k}" for k, (_, v) in MEASURES.items()) + ")"
+    for p, v in PARTS.items():
+        out = f"transform(array({v}), {p} -> {out})[0]"
+    return F.expr(f"transform(array({_of(text)}), t -> {out})[0]")
 
 
 def order_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> list[Rule]:
@@ -106,7 +126,8 @@ def order_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
 
     Rejections are counted for all rules together, so a rule counts for what those
     before it leave. Cost is the time of the rule on the sample, less that of a pass
-    that does nothing, both once code is compiled.
+    that does nothing, both once code is compiled, and less that of parting the text
+    where a rule before it has done so.
     """
     n = docs.count()
     if not n:
@@ -114,30 +135,35 @@ def order_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
     sample = docs.select(F.expr(_of(text)).alias("t")).sample(min(1.0, 2 * SAMPLE_ROWS / n), seed=42).limit(SAMPLE_ROWS)
     sample = cut(sample, "quality-sample")
 
-    def seconds(fails: str) -> float:
+    def seconds(cond: str) -> float:
         took = []
         for _ in range(2):
             began = time.perf_counter()
-            sample.where(fails).count()
+            sample.where(cond).count()
             took.append(time.perf_counter() - began)
         return min(took)
 
     idle = seconds("length(t) < 0")
-    cost = [max(seconds(r.over("t")) - idle, 1e-3) for r in rules]
-    flags = [F.expr(r.over("t")).alias(f"r{i}") for i, r in enumerate(rules)]
+    part_cost = {p: max(seconds(f"size({v}) < 0") - idle, 0.0) for p, v in PARTS.items()}
+    cost = [seconds(f"NOT {_passes([r], {})}") - idle for r in rules]
+    flags = [F.expr(f"NOT {_passes([r], {})}").alias(f"r{i}") for i, r in enumerate(rules)]
     seen = [tuple(x) for x in sample.select(*flags).groupBy(*(f"r{i}" for i in range(len(rules)))).count().collect()]  # 2^rules rows at most
     order: list[int] = []
     while len(order) < len(rules):
         left = [x for x in seen if not any(x[i] for i in order)]
-        order.append(max((i for i in range(len(rules)) if i not in order), key=lambda i: (sum(x[-1] for x in left if x[i]) + 0.5) / cost[i]))
+        made = {p for i in order for p in rules[i].parts}
+        worth = lambda i: (sum(x[-1] for x in left if x[i]) + 0.5) / max(cost[i] - sum(part_cost[p] for p in made & rules[i].parts), 1e-3)  # noqa: B023, E731
+        order.append(max((i for i in range(len(rules)) if i not in order), key=worth))
     return [rules[i] for i in order]
 
 
 def cascade(rules: list[Rule], text: str | None = None) -> Column:
-    """True where no rule rejects: CASE stops at the first that does. With text, the name of a column, each rule measures what it needs; without, it reads columns of measures."""
+    """True where no rule rejects: the first that does ends it. With text, the name of a column, each rule makes what it needs; without, columns of measures are read."""
+    if text is not None:
+        return F.expr(f"transform(array({_of(text)}), t -> {_passes(rules, {})})[0]")
     out = F
     for rule in rules:
-        out = out.when(F.expr(rule.over(_of(text)) if text else rule.fails), False)
+        out = out.when(F.expr(rule.fails), False)
     return F.lit(True) if out is F else out.otherwise(True)
 
 
