@@ -1,42 +1,16 @@
-"""What the operators share: the cluster's shared folder, cut lineages and words."""
+"""What the operators share: words, names that are free, and the session's tables in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: ASCII white space, as the word pattern [^\x20\x09-\x0D]+ leaves out.
-WHITE = r"[\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a temporary one on a local master, else an error."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lakeseek-"))
-        base = sc.getCheckpointDir()
-    return base.rstrip("/")
-
-
-def app_dir(spark: SparkSession) -> str:
-    """Below the shared folder, where this application writes what it reads again."""
-    return f"{shared_dir(spark)}/lakeseek-{spark.sparkContext.applicationId}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{app_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from ..session import app_dir, checkpointed, cut, new_path, remove_written, shared_dir
 
+__all__ = ["app_dir", "checkpointed", "cut", "fresh", "n_words", "new_path", "remove_written", "shared_dir", "words"]
 
-def remove_written(spark: SparkSession) -> None:
-    """Deletes all that this application has written to the shared folder: once its results are stored, as they read from there."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(app_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+#: ASCII white space, as the word pattern [^\x20\x09-\x0D]+ leaves out.
+WHITE = r"[\x20\x09-\x0D]+"
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -51,21 +25,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint(), with a folder for it."""
-    base, sc = shared_dir(df.sparkSession), df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(base)
-    return df.checkpoint()
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: lineage ends there, and a lost executor costs a reread only."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     """Array of the words [^\\x20\\x09-\\x0D]+; null counts as empty."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
@@ -75,7 +34,3 @@ def words(text: Column) -> Column:
 def n_words(text: Column) -> Column:
     """Number of words, without building them."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-
-
-def same(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
