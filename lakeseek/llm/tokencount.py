@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 MODEL = "piece_bpe_32k.model"
 #: Bytes, about, of the tables of parts that a worker keeps, and pairs of pieces; beyond them either store starts anew.
-KEPT_BYTES, KEPT_PAIRS = 160_000_000, 1_000_000
+KEPT_BYTES, KEPT_PAIRS = 320_000_000, 1_000_000
 #: Parts of a text that are looked up in one go, and characters from which a part is not kept.
 STRETCH, LONG_PART = 200_000, 200
 _counters: dict = {}
@@ -56,11 +56,12 @@ class PrefixCounter:
         self._pieces = {p: i for (p, i), ids in zip(pieces.items(), whole, strict=True) if ids == [i]}
         self._text_of = {i: p for p, i in self._pieces.items()}
         self._chars = {p for p in pieces if len(p) == 1}
-        self._longest = max(map(len, pieces))
-        self._ends: dict[str, list[int]] = {}  # by last character: lengths of the pieces that end in it
-        for p in self._pieces:
-            self._ends.setdefault(p[-1], []).append(len(p))
-        self._ends = {c: sorted(set(n)) for c, n in self._ends.items()}
+        self._tree: dict = {}  # by character: the piece that ends there (-1: none) and what may follow
+        for p, i in self._pieces.items():
+            node = self._tree
+            for c in p[:-1]:
+                node = node.setdefault(c, [-1, {}])[1]
+            node.setdefault(p[-1], [-1, {}])[0] = i
         self._apart: dict[int, bool] = {}
         self._parts = re.compile(r" +[^ \n]*|\n[^ \n]*")
         self._last: dict[str, int] = {}
@@ -77,28 +78,31 @@ class PrefixCounter:
         return known
 
     def heads(self, part: str) -> list[int]:
-        """Tokens of part[:i] for i from 1; a part starts with all the spaces before it. Linear in its length, and in that of the longest piece."""
-        count, last = [0], [-1]  # last: the token that ends there, -1 at the start and after what is in no piece
-        get, apart = self._pieces.get, self._apart.get
-        for i, c in enumerate(part, 1):
+        """Tokens of part[:i] for i from 1; a part starts with all the spaces before it. Linear in its length, and in that of the longest piece.
+
+        Of the pieces that begin where a prefix ends, each that stays apart from its last
+        token gives the count of a longer prefix; a prefix gets it from one piece only.
+        """
+        n, apart = len(part), self._apart.get
+        count, last = [0] * (n + 1), [-1] * (n + 1)  # last: the token that ends there, -1 at the start and after what is in no piece
+        for i, c in enumerate(part):
             if c not in self._chars:
-                count.append(count[-1] + len(c.encode("utf-8", "surrogatepass")))
-                last.append(-1)
+                count[i + 1] = count[i] + len(c.encode("utf-8", "surrogatepass"))
                 continue
-            for n in self._ends.get(c, ()):
-                t = get(part[i - n : i]) if n <= i else None
-                if t is None:
-                    continue
-                before = last[i - n]
-                if before < 0:
+            before, more, node = last[i], count[i] + 1, self._tree
+            key = before << 32
+            for j in range(i, n):
+                found = node.get(part[j])
+                if found is None:
                     break
-                known = apart(before << 32 | t)
+                t, node = found
+                if t < 0 or count[j + 1]:
+                    continue
+                known = before < 0 or apart(key | t)
                 if known or (known is None and self._stay_apart(before, t)):
-                    break
-            else:
-                raise ValueError(f"no piece ends after {part[:i]!r}")
-            count.append(count[i - n] + 1)
-            last.append(t)
+                    count[j + 1], last[j + 1] = more, t
+            if not count[i + 1]:
+                raise ValueError(f"no piece ends after {part[: i + 1]!r}")
         return count[1:]
 
     def _learn(self, keys) -> None:
