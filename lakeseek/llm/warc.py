@@ -13,18 +13,21 @@ import base64
 import gzip
 import hashlib
 import io
+import itertools
 import re
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, new_path
 
-#: Records of one archive file at most, and captures of one index part that runs are merged for.
-FILE_RECORDS = 5_000
-PART_CAPTURES = 200_000
+#: Records of one archive file at most; bytes from which a payload is long; bytes that an archive of long ones should have at most (a longer payload is alone in its file).
+FILE_RECORDS, LONG, FILE_BYTES = 2_000, 32_768, 64_000_000
+#: Captures of one index part that runs are merged for, and rows of a run whose keys are decoded at once.
+PART_CAPTURES, STRETCH = 200_000, 256
 RUN = "page_id long, url string, urlkey string, ts string, record_type string, payload_bytes long, payload_digest string, refers_to long, run string, seq int, offset long"
 CRLF = "\r\n"
 
@@ -56,7 +59,9 @@ def records(pages: DataFrame, min_payload: int = 0) -> DataFrame:
 
 
 def write_warc(pages: DataFrame, path: str, min_payload: int = 0) -> str:
-    """A record for each row, in gzip files of FILE_RECORDS records at most; times follow page_id. Returns path."""
+    """A record for each row, in gzip files bounded by records and bytes: long payloads have files of their own; times follow page_id. Returns path."""
+    size = F.coalesce(F.octet_length("html"), F.lit(0))
+    longest = pages.agg(F.max(size)).first()[0] or 0
     rows = records(pages, min_payload)
     revisit = F.col("refers_to").isNotNull()
     urn = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
@@ -70,7 +75,9 @@ def write_warc(pages: DataFrame, path: str, min_payload: int = 0) -> str:
         F.when(revisit, F.concat(F.lit(f"{CRLF}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}WARC-Refers-To: "), urn(F.col("refers_to")))).otherwise(F.lit("")),
         F.lit(f"{CRLF}Content-Type: application/http; msgtype=response{CRLF}Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF * 2),
     )
-    rows.select(F.concat(head, block).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    for name, some, most in (("short", F.col("bytes") <= LONG, FILE_RECORDS), ("long", F.col("bytes") > LONG, max(1, FILE_BYTES // max(longest, 1)))):
+        if name == "short" or longest > LONG:
+            rows.where(some).select(F.concat(head, block).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", most).text(f"{path}/{name}")
     return path
 
 
@@ -85,7 +92,7 @@ def url_key(url: str) -> str:
 
 
 def parse_records(data: io.BufferedIOBase):
-    """(headers, block, offset) of each record of an archive."""
+    """(headers, block, offset) of each record of an archive; offsets are into what is unpacked, as one archive is one gzip stream."""
     at = 0
     while line := data.readline():
         if line != b"WARC/1.1\r\n":
@@ -137,7 +144,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 rows = [(*r[:9], i, r[9]) for i, r in enumerate(_run(name.rsplit("/", 1)[-1], content.as_py()))]
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=schema)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInArrow(run, RUN)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path).select("path", "content").mapInArrow(run, RUN)
 
 
 class LoserTree:
@@ -175,45 +182,50 @@ class LoserTree:
             self._replay(w)
 
 
+class Run:
+    """Rows start to stop of a table, sorted, as (urlkey, ts, has an id, id, row); keys are decoded by the stretch."""
+
+    def __init__(self, table: pa.Table, start: int, stop: int):
+        self.table, self.start, self.stop, self.at, self.held = table, start, stop, -1, []
+
+    def __len__(self) -> int:
+        return self.stop - self.start
+
+    def __getitem__(self, i: int) -> tuple:
+        if i // STRETCH != self.at:
+            self.at = i // STRETCH
+            first = self.start + self.at * STRETCH
+            some = self.table.slice(first, min(STRETCH, self.stop - first))
+            self.held = [(k, t, p is not None, p or 0, first + j) for j, (k, t, p) in enumerate(zip(*(some.column(c).to_pylist() for c in ("urlkey", "ts", "page_id")), strict=True))]
+        return self.held[i % STRETCH]
+
+
 def merge_runs(runs: DataFrame) -> DataFrame:
     """Runs -> captures in one order by (urlkey, ts, page_id): their columns and index_part, index_place.
 
     Ranges are cut by all three, so one URL with a third of all captures is dealt to
-    many parts. A task holds the captures of its part, about PART_CAPTURES.
+    many parts. A task holds the captures of its part, about PART_CAPTURES, as Arrow
+    columns; of the runs that meet there only the stretches that the tree stands at are
+    decoded, and rows go out as they win.
     """
     parts = max(1, -(-runs.count() // PART_CAPTURES))
     parts = max(parts, min(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts * 4))
-    names = runs.columns
-    by = F.spark_partition_id()
 
     def merge(batches):
-        held: dict[str, list] = {}
-        schema = None
-        for b in batches:
-            schema = b.schema
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                held.setdefault(row[names.index("run")], []).append(row)
-        out, place = [], 0
-        at = (names.index("urlkey"), names.index("ts"), names.index("page_id"))
-
-        def key(r):
-            return r[at[0]], r[at[1]], r[at[2]] is not None, r[at[2]] or 0
-
-        def batch():
-            cols = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=False)]
-            return pa.RecordBatch.from_arrays([*cols, pa.array(range(place - len(out), place), pa.int64())], names=[*names, "index_part", "index_place"])
-
-        for row in LoserTree(list(held.values()), key):
-            out.append(row)
-            place += 1
-            if len(out) == 10_000:
-                yield batch()
-                out = []
-        if out:
-            yield batch()
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        name = table.column("run").combine_chunks()
+        starts = [0, *(i + 1 for i in pc.indices_nonzero(pc.not_equal(name.slice(1), name.slice(0, len(name) - 1))).to_pylist()), len(name)]
+        tree, place = iter(LoserTree([Run(table, a, b) for a, b in zip(starts, starts[1:], strict=False)], lambda x: x[:4])), 0
+        while rows := [x[4] for x in itertools.islice(tree, 10_000)]:
+            won = table.take(pa.array(rows)).append_column("index_place", pa.array(range(place, place + len(rows)), pa.int64()))
+            place += len(rows)
+            yield from won.to_batches()
 
     dealt = runs.repartitionByRange(parts, "urlkey", "ts", "page_id").sortWithinPartitions("run", "seq")
-    return dealt.withColumn("index_part", by).mapInArrow(merge, f"{RUN}, index_part int, index_place long")
+    return dealt.withColumn("index_part", F.spark_partition_id()).mapInArrow(merge, f"{RUN}, index_part int, index_place long")
 
 
 def capture_index(pages: DataFrame, min_payload: int = 0) -> DataFrame:
