@@ -230,6 +230,59 @@ def test_wrapper_decides_in_articles(spark):
     assert got[2] == "Head 2 Text 2" and got[11] == "Read our terms Head 0 Text 0 All rights" and got[21] == "a1 b c d1"
 
 
+def test_wrapper_finds_the_text_of_generated_templates(spark):
+    """Hosts whose templates name nothing: no article, classes without meaning, fixed text before, after and among the paragraphs, some of it on some pages only."""
+    rng, rows, want = random.Random(11), [], {}
+    tags = ["div", "section", "span", "td"]
+    for h in range(6):
+        top, low, box = rng.choice(tags[:2]), rng.choice(tags[:2]), f"c{rng.randrange(999)}"
+        for i in range(8):
+            paragraphs = [" ".join(rng.choice("abcdefghij") * 3 + str(rng.randrange(9999)) for _ in range(12)) for _ in range(rng.randrange(1, 6))]
+            advert = f'<{low} class="{box}">Buy our things of house {h}</{low}>' if i % 2 else ""
+            body = "".join(f"<p>{p}</p>" for p in paragraphs)
+            page = f"<html><body><{top} class=k{h}><a href=/>House {h}</a><a href=/x>All pages</a></{top}><h1>Head {h} {i}</h1>{advert}{body}<{low} id=z>Written by house {h}</{low}></body></html>"
+            rows.append((100 * h + i, f"http://host{h}.x/{i}", page))
+            want[100 * h + i] = " ".join([f"Head {h} {i}", *paragraphs])
+    rows.append((999, "http://alone.x/", "<body><div>Only page</div><p>Its text</p></body>"))
+    want[999] = "Only page Its text"  # nothing to compare with
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == want
+
+
+def test_pages_of_awkward_tables(spark):
+    """Hostile and very long pages in linear time, repeats, nulls, clashing columns, an empty table."""
+    long = "<div>" * 8000 + "</x>" * 8000 + "<p>end</p>"
+    rows = [(1, "http://a.x/", long), (1, "http://a.x/", long), (None, None, None), (2, "http://b.x/", "<" * 20_000 + "<p>t"), (3, "http://c.x/", "<main>" + "<p>word</p>" * 20_000 + "</main>")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("mine")).withColumn("host", F.lit("mine")).withColumn("wrapper", F.lit("mine"))
+    got = Counter((r.page_id, r.text[:20], r.n_chars) for r in wrapper.extract(d).collect())
+    assert got[(1, "end", 3)] == 2 and got[(None, "", 0)] == 1 and got[(3, "word word word word ", 99_999)] == 1 and sum(got.values()) == 5
+    assert wrapper.extract(d.where("false")).count() == 0
+
+
+def test_warc_bounds_archives_and_keeps_long_payloads(spark, monkeypatch):
+    """Long payloads in files of their own, few records a file; clashing columns and repeated rows do no harm."""
+    monkeypatch.setattr(warc, "FILE_RECORDS", 2)
+    monkeypatch.setattr(warc, "STRETCH", 2)
+    rows = [(i, f"http://h{i % 3}.x/{i % 5}", ("long é " * 40_000 if i % 4 == 0 else f"page {i % 6}")) for i in range(23)] * 2
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("mine")).withColumn("run", F.lit("mine"))
+    got = warc.capture_index(d).collect()
+    assert len(got) == 46 and Counter(r.payload_bytes for r in got) == Counter(len(t.encode()) for _, _, t in rows)
+    by_run = Counter(r.run for r in got)
+    assert max(by_run.values()) <= 2 or max(r.payload_bytes for r in got) * max(by_run.values()) <= warc.FILE_BYTES
+    order = [(r.urlkey, r.ts, r.page_id) for r in sorted(got, key=lambda r: (r.index_part, r.index_place))]
+    assert order == sorted(order)
+
+
+def test_chats_of_awkward_tables(spark):
+    long = "<|im_end|>\\" * 100_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long), (1, 1, "assistant", long)]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for name in ("formatted", "pieces", "t", "m", "s"):
+        d = d.withColumn(name, F.lit("mine"))
+    got = chat.format_chats(d).withColumn("back", chat.parse_chats(F.col("formatted"))).collect()
+    assert [(x.role, x.text) for x in got[0].back] == [("user", long), ("assistant", long), ("assistant", long)] and len(got) == 1
+
+
 def test_wrapper_folds_repeats_and_optionals():
     def of(html):
         keys, rep, _, text = wrapper.slots(wrapper.tokens(html))
