@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, lmscore, mixing, quality, simhash, tokencount, toxicity, warc, wrapper
+from . import audit, chat, decontaminate, lmscore, mixing, quality, simhash, tokencount, toxicity, trie, urlfilter, warc, wrapper
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,10 +63,56 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_lm_scores, op3_simhash, op4_chat, op5_toxicity, op6_token_counts, op7_quality, op8_html, op9_mixing, op10_decontaminate)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+#: The rules of op13.
+RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_lm_scores, op3_simhash, op4_chat, op5_toxicity, op6_token_counts, op7_quality, op8_html, op9_mixing, op10_decontaminate, op11_filter_audit, op12_conversation_trie, op13_url_filters)}
 
 _ESC = lambda x: rf"replace(replace({x}, '\', '\\'), '<|', '<\|')"
 
+
+
+def _url_sql(rounds: int = urlfilter.ROUNDS) -> str:
+    """SQL of op13, a table for each round of the walk."""
+    low = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    at = lambda x, rest: f"regexp_extract(coalesce({x}, ''), '(?s)^.*?://{rest}', 1)"
+    host_of = low("regexp_extract(link, '//([^/?#]*)', 1)")
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+    sql = [
+        f"r AS (SELECT * FROM (VALUES {rules}) v(v, h, p))",
+        f"a AS MATERIALIZED (SELECT row_number() OVER () AS rid, page_id, html, {low(at('url', '([^/?#]*)'))} AS host, {at('url', '[^/?#]*([^?#]*)')} AS path FROM pages)",
+        "j AS MATERIALIZED (SELECT rid, page_id, host, path, h || p AS rule, v AS said FROM a LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length(h) + length(p) DESC, length(h) DESC) = 1)",
+        "n AS (SELECT host, count(*) FILTER (said = 'allow') AS y, count(*) FILTER (said = 'block') AS b FROM j WHERE host <> '' GROUP BY host HAVING y + b > 0)",
+        f"s AS MATERIALIZED (SELECT host, 0 AS kind, (y::HUGEINT * {urlfilter.SCALE} // (y + b))::BIGINT AS seed FROM n UNION ALL SELECT host, 1, (b::HUGEINT * {urlfilter.SCALE} // (y + b))::BIGINT FROM n)",
+        "u AS (SELECT host AS src, unnest(regexp_extract_all(html, '" + urlfilter.LINK.replace("'", "''") + f"', 1)) AS link FROM a), d AS (SELECT DISTINCT src, {host_of} AS dst FROM u)",
+        "w AS (SELECT src AS host, dst AS to_, 0 AS kind FROM d WHERE src <> dst AND src <> '' AND dst <> '' UNION ALL SELECT dst, src, 1 FROM d WHERE src <> dst AND src <> '' AND dst <> '')",
+        "g AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY host, kind) AS n FROM w)",
+        f"s0 AS MATERIALIZED (SELECT host, kind, seed * {100 - urlfilter.DAMPING} // 100 AS score FROM s WHERE seed > 0)",
+    ]
+    for i in range(rounds):
+        sql.append(
+            f"s{i + 1} AS MATERIALIZED (SELECT host, kind, sum(score)::BIGINT AS score FROM (SELECT * FROM s0 UNION ALL SELECT to_, kind, sum(score // n)::BIGINT * {urlfilter.DAMPING} // 100 FROM s{i} JOIN g USING (host, kind) GROUP BY to_, kind) GROUP BY host, kind)"
+        )
+    return (
+        "WITH " + ", ".join(sql) + f", x AS (SELECT host, coalesce(sum(score) FILTER (kind = 0), 0)::BIGINT AS trust, coalesce(sum(score) FILTER (kind = 1), 0)::BIGINT AS distrust FROM s{rounds} GROUP BY host) "
+        "SELECT page_id, host, path, rule, coalesce(said, CASE WHEN distrust > trust THEN 'block' ELSE 'allow' END) AS verdict, "
+        "CASE WHEN rule IS NULL THEN coalesce(trust, 0) END AS trust, CASE WHEN rule IS NULL THEN coalesce(distrust, 0) END AS distrust FROM j LEFT JOIN x USING (host)"
+    )
+
+
 ORACLE_SQL: dict[str, str] = {
     "op4_chat": (
         "WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations "
@@ -88,4 +134,35 @@ ORACLE_SQL: dict[str, str] = {
         r"SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words, base_failed, "
         r"NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR word_chars > 25 * n_words OR word_chars < 2 * n_words) AS kept FROM f"
     ),
+    "op11_filter_audit": (
+        r"WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents), "
+        r"f AS (SELECT doc_id, part, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b, 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 10 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d, "
+        r"coalesce(min(doc_id) OVER (PARTITION BY text) < doc_id, false) AS e FROM t), "
+        "l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id), "
+        "m AS (SELECT part, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: CASE x WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END) AS fails, coalesce(good, false)::INT AS good, coalesce(toxic, false)::INT AS toxic FROM f LEFT JOIN l USING (doc_id)), "
+        "g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL), "
+        "x AS (SELECT * FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(x)), "
+        "o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5), "
+        "s AS (SELECT filter_order, step, filter_order[step] AS own, string_split(filter_order[:step - 1], '') AS before FROM o, range(1, 6) r(step)), "
+        "r AS (SELECT part, filter_order, step::INT AS step, own, list_contains(fails, own) AS failing, list_has_any(fails, before) AS earlier, len(fails) AS k, n, good, toxic FROM g, s), "
+        "y AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT failing AND NOT earlier), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (failing AND NOT earlier), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (failing AND earlier), 0)::BIGINT AS redundant, "
+        "coalesce(sum(n) FILTER (failing AND k = 1), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (failing AND NOT earlier), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (failing AND NOT earlier), 0)::BIGINT AS toxic_lost FROM r GROUP BY ALL) "
+        "SELECT * EXCLUDE (own), sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM y"
+    ),
+    "op12_conversation_trie": (
+        "WITH z AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL), "
+        "t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM z), "
+        # CRC-32, bit by bit
+        "h AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), "
+        "lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda p, q: CASE WHEN p & 1 = 1 THEN xor(p >> 1, 3988292384) ELSE p >> 1 END)), 4294967295) % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)), "
+        "o AS (SELECT h.conv_id, pos AS depth, role, text FROM h JOIN t ON t.conv_id = base AND pos <= h), "
+        "k AS (SELECT h.conv_id, h, (SELECT count(*) FROM o WHERE o.conv_id = h.conv_id) AS k FROM h), "
+        "r AS (SELECT * FROM o UNION ALL SELECT k.conv_id, pos - h + k, role, text FROM k JOIN t USING (conv_id) WHERE pos > h), "
+        "p AS (SELECT conv_id, depth, length(text) AS chars, list({'role': role, 'text': text}) OVER (PARTITION BY conv_id ORDER BY depth) AS key FROM r UNION ALL SELECT conv_id, 0, 0, [] FROM h), "
+        "q AS (SELECT *, min(conv_id) OVER (PARTITION BY depth, key) AS node, max(depth) OVER (PARTITION BY conv_id) AS total FROM p), "
+        "e AS (SELECT node, depth, count(*) AS n_convs, max(chars) AS chars, max(total) = depth AS leaf, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (total = depth), '')) AS ends_sha256 FROM q GROUP BY node, depth), "
+        "s AS (SELECT q.node, q.depth, count(*) FILTER (leaf) AS n_leaves, sum((n_convs - 1) * e.chars)::BIGINT AS saved_tokens, count(*) FILTER (e.depth = q.depth + 1) AS n_children FROM e JOIN q ON q.conv_id = e.node AND q.depth <= e.depth GROUP BY q.node, q.depth) "
+        "SELECT e.node AS conv_id, e.depth, q.node AS parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM e JOIN s USING (node, depth) LEFT JOIN q ON q.conv_id = e.node AND q.depth = e.depth - 1"
+    ),
+    "op13_url_filters": _url_sql(),
 }

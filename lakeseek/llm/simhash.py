@@ -181,7 +181,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Fingerprints are over whole texts (null or no word: zero, linked like any
     other). component_id is the smallest doc_id reachable; rows with a null id get
     a component too but never name one (null if all ids of it are null). Repeated
-    ids and rows each give a row. An empty table gives an empty table.
+    ids and rows each give a row; where ids repeat with other texts, components that
+    are not linked can have one name. An empty table gives an empty table.
     """
     rows = cut(with_fingerprint(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "fp"), "fingerprints")
     to = _classes(rows, limit).select("fp", "component_id")
@@ -193,6 +194,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     Of rows that share this id that of the least fingerprint, then text hash, stays,
     once: rows equal in id and text too are one. A component of null ids keeps one row.
+    Where ids repeat, components that share a name keep a row each.
     Only keys are shuffled, and documents that come more than once; the others are read
     past the keys of what goes.
     """

@@ -411,14 +411,16 @@ def test_stages_keep_columns_and_awkward_rows(spark, name):
 
 
 def test_near_duplicate_stage_without_broadcast(spark, monkeypatch):
-    """Keys of what goes joined by shuffle; rows equal in id and text become one, whatever else they hold."""
+    """Keys of what goes joined by shuffle; rows equal in id and text become one, whatever else they hold. Ids repeat here, so components share names."""
     monkeypatch.setattr(simhash, "BROADCAST_KEYS", -1)
     rows = docs(spark, [(i % 50, f"text {i % 30} of its own", "a" if i % 2 else "b") for i in range(200)])
     got = sorted((r.doc_id, r.text) for r in simhash.drop_near_duplicates(rows).collect())
     monkeypatch.undo()
     assert got == sorted((r.doc_id, r.text) for r in simhash.drop_near_duplicates(rows).collect())
-    classes = simhash.near_duplicates(rows).collect()
-    assert len(got) == len({r.component_id for r in classes}) and {i for i, _ in got} == {r.component_id for r in classes}
+    pairs = [(r.doc_id, r.text) for r in rows.collect()]
+    assert Counter(tuple(r)[:3] for r in simhash.near_duplicates(rows).collect()) == components(pairs)
+    prints = {simhash.fingerprint(t) for _, t in pairs}
+    assert len(got) == len(prints) == 30 and {i for i, _ in got} == {c for _, _, c in components(pairs)}
 
 
 def test_ftrl_equals_a_loop_over_coordinates():
