@@ -222,12 +222,12 @@ def test_layout_containers_keep_their_article(around):
 
 
 def test_wrapper_decides_in_articles(spark):
-    """What all articles of a host hold is template; a host of copies keeps its text; tokens of repeats in repeats have their slot."""
+    """What all articles of a host hold is template; a host of copies keeps its text, and so does one of two pages."""
     page = "<nav>Menu {0}</nav><article><div>Read our terms</div><h1>Head {0}</h1><p>Text {0}</p><div>All rights</div></article>"
     rows = [(i, "http://h.x/", page.format(i)) for i in range(4)] + [(10 + i, "http://copy.x/", page.format(0)) for i in range(3)]
     rows += [(20 + i, "http://list.x/", f"<ul><li>a{i}<li>b</ul><ul><li>c<li>d{i}</ul><p>End</p><h2>x</h2>") for i in range(2)]
     got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[2] == "Head 2 Text 2" and got[11] == "Read our terms Head 0 Text 0 All rights" and got[21] == "a1 b c d1"
+    assert got[2] == "Head 2 Text 2" and got[11] == "Read our terms Head 0 Text 0 All rights" and got[21] == "a1 b c d1 End x"
 
 
 def test_wrapper_finds_the_text_of_generated_templates(spark):
