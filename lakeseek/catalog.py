@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .functions import terms as T
 from .functions import text as X
-from .operators import chunking, embedding, evalkit, excerpt, fusion, index, legal, lexical, retrieve, stats, vector
-from .session import new_path
+from .operators import chunking, embedding, evalkit, excerpt, fusion, generation, index, legal, lexical, retrieve, stats, vector
+from .session import cut, new_path
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -348,6 +348,74 @@ def hybrid(spark, sf_dir, n: int | None = None) -> DataFrame:
     return hits.select("qid", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 6).alias("score"), "corpus", "doc_title", F.md5("section").alias("section"))
 
 
+def _passage(prompts: list[tuple[str, str]]) -> list[str]:
+    """A generator with canned passages that differ by question, and none for some."""
+    if len(prompts[0][1]) % 11 == 0:
+        raise ValueError("no passage for this question")
+    return [f"passage {len(p)}" for _, p in prompts]
+
+
+def _passage_vectors(texts: list[str]) -> list[list[float]]:
+    """Vectors of three dimensions for canned passages; other texts have none."""
+    n = int(texts[0].removeprefix("passage "))
+    return [[n % 5 - 2.0, n % 3 - 1.0, 1.0]]
+
+
+_PROMPT_LENGTH = f"{len(generation.PASSAGE_PROMPT)} + length(trim(q))"
+
+
+@query(
+    f"{bm25_sql(k=20)}, t AS (SELECT *, max(score) OVER (PARTITION BY qid) AS best FROM hits), l AS (SELECT qid, chunk_id, score / best * least(1.0, length(trim(text)) / 80.0) * 0.7 AS score FROM t JOIN c USING (chunk_id)), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM l), b AS (SELECT * FROM r WHERE rank <= 8), "
+    f"w AS (SELECT qid, {_PROMPT_LENGTH} AS n FROM qs WHERE ({_PROMPT_LENGTH}) % 11 <> 0 AND qid IN (SELECT qid FROM b WHERE rank = 1 AND (qid::BIGINT % 300 = 0 OR score < 0.65) AND score > 0)), "
+    "nr AS (SELECT qid, vec_id::VARCHAR AS chunk_id, list_cosine_similarity(embedding[:3]::DOUBLE[], [n % 5 - 2, n % 3 - 1, 1]::DOUBLE[]) AS score FROM embeddings, w), nk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM nr), "
+    "f AS (SELECT qid, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT qid, chunk_id, rank FROM b WHERE qid IN (SELECT qid FROM w) UNION ALL SELECT qid, chunk_id, rank FROM nk WHERE rank <= 20) GROUP BY ALL), fr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM f) "
+    "SELECT qid, chunk_id, round(score, 6) AS score, rank FROM b WHERE qid NOT IN (SELECT qid FROM w) UNION ALL SELECT qid, chunk_id, round(score, 6), rank FROM fr WHERE rank <= 8"
+)
+def hyde_retrieve(spark, sf_dir):
+    """A second pass for weak queries: their hits are fused with the neighbours of a generated passage; some passages fail. Every third query asks for one in any case."""
+    at, q = index_of(spark, sf_dir), asked(spark, sf_dir)
+    words = lexical.search(at, q)
+    scored = retrieve.hydrate(fusion.weighted(words, words.where("false"), 0.7), at.chunks)
+    ranked = lexical.top_k(scored.withColumn("score", fusion.length_penalty(F.col("score"), F.col("text"))), 8).select("qid", "chunk_id", "score", "rank")
+    ranked = cut(ranked, "ranked")
+    forced = F.when(F.col("qid").cast("long") % 300 == 0, "on").otherwise("auto")
+    modes = q.select("qid", F.col("text").alias("generation_q"), "corpus", forced.alias("hyde"))
+    found = retrieve.passages(modes, ranked.withColumn("variant", F.lit(0)), _passage, _passage_vectors, batch=1, vectors=1)
+    return out_hits(retrieve.with_passages(at, ranked, found))
+
+
+def _echo(prompts: list[tuple[str, str]]) -> list[str]:
+    """A generator that answers with the question's length, rewrites with fixed lines, and fails for some questions."""
+    out = []
+    for system, prompt in prompts:
+        question = prompt.split("\n")[0]
+        if system and len(question) % 5 == 0:
+            raise ValueError("no answer")
+        out.append(f"{len(question)}" if system else "Requête 1 : les mots d'avant\nRequête 2 : xx")
+    return out
+
+
+@query(
+    f"WITH {CHUNKS}, qs AS (SELECT conv_id || '-' || turn AS qid, coalesce(text, '') || [' rôle du président', ''][turn % 2 + 1] AS q FROM conversations WHERE turn < 2 AND trim(coalesce(text, '')) <> ''), "
+    f"qe AS (SELECT qid, q, {TERMS.format('q')} AS terms FROM qs), v AS (SELECT qid, q, trim(q) || CASE WHEN strlen(trim(q)) < 200 AND NOT regexp_matches(q, '(?i)article\\s+(premier|\\d+)') AND list_has_any(terms, ["
+    + ", ".join(f"'{w}'" for w in [*T.INSTITUTIONS, *T.ABSTRACT_INTENT])
+    + f"]) THEN ' | les mots d''avant' ELSE '' END AS said FROM qe), tk AS (SELECT DISTINCT term FROM (SELECT unnest({TOK.format('text')}) AS term FROM c UNION ALL SELECT unnest({TOK.format('doc_title')}) FROM c UNION ALL SELECT unnest({TOK.format('title')}) FROM c UNION ALL SELECT 'document' FROM c WHERE title = '')), "
+    f"h AS (SELECT DISTINCT qid FROM (SELECT qid, unnest({TOK.format('q')}) AS term FROM qs) JOIN tk USING (term)) "
+    "SELECT qid, CASE WHEN h.qid IS NULL THEN 'no_results' WHEN length(string_split('Question: ' || q, chr(10))[1]) % 5 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN status = 'no_results' THEN 'Aucun résultat pertinent' ELSE '' END AS message, CASE WHEN status = 'ok' THEN length(string_split('Question: ' || q, chr(10))[1])::VARCHAR END AS answer, said AS rewrite_queries FROM v LEFT JOIN h USING (qid)"
+)
+def search_prompts(spark, sf_dir):
+    """Answers of a canned generator for the first turns of conversations, over documents in a store; abstract questions are rewritten."""
+    from .jobs.engine import Engine
+
+    at, c = index_of(spark, sf_dir), table(spark, sf_dir, "conversations")
+    more = F.when(F.col("turn") % 2 == 0, " rôle du président").otherwise("")
+    q = c.where("turn < 2 AND trim(coalesce(text, '')) <> ''").select(F.concat_ws("-", "conv_id", "turn").alias("qid"), F.concat(F.coalesce("text", F.lit("")), more).alias("text"), F.lit("").alias("corpus"), F.lit("on").alias("rewrite"))
+    store = Engine(spark, new_path(spark, "store"))
+    store.index = lambda: at  # the index that the other queries read
+    return store.search(q, _echo, replace(retrieve.RetrieveParams(), min_score=0.0), batch=1)
+
+
 @query(
     f"{bm25_sql()}, v2 AS (SELECT qid, chunk_id, rank FROM hits WHERE rank <= 12 UNION ALL SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY chunk_id) AS rank FROM hits WHERE rank <= 5), f AS (SELECT qid, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM v2 GROUP BY ALL){_TOP}"
 )

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunking, embedding, evalkit, excerpt, index, lexical, stats
+from ..operators import chunking, embedding, evalkit, excerpt, generation, index, lexical, stats
 from ..operators import retrieve as ranking
 from ..session import cut, ship
 
@@ -28,6 +28,8 @@ TABLES = {
     "marks": "doc_id string, marked long",
     "log": "event string, doc_id string, corpus string, chunks long, embedded long, failed long, at timestamp",
 }
+# Fixed value: what a query without hits is told.
+NOTHING = "Aucun résultat pertinent"
 _COMMITS = "id string, at long, kind string, replaces array<string>, tables array<string>"
 
 
@@ -195,13 +197,30 @@ class Engine:
         """queries with the vectors of their texts; those that can't be had are left out."""
         return embedding.embed(queries, self.embed).where("embedding IS NOT NULL") if self.embed else None
 
-    def retrieve(self, queries: DataFrame, params: ranking.RetrieveParams = ranking.RetrieveParams(), expand: bool = False) -> DataFrame:
-        """Hits for a table of queries (qid, text, corpus), by words and, with an embedder, by vectors; with expand, queries of legal corpora are searched for in rule-made variants too."""
+    def _asked(self, queries: DataFrame) -> index.Index:
         if queries.where("trim(coalesce(text, '')) = ''").limit(1).count():
             raise ValueError("a query has no text")
         at = self.index()
         if at is None:
             raise ValueError("nothing is indexed yet")
+        return at
+
+    def _pipeline(self, at: index.Index, queries: DataFrame, params: ranking.RetrieveParams, generate: generation.Generator | None, how: dict) -> tuple[DataFrame, DataFrame]:
+        own = F.col("retrieval_q") if "retrieval_q" in queries.columns else F.lit("")
+        extra = [c for c in ("hyde", "rewrite") if c in queries.columns]
+        asked = queries.select("qid", F.col("text").alias("generation_q"), own.alias("retrieval_q"), F.coalesce("corpus", F.lit("")).alias("corpus"), *extra)
+        return ranking.pipeline(at, asked, params, generate, self.embed, **how)
+
+    def retrieve(self, queries: DataFrame, params: ranking.RetrieveParams = ranking.RetrieveParams(), expand: bool = False, generate: generation.Generator | None = None, **how) -> DataFrame:
+        """Hits for a table of queries (qid, text, corpus), by words and, with an embedder, by vectors; with expand, queries of legal corpora are searched for in rule-made variants too.
+
+        With generate, queries go through all of ranking.pipeline(): variants, rewrites, and
+        passages for those whose best hit is weak. They may then have the columns
+        retrieval_q, hyde (on, auto, off) and rewrite; how: batch and seconds of a call.
+        """
+        at = self._asked(queries)
+        if generate is not None:
+            return self._pipeline(at, queries, params, generate, how)[0]
         if expand:
             rows = ranking.build_queries(queries.select("qid", F.col("text").alias("generation_q"), F.lit("").alias("retrieval_q"), "corpus"))
             vectors = self._vectors(rows)
@@ -209,6 +228,26 @@ class Engine:
         vectors = self._vectors(queries)
         return ranking.retrieve(at, queries, params, None if vectors is None else vectors.select("qid", "corpus", "embedding"))
 
+    def search(self, queries: DataFrame, generate: generation.Generator, params: ranking.RetrieveParams = ranking.RetrieveParams(), **how) -> DataFrame:
+        """Answers for a table of queries: (qid, status, message, answer, rewrite_queries), a row for each.
+
+        Retrieval is that of retrieve(generate=...); its hits' excerpts are put to the
+        generator. status is ok, no_results where nothing was found (the message says so,
+        and the generator isn't asked), or failed where the generator gave no answer.
+        rewrite_queries: all that was searched for, joined by ' | '.
+        """
+        at = self._asked(queries)
+        hits, variants = self._pipeline(at, queries, params, generate, how)
+        hits = cut(hits, "hits")
+        own = F.col("retrieval_q") if "retrieval_q" in queries.columns else F.lit("")
+        shown_by = ranking.excerpt_queries(queries.select("qid", own.alias("retrieval_q")), variants)
+        told = excerpt.prompts(excerpt.with_excerpts(hits, at.chunks, shown_by), queries, params.top_k)
+        answers = cut(generation.generate(told, generate, F.col("prompt"), F.col("system"), **how), "answers")
+        said = variants.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("variant", "text"))), lambda x: x["text"]), " | ").alias("rewrite_queries"))
+        rows = queries.select("qid").join(said, "qid", "left").join(answers.select("qid", "generated", F.lit(True).alias("__asked")), "qid", "left")
+        status = F.when(F.col("__asked").isNull(), "no_results").when(F.col("generated").isNull(), "failed").otherwise("ok")
+        return rows.select("qid", status.alias("status"), F.when(status == "no_results", NOTHING).otherwise("").alias("message"), F.col("generated").alias("answer"), F.coalesce("rewrite_queries", F.lit("")).alias("rewrite_queries"))
+
     def prompts(self, queries: DataFrame, params: ranking.RetrieveParams = ranking.RetrieveParams()) -> DataFrame:
         hits = self.retrieve(queries, params)
         return excerpt.prompts(excerpt.with_excerpts(hits, self.index().chunks, queries), queries, params.top_k)

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 #: Texts that the embedder gets at once.
 BATCH = 64
 
+Embedder = Callable[[list[str]], list[list[float]]]
 
-def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], text: str = "text", batch: int = BATCH) -> DataFrame:
+
+def embed(rows: DataFrame, embedder: Embedder, text: str = "text", batch: int = BATCH) -> DataFrame:
     """rows with embedding and embed_failed.
 
     embedder takes a list of texts and gives a vector for each, in their order. Where it

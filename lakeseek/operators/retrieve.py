@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+import re
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from . import fusion, legal, lexical, vector
+from . import embedding, fusion, generation, legal, lexical, vector
 from .index import Index
 from .lexical import top_k
 
 
+_YES, _NO = {"1", "true", "yes", "on"}, {"0", "false", "no", "off"}
+
+
+def _number(raw: str | None) -> float | None:
+    try:
+        x = float(raw or "")
+    except ValueError:
+        return None
+    return x if math.isfinite(x) else None
+
+
 @dataclass(frozen=True)
 class RetrieveParams:
     bm25_k: int = 20
@@ -25,6 +38,29 @@ class RetrieveParams:
     legal_rerank: bool | None = None
     doc_id: str = ""
     article: str = ""
+    #: Hits that default_cap() counts with, where a variant is ranked deeper than the result.
+    cap_k: int | None = None
+
+    @classmethod
+    def of(cls, params: dict[str, str | None]) -> RetrieveParams:
+        """Parameters as texts, as a request brings them: unknown ones and values that can't be read are the defaults'.
+
+        fusion is a mode (rrf) or the weight of the words' score.
+        """
+        got = {k: v.strip() for k, v in params.items() if v and v.strip()}
+        out: dict = {k: got[k] for k in ("doc_id", "article") if k in got}
+        for k in ("bm25_k", "vector_k", "top_k", "max_per_doc"):
+            if re.fullmatch(r"\+?[0-9]{1,9}", got.get(k, "")) and int(got[k]) > 0:
+                out[k] = int(got[k])
+        if (least := _number(got.get("min_score"))) is not None:
+            out["min_score"] = least
+        if got.get("fusion", "").lower() == "rrf":
+            out["fusion"] = "rrf"
+        elif (w := _number(got.get("fusion"))) is not None and 0 <= w <= 1:
+            out["weight"] = w
+        if (low := got.get("legal_rerank", "").lower()) in _YES | _NO:
+            out["legal_rerank"] = low in _YES
+        return cls(**out)
 
     def __post_init__(self):
         if self.fusion not in ("weighted", "rrf") or min(self.bm25_k, self.vector_k, self.top_k) < 1 or not 0 <= self.weight <= 1:
@@ -37,7 +73,7 @@ def default_cap(p: RetrieveParams):
         return F.lit(p.max_per_doc)
     if p.doc_id:
         return F.lit(8)
-    return F.when(F.col("qcorpus") != "", F.lit(min(p.top_k, 6))).otherwise(F.lit(1))
+    return F.when(F.col("qcorpus") != "", F.lit(min(p.cap_k or p.top_k, 6))).otherwise(F.lit(1))
 
 
 def hydrate(hits: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -150,29 +186,111 @@ def excerpt_queries(queries: DataFrame, variants: DataFrame) -> DataFrame:
     return queries.join(joined, "qid", "left").select("qid", F.when(own != "", F.col("retrieval_q")).otherwise(F.coalesce("all", F.lit(""))).alias("text"))
 
 
-def retrieve_variants(index: Index, variants: DataFrame, p: RetrieveParams = RetrieveParams(), query_vectors: DataFrame | None = None) -> DataFrame:
-    """(qid, variant, text, corpus) -> (qid, chunk_id, score, rank): each variant ranked on its own (12 hits or more), fused by rank; gated on variant 0's best score. A query without hits has the first chunks of the document where one is asked for.
+def ranked_variants(index: Index, variants: DataFrame, p: RetrieveParams = RetrieveParams(), query_vectors: DataFrame | None = None) -> DataFrame:
+    """(qid, variant, text, corpus) -> (qid, variant, chunk_id, rank, score): each variant ranked and gated on its own, 12 hits or more. Written once.
 
     query_vectors: (qid, variant, corpus, embedding), if any.
     """
     own = F.concat_ws("\u0001", F.col("qid").cast("string"), F.col("variant").cast("string"))
     keys = variants.select(own.alias("qid"), "text", "corpus")
-    wide = RetrieveParams(**{**p.__dict__, "top_k": max(p.top_k, 12), "min_score": 0.0})
+    wide = replace(p, top_k=max(p.top_k, 12), cap_k=p.top_k)
     hits = retrieve(index, keys, wide, None if query_vectors is None else query_vectors.select(own.alias("qid"), "corpus", "embedding"))
     back = variants.select(own.alias("k"), F.col("qid").alias("of"), "variant")
-    rows = hits.join(lexical.local(back), F.col("qid") == F.col("k")).select(F.col("of").alias("qid"), "variant", "chunk_id", "rank", "score")
+    return cut(hits.join(lexical.local(back), F.col("qid") == F.col("k")).select(F.col("of").alias("qid"), "variant", "chunk_id", "rank", "score"), "variants")
+
+
+def fuse_variants(index: Index, rows: DataFrame, variants: DataFrame, p: RetrieveParams = RetrieveParams()) -> DataFrame:
+    """Ranked variants -> (qid, chunk_id, score, rank).
+
+    Of a query with one variant these are its hits and scores; several are fused by rank,
+    and gated on variant 0's best score. A query without hits has the first chunks of
+    the document where one is asked for.
+    """
+    lone = variants.groupBy("qid").agg(F.count("*").alias("n")).where("n = 1").select("qid")
+    single = rows.join(lone, "qid", "left_semi").where(F.col("rank") <= p.top_k).select("qid", "chunk_id", "score", "rank")
     good = rows.where("variant = 0").groupBy("qid").agg(F.max("score").alias("top")).where(F.col("top") >= p.min_score).select("qid")
-    hits = cut(top_k(fusion.multi_query_rrf(rows.join(good, "qid", "left_semi")), p.top_k), "variants")
+    several = rows.join(lone, "qid", "left_anti").join(good, "qid", "left_semi")
+    hits = cut(single.unionByName(top_k(fusion.multi_query_rrf(several), p.top_k).select(single.columns)), "fused")
     if p.doc_id:
         more = fallback_chunks(index.chunks, without_hits(variants.where("variant = 0"), hits, p.doc_id), p.top_k)
         hits = hits.unionByName(more.select(hits.columns))
     return hits
 
 
+def retrieve_variants(index: Index, variants: DataFrame, p: RetrieveParams = RetrieveParams(), query_vectors: DataFrame | None = None) -> DataFrame:
+    """(qid, variant, text, corpus) -> (qid, chunk_id, score, rank): each variant ranked, then fused."""
+    return fuse_variants(index, ranked_variants(index, variants, p, query_vectors), variants, p)
+
+
+def rewritten(queries: DataFrame, generate: generation.Generator, **how) -> DataFrame:
+    """(qid, raw): a generator's rewrites of the queries that may have some: abstract ones without a retrieval text, where rewrite or the corpus says so. Those that fail have none.
+
+    queries: qid, generation_q, retrieval_q, corpus and, if any, rewrite.
+    """
+    raw = F.col("rewrite") if "rewrite" in queries.columns else F.lit("")
+    some = queries.where((F.trim(F.coalesce("retrieval_q", F.lit(""))) == "") & generation.wants_rewrites(raw, F.col("corpus")) & legal.is_abstract(F.coalesce("generation_q", F.lit(""))))
+    prompt = F.concat(F.lit(generation.REWRITE_PROMPT), F.trim("generation_q"))
+    return cut(generation.generate(some.select("qid", "generation_q"), generate, prompt, **how).where("generated IS NOT NULL").select("qid", F.col("generated").alias("raw")), "rewrites")
+
+
+def passages(queries: DataFrame, rows: DataFrame, generate: generation.Generator, embed: embedding.Embedder, vectors: int = embedding.BATCH, **how) -> DataFrame:
+    """(qid, corpus, embedding): a generated passage's vector for each query that wants one, by its mode and variant 0's best score in rows.
+
+    queries: qid, generation_q, corpus, hyde (on, auto or off). Only these queries go
+    through the generator and the embedder, once; where either fails there is no row.
+    vectors: texts that the embedder gets at once.
+    """
+    top = rows.where("variant = 0").groupBy("qid").agg(F.max("score").alias("top"))
+    weak = queries.join(top, "qid").where(generation.wants_passage(F.col("hyde"), F.col("top")))
+    prompt = F.concat(F.lit(generation.PASSAGE_PROMPT), F.trim(F.coalesce("generation_q", F.lit(""))))
+    told = generation.generate(weak.select("qid", "generation_q", F.coalesce("corpus", F.lit("")).alias("corpus")), generate, prompt, **how)
+    told = embedding.embed(told.where("generated IS NOT NULL"), embed, "generated", vectors)
+    return cut(told.where("embedding IS NOT NULL").select("qid", "corpus", "embedding"), "passages")
+
+
+def with_passages(index: Index, hits: DataFrame, passages: DataFrame, p: RetrieveParams = RetrieveParams()) -> DataFrame:
+    """Hits (qid, chunk_id, score, rank) of queries that have a passage, fused by rank with its neighbours; those of the others, and of passages without neighbours, as they are. A query without hits gets none by a passage."""
+    asked = passages.join(hits.select("qid").distinct(), "qid", "left_semi")
+    near = cut(vector.search(index.vectors, asked, p.vector_k), "neighbours")
+    helped = near.select("qid").distinct()
+    boosted = hyde_boost(hits.join(helped, "qid", "left_semi"), near, p.top_k)
+    return hits.join(helped, "qid", "left_anti").select("qid", "chunk_id", "score", "rank").unionByName(boosted.select("qid", "chunk_id", "score", "rank"))
+
+
+def shown(index: Index, hits: DataFrame) -> DataFrame:
+    """(qid, chunk_id, score, rank) with the chunks' columns, as retrieve() gives them."""
+    section = F.when(F.col("title") != "", F.col("title")).otherwise(F.col("section_path"))
+    return hydrate(hits, index.chunks).select("qid", "rank", "chunk_id", "doc_id", "score", "corpus", section.alias("section"), "doc_title", "section_path", "article")
+
+
+def pipeline(index: Index, queries: DataFrame, p: RetrieveParams = RetrieveParams(), generate: generation.Generator | None = None, embed: embedding.Embedder | None = None, **how) -> tuple[DataFrame, DataFrame]:
+    """(hits, variants) of queries (qid, generation_q, retrieval_q, corpus and, if any, hyde, rewrite).
+
+    What is searched for is built first (a retrieval text alone, or the question, its
+    rule-made variants and the generator's rewrites), then ranked, fused, and a second
+    pass goes over the queries whose best hit is weak: a generated passage's neighbours
+    are fused with their hits. hyde is auto in the corpus legal-demo and off elsewhere,
+    where the queries don't say. how: batch and seconds of the generator. A generator or
+    embedder that fails costs what it would have added, never a query.
+    """
+    hyde = F.col("hyde") if "hyde" in queries.columns else F.lit(None).cast("string")
+    queries = cut(queries.withColumn("hyde", F.coalesce(hyde, F.when(F.col("corpus") == "legal-demo", "auto").otherwise("off"))), "asked")
+    variants = cut(build_queries(queries, None if generate is None else rewritten(queries, generate, **how)), "queries")
+    vectors = embedding.embed(variants, embed).where("embedding IS NOT NULL").select("qid", "variant", "corpus", "embedding") if embed and index.vectors is not None else None
+    rows = ranked_variants(index, variants, p, vectors)
+    hits = fuse_variants(index, rows, variants, p)
+    if generate is not None and embed is not None and index.vectors is not None:
+        found = passages(queries, rows, generate, embed, **how)
+        if not found.isEmpty():
+            hits = with_passages(index, hits, found, p)
+    return shown(index, hits), variants
+
+
 def hyde_boost(hits: DataFrame, passage_hits: DataFrame, k: int) -> DataFrame:
     """Current ranks and those of a generated passage's neighbours by RRF; scores become RRF scores."""
     return top_k(fusion.rrf(hits, passage_hits), k)
 
 
 def wants_hyde(top: float, forced: bool = False) -> bool:
-    return forced or 0 < top < 0.65
+    """generation.wants_passage() for one query."""
+    return forced or 0 < top < generation.CONFIDENCE
