@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import terms as T
 from .functions import text as X
 from .operators import chunking, embedding, evalkit, excerpt, fusion, generation, index, legal, lexical, retrieve, stats, vector
-from .session import cut, new_path
+from .session import cut, new_path, spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -61,7 +61,7 @@ def index_of(spark: SparkSession, sf_dir: str) -> index.Index:
     key, chunks = (spark.sparkContext.applicationId, sf_dir), chunks_of(spark, sf_dir)
     if key not in _BUILT:
         path = new_path(spark, "index")
-        index.build(chunks, path)
+        index.build(spread(chunks), path)
         _BUILT[key] = path
     return replace(index.load(spark, _BUILT[key], chunks.schema), vectors=vectors_of(spark, sf_dir))
 
@@ -228,7 +228,7 @@ def html_to_markdown(spark, sf_dir):
 
 @query(f"WITH {POST} SELECT chunk_id, field, count(*) AS terms, sum(tf)::BIGINT AS tokens, max(tf) AS most FROM po GROUP BY ALL")
 def term_frequency(spark, sf_dir):
-    po = index.postings(index.chunk_fields(chunks_of(spark, sf_dir)))
+    po = index.postings(index.chunk_fields(spread(chunks_of(spark, sf_dir))))
     return po.groupBy("chunk_id", "field").agg(F.count("*").alias("terms"), F.sum("tf").alias("tokens"), F.max("tf").alias("most"))
 
 
@@ -261,6 +261,12 @@ def bm25_multifield_max(spark, sf_dir):
     return out_hits(lexical.search(index_of(spark, sf_dir), asked(spark, sf_dir)))
 
 
+@query(bm25_sql() + OUT_HITS)
+def bm25_pruned(spark, sf_dir):
+    """The same hits, where blocks of chunks that can't hold one of the 20 best are not scored."""
+    return out_hits(lexical.search(index_of(spark, sf_dir), asked(spark, sf_dir), prune=True))
+
+
 @query(bm25_sql("sum") + OUT_HITS)
 def bm25_multifield_sum(spark, sf_dir):
     return out_hits(lexical.search(index_of(spark, sf_dir), asked(spark, sf_dir), combine="sum"))
@@ -604,7 +610,7 @@ def build_queries(spark, sf_dir):
 def sentence_scores(spark, sf_dir):
     q = F.array_distinct(F.slice(X.snippet_tokens(F.col("text")), 1, 5))
     each = X.let(q, lambda t: F.transform(excerpt.sentences(F.col("text")), lambda s: excerpt.sentence_score(s, t)))
-    d = table(spark, sf_dir, "documents").select("doc_id", each.alias("x")).where("size(x) > 0")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", each.alias("x")).where("size(x) > 0")
     return d.select("doc_id", F.size("x").cast("long").alias("sentences"), F.aggregate("x", F.lit(0), lambda a, v: a + v).cast("long").alias("total"), F.array_max("x").cast("long").alias("best"))
 
 

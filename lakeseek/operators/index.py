@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -13,6 +16,10 @@ from ..functions import text as X
 FIELDS = ("text", "title", "doc_title", "section", "article")
 #: Files that the postings of one term are dealt out to, so that a word of every chunk is no task's alone.
 SHARES = 8
+#: Chunks whose terms are counted at once.
+ROWS = 1_024
+#: Chunks of a block, for which a term's bounds are kept.
+BLOCK = 128
 
 
 def chunk_fields(chunks: DataFrame) -> DataFrame:
@@ -22,29 +29,55 @@ def chunk_fields(chunks: DataFrame) -> DataFrame:
     return rows.select("chunk_id", "doc_id", "corpus", "text", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("doc_title", F.lit("")).alias("doc_title"), section.alias("section"), F.coalesce("article", F.lit("")).alias("article"))
 
 
-def _counted(tokens: Column) -> Column:
-    """Tokens -> array of (term, tf): sorted, then cut where the term changes. Counted in the row, so nothing is shuffled."""
-    starts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-    ends = lambda s, at: F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(s)))
-    of = lambda s: X.let(starts(s), lambda at: F.zip_with(at, ends(s, at), lambda i, j: F.struct(F.get(s, i).alias("term"), (j - i).cast("long").alias("tf"))))
-    return X.let(F.sort_array(tokens), lambda s: of(s))
-
-
-def field_tokens(fields: DataFrame) -> DataFrame:
-    """(chunk_id, doc_id, corpus, field, tokens, before): a row for each field that has tokens; before are those of the shorter fields, named after it."""
-    rows = fields.select("chunk_id", "doc_id", "corpus", *(X.tokenize(F.col(f)).alias(f) for f in FIELDS))
-    pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("tokens"), F.concat(F.array().cast("array<string>"), *(F.col(g) for g in FIELDS[i + 1 :])).alias("before")) for i, f in enumerate(FIELDS)))
-    return rows.select("chunk_id", "doc_id", "corpus", F.explode(pairs).alias("x")).select("chunk_id", "doc_id", "corpus", "x.*").where("size(tokens) > 0")
+def _count(batches):
+    """Chunks with a column of tokens for each field (null: those of the title) -> their postings: sorted numbers stand for terms, so a chunk of any length costs n log n."""
+    title, n = FIELDS.index("title"), len(FIELDS)
+    for whole in batches:
+        for start in range(0, whole.num_rows, ROWS):
+            b = whole.slice(start, ROWS)
+            lists = [b.column(3 + f) for f in range(n)]
+            flat = [(pc.list_flatten(c), pc.list_parent_indices(c).to_numpy()) for c in lists]
+            values, row, field = [], [], []
+            for f, c in enumerate(lists):
+                again = c.is_null().to_numpy(zero_copy_only=False)[flat[title][1]]
+                for (v, r), kept in ((flat[f], None), (flat[title], again)):
+                    values.append(v if kept is None else v.filter(pa.array(kept)))
+                    row.append(r if kept is None else r[kept])
+                    field.append(np.full(len(row[-1]), f, np.int64))
+            terms = pa.chunked_array(values, pa.string()).combine_chunks().dictionary_encode()
+            terms = terms if isinstance(terms, pa.DictionaryArray) else terms.combine_chunks()
+            row, field, size = np.concatenate(row).astype(np.int64), np.concatenate(field), max(1, len(terms.dictionary))
+            found, tf = np.unique((row * size + terms.indices.to_numpy().astype(np.int64)) * n + field, return_counts=True)
+            of, field_of = np.divmod(found, n)
+            at, term = np.divmod(of, size)
+            length = np.bincount(row * n + field, minlength=b.num_rows * n)
+            first = np.append(True, of[1:] != of[:-1])[: len(of)]
+            columns = [terms.dictionary.take(pa.array(term)), *(b.column(i).take(pa.array(at)) for i in range(3)), pa.array(FIELDS).take(pa.array(field_of)), pa.array(tf.astype(np.int64)), pa.array(length[at * n + field_of].astype(np.int64)), pa.array(first)]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "chunk_id", "doc_id", "corpus", "field", "tf", "dl", "first"])
 
 
 def postings(fields: DataFrame) -> DataFrame:
     """(term, chunk_id, doc_id, corpus, field, tf, dl, first), without a shuffle.
 
     The field's length is kept with each posting, so scoring joins nothing on chunks.
-    first marks one posting of each term and chunk, so document frequencies are plain counts.
+    first marks one posting of each term and chunk, so document frequencies are plain
+    counts. Spark's expressions make the tokens; they are counted in Arrow batches. A
+    field that says what the title says isn't tokenised again.
     """
-    rows = field_tokens(fields).select("chunk_id", "doc_id", "corpus", "field", F.size("tokens").cast("long").alias("dl"), "before", F.explode(_counted(F.col("tokens"))).alias("x"))
-    return rows.select("x.term", "chunk_id", "doc_id", "corpus", "field", "x.tf", "dl", (~F.array_contains("before", F.col("x.term"))).alias("first"))
+    same = lambda f: F.when(F.col(f) != F.col("title"), X.tokenize(F.col(f))).alias(f)
+    rows = fields.select("chunk_id", "doc_id", "corpus", *(X.tokenize(F.col(f)).alias(f) if f == "title" else same(f) for f in FIELDS))
+    return rows.mapInArrow(_count, "term string, chunk_id string, doc_id string, corpus string, field string, tf long, dl long, first boolean")
+
+
+def with_blocks(posted: DataFrame, chunks: int, salt: str = "") -> DataFrame:
+    """Postings with block: BLOCK chunks or so, the same for all terms; a document's chunks share one. salt keeps the blocks of commits apart."""
+    n = max(1, -(-chunks // BLOCK))
+    return posted.withColumn("block", F.xxhash64(F.lit(salt), F.pmod(F.xxhash64("doc_id"), F.lit(n))))
+
+
+def block_bounds(posted: DataFrame) -> DataFrame:
+    """(term, field, block, tf, dl, n): the largest tf and the smallest dl, which no posting's score is above whatever the mean length, and the postings."""
+    return posted.groupBy("term", "field", "block").agg(F.max("tf").alias("tf"), F.min("dl").alias("dl"), F.count("*").alias("n"))
 
 
 def field_lengths(fields: DataFrame) -> DataFrame:
@@ -78,25 +111,27 @@ def idf(df, n):
 
 @dataclass(frozen=True)
 class Index:
-    """Tables of an index; stored postings are sorted by term inside files, so a query's terms skip row groups. vectors: (chunk_id, corpus, embedding) of chunks that have one."""
+    """Tables of an index; stored postings are sorted by term inside files, so a query's terms skip row groups. vectors: (chunk_id, corpus, embedding) of chunks that have one. blocks: block_bounds() of the postings, which then have their block."""
 
     chunks: DataFrame
     postings: DataFrame
     term_df: DataFrame
     stats: DataFrame
     vectors: DataFrame | None = None
+    blocks: DataFrame | None = None
 
 
 def by_term(posted: DataFrame) -> DataFrame:
-    """Postings as they are stored: dealt by term, large ones to several files, sorted by it."""
-    return posted.repartition("term", F.pmod(F.xxhash64("chunk_id"), F.lit(SHARES))).sortWithinPartitions("term")
+    """Postings as they are stored: dealt by term, large ones to several files, sorted by it and, if they have one, by block."""
+    return posted.repartition("term", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES))).sortWithinPartitions("term", *(c for c in ("block",) if c in posted.columns))
 
 
 #: What an index has below its path; the types are read from nothing else, so a corpus '2024' or '' stays what it is.
 SCHEMAS = {
-    "postings": "term string, chunk_id string, doc_id string, corpus string, field string, tf long, dl long, first boolean",
+    "postings": "term string, chunk_id string, doc_id string, corpus string, field string, tf long, dl long, first boolean, block long",
     "term_df": "term string, df long",
     "stats": "n long, avgdl double",
+    "blocks": "term string, field string, block long, tf long, dl long, n long",
 }
 
 
@@ -107,8 +142,10 @@ def build(chunks: DataFrame, path: str | None = None) -> Index:
     if path is None:
         return Index(chunks, posted, term_df(posted), corpus_stats(fields, posted))
     spark = chunks.sparkSession
+    posted = with_blocks(posted, fields.count())
     by_term(posted).write.mode("overwrite").parquet(f"{path}/postings")
     posted = spark.read.schema(SCHEMAS["postings"]).parquet(f"{path}/postings")
+    block_bounds(posted).repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/blocks")
     term_df(posted).write.mode("overwrite").parquet(f"{path}/term_df")
     corpus_stats(fields, posted).write.mode("overwrite").parquet(f"{path}/stats")
     chunks.sortWithinPartitions("chunk_id").write.mode("overwrite").parquet(f"{path}/chunks")  # so that few ids are few pages of a file
@@ -117,7 +154,7 @@ def build(chunks: DataFrame, path: str | None = None) -> Index:
 
 def load(spark, path: str, chunks: StructType) -> Index:
     read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
-    return Index(read("chunks", chunks), *(read(t, s) for t, s in SCHEMAS.items()))
+    return Index(read("chunks", chunks), **{t: read(t, s) for t, s in SCHEMAS.items()})
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:

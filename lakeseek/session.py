@@ -65,3 +65,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(base)
     return df.checkpoint()
 
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table read from fewer files than there are cores, dealt to all of them: a file of one row group is one task. Others as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if len(df.inputFiles()) < n else df
