@@ -40,18 +40,30 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*(F.lpad(F.conv(F.substring(hexed, 1 + 10 * i, 10), 16, 32), 8, "0") for i in range(4))), digits, letters)
 
 
-def records(pages: DataFrame, min_payload: int = 0) -> DataFrame:
+def repeated(pages: DataFrame, min_payload: int = 0) -> DataFrame:
+    """(digest, first): payloads of min_payload bytes or more that several pages have, and the smallest page_id of each. Written once."""
+    html = F.coalesce("html", F.lit(""))
+    rows = pages.where(F.octet_length(html) >= min_payload).select(F.col("page_id").cast("long").alias("page_id"), base32_sha1(html.cast("binary")).alias("digest"))
+    first = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
+    return cut(first.select("digest", "first"), "payloads")
+
+
+def size_class(size: Column) -> Column:
+    """0 up to LONG bytes, then n up to LONG * 2^n."""
+    return F.when(size <= LONG, 0).otherwise(F.length(F.bin(F.floor((size - 1) / LONG))))
+
+
+def records(pages: DataFrame, first: DataFrame) -> DataFrame:
     """(page_id, url, html) -> what each record says: digest, length, time, type and what it refers to.
 
-    Of equal payloads of min_payload bytes or more that of the smallest page_id is a
-    response and the others are revisits of it. Rows that share that id are all
+    Of equal payloads that are among the repeated ones, that of the smallest page_id is
+    a response and the others are revisits of it. Rows that share that id are all
     responses, as are all if every id is null. Only digests are grouped; a payload
     that a third of all pages share is a key of many rows, which a join can split.
     """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), base32_sha1(html.cast("binary")).alias("digest"), F.octet_length(html).cast("long").alias("bytes"))
-    first = rows.where(F.col("bytes") >= min_payload).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
-    rows = rows.join(first.select("digest", "first"), "digest", "left")
+    rows = rows.join(first, "digest", "left")
     other = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first")))
     ts = F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(31_536_000)))
     when = F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -59,10 +71,19 @@ def records(pages: DataFrame, min_payload: int = 0) -> DataFrame:
 
 
 def write_warc(pages: DataFrame, path: str, min_payload: int = 0) -> str:
-    """A record for each row, in gzip files bounded by records and bytes: long payloads have files of their own; times follow page_id. Returns path."""
-    size = F.coalesce(F.octet_length("html"), F.lit(0))
-    longest = pages.agg(F.max(size)).first()[0] or 0
-    rows = records(pages, min_payload)
+    """A record for each row, in gzip files bounded by records and bytes: long payloads have files of their own, by powers of two of their size; times follow page_id. Returns path."""
+    size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")
+    classes = sorted({0, *(r[0] for r in pages.where(size > LONG).select(size_class(size)).distinct().collect())})  # 32 at most
+    first = repeated(pages, min_payload)
+    for n in classes:
+        most = FILE_RECORDS if n == 0 else max(1, FILE_BYTES // (LONG << n))
+        rows = _record_lines(records(pages.where(size_class(size) == n), first))
+        rows.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", most).text(f"{path}/{n:02d}")
+    return path
+
+
+def _record_lines(rows: DataFrame) -> DataFrame:
+    """(value): each record's headers and block, but for the line ends after it."""
     revisit = F.col("refers_to").isNotNull()
     urn = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF * 2))
@@ -75,10 +96,7 @@ def write_warc(pages: DataFrame, path: str, min_payload: int = 0) -> str:
         F.when(revisit, F.concat(F.lit(f"{CRLF}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}WARC-Refers-To: "), urn(F.col("refers_to")))).otherwise(F.lit("")),
         F.lit(f"{CRLF}Content-Type: application/http; msgtype=response{CRLF}Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF * 2),
     )
-    for name, some, most in (("short", F.col("bytes") <= LONG, FILE_RECORDS), ("long", F.col("bytes") > LONG, max(1, FILE_BYTES // max(longest, 1)))):
-        if name == "short" or longest > LONG:
-            rows.where(some).select(F.concat(head, block).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", most).text(f"{path}/{name}")
-    return path
+    return rows.select(F.concat(head, block).alias("value"))
 
 
 def url_key(url: str) -> str:
