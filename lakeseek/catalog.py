@@ -223,6 +223,14 @@ def html_to_markdown(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", chunking.to_markdown(F.col("html")).alias("markdown"))
 
 
+@query()
+def markdown_text(spark, sf_dir):
+    """Plain text of every document and page, read as Markdown."""
+    d = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+    p = table(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), chunking.to_markdown(F.col("html")).alias("text"))
+    return d.union(p).select("kind", "id", chunking.to_text(F.col("text")).alias("text"))
+
+
 # --- index and statistics
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-_HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*#*$")
+from . import commonmark
+
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _BLOCKS = {"p", "div", "section", "article", "br", "tr", "table", "blockquote", "pre", "ul", "ol", "main", "header", "footer", "nav", "aside"}
 
@@ -112,27 +113,13 @@ def html_blocks(html: str | None) -> list[tuple[str, str]]:
 
 
 def markdown_text(md: str | None) -> str:
-    """Text of Markdown: marks of headings, lists, emphasis, links and code go."""
-    t = re.sub(r"(?m)^\s*(#{1,6}\s+|[-*+]\s+|\d+\.\s+|>\s?|```.*$)", "", md or "")
-    t = re.sub(r"!?\[([^\]]*)\]\([^)]*\)", r"\1", t)
-    return re.sub(r"(\*\*|__|`|(?<!\w)[*_](?=\w)|(?<=\w)[*_](?!\w))", "", t).strip()
+    """Text of Markdown, a blank line between blocks."""
+    return commonmark.text(md)
 
 
 def heading_sections(md: str | None) -> list[tuple[int, str, str]]:
-    """(level, heading, text) for each heading; what is before the first has level 0."""
-    level, title, lines, out, fence = 0, "", [], [], False
-    for line in (md or "").split("\n"):
-        fence ^= line.lstrip().startswith("```")
-        m = None if fence else _HEADING.match(line.strip())
-        if m:
-            if title or any(x.strip() for x in lines):
-                out.append((level, title, "\n".join(lines).strip()))
-            level, title, lines = len(m[1]), m[2], []
-        else:
-            lines.append(line)
-    if title or any(x.strip() for x in lines):
-        out.append((level, title, "\n".join(lines).strip()))
-    return out
+    """(level, heading, text) for each heading, as plain text; what is before the first has level 0."""
+    return commonmark.sections(md)
 
 
 def heading_list(md: str | None) -> list[tuple[int, str]]:

@@ -36,10 +36,15 @@ def token_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", c
 def neighbor_context(sections: DataFrame, by: str, order: str, text: str = "text") -> DataFrame:
     """sections with column context: the last sentence of the one before and the first of the one after around the text, behind their marks."""
     w = Window.partitionBy(by).orderBy(order)
-    before, after = X.boundary_sentence(F.lag(text).over(w), True), X.boundary_sentence(F.lead(text).over(w), False)
+    return sections.withColumn("context", in_context(F.col(text), F.lag(text).over(w), F.lead(text).over(w)))
+
+
+def in_context(text: Column, previous: Column, following: Column) -> Column:
+    """text with the last sentence of the one before and the first of the one after around it, behind their marks; nulls have none."""
+    before, after = X.boundary_sentence(previous, True), X.boundary_sentence(following, False)
     out = F.when(before != "", F.concat(F.lit(T.CONTEXT_BEFORE + " "), before, F.lit(".\n\n"))).otherwise(F.lit(""))
     end = F.when(after != "", F.concat(F.lit("\n\n" + T.CONTEXT_AFTER + " "), after)).otherwise(F.lit(""))
-    return sections.withColumn("__b", before).withColumn("__a", after).withColumn("context", F.concat(out, F.col(text), end)).drop("__b", "__a")
+    return F.concat(out, text, end)
 
 
 def is_indexable(text: Column, title: Column, min_bytes: int = 80) -> Column:
@@ -52,15 +57,21 @@ def merge_small(chunks: DataFrame, by: str, order: str, min_bytes: int = 80, car
     """(by, position, chunk_id, title, text and the columns to carry): while a chunk is under min_bytes it takes in the next, keeping its own id and what it carries. One row group a document."""
     arr = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("chunk_id").alias("id"), "title", "text", *carry)))
     rows = chunks.groupBy(by).agg(arr.alias("a"))
+    return rows.select(by, F.posexplode(merged("a", min_bytes, carry)).alias("position", "c")).select(by, "position", F.col("c.id").alias("chunk_id"), "c.title", "c.text", *(f"c.{c}" for c in carry))
+
+
+def merged(a: str, min_bytes: int = 80, carry: tuple[str, ...] = ()) -> Column:
+    """merge_small() of a column of arrays of structs (id, title, text and the columns to carry), in order."""
     more = "".join(f", '{c}', {{0}}.{c}" for c in carry)
     one = lambda x: f"named_struct('id', {x}.id, 'title', {x}.title, 'text', {x}.text{more.format(x)})"
-    fold = f"""aggregate(slice(a, 2, greatest(size(a) - 1, 0)),
-      named_struct('out', slice(array({one('a[0]')}), 1, 0), 'cur', {one('a[0]')}),
+    head = one(f"get({a}, 0)")
+    fold = f"""aggregate(slice({a}, 2, greatest(size({a}) - 1, 0)),
+      named_struct('out', slice(array({head}), 1, 0), 'cur', {head}),
       (s, x) -> if(octet_length(trim(s.cur.text)) < {min_bytes},
         named_struct('out', s.out, 'cur', named_struct('id', s.cur.id, 'title', if(s.cur.title = '' AND x.title <> '', x.title, s.cur.title), 'text', concat(trim(s.cur.text), '\n\n', trim(x.text)){more.format('s.cur')})),
         named_struct('out', concat(s.out, array(s.cur)), 'cur', {one('x')})),
       s -> concat(s.out, array(s.cur)))"""
-    return rows.select(by, F.posexplode(F.expr(fold)).alias("position", "c")).select(by, "position", F.col("c.id").alias("chunk_id"), "c.title", "c.text", *(f"c.{c}" for c in carry))
+    return F.when(F.size(a) > 0, F.expr(fold)).otherwise(F.expr(f"slice(array({head}), 1, 0)"))
 
 
 _SECTIONS = ArrayType(StructType([StructField("title", StringType()), StructField("path", StringType()), StructField("text", StringType()), StructField("legal", BooleanType())]))
@@ -72,7 +83,7 @@ def sections(text: pa.Array) -> pa.Array:
     """Sections of Markdown by headings (no path yet), or by articles where the text has one heading at most and several of those. A text starts with its title."""
     out = []
     for t in text.to_pylist():
-        rows = [{"title": title, "path": None, "text": "\n\n".join(x for x in (title, markup.markdown_text(body)) if x), "legal": False} for _, title, body in markup.heading_sections(t)]
+        rows = [{"title": title, "path": None, "text": "\n\n".join(x for x in (title, body) if x), "legal": False} for _, title, body in markup.heading_sections(t)]
         rows = [r | {"title": r["title"] or r["text"].split("\n")[0].strip()} for r in rows]
         if len(rows) <= 1:
             legal = markup.legal_sections(t)
@@ -97,6 +108,11 @@ def to_markdown(html: pa.Array) -> pa.Array:
     return pa.array([markup.html_to_markdown(t) for t in html.to_pylist()], pa.string())
 
 
+@F.arrow_udf(StringType())
+def to_text(markdown: pa.Array) -> pa.Array:
+    return pa.array([markup.markdown_text(t) for t in markdown.to_pylist()], pa.string())
+
+
 @F.arrow_udf(ArrayType(StructType([StructField("title", StringType()), StructField("text", StringType())])))
 def _html_blocks(html: pa.Array) -> pa.Array:
     return pa.array([[{"title": a, "text": b} for a, b in markup.html_blocks(t)] for t in html.to_pylist()], pa.list_(pa.struct([("title", pa.string()), ("text", pa.string())])))
@@ -116,33 +132,45 @@ def normalize_documents(docs: DataFrame) -> DataFrame:
     return docs.withColumn("original_content", F.when(is_html, content).otherwise(F.coalesce("original_content", F.lit("")))).withColumn("content", F.when(is_html, to_markdown(content)).otherwise(content)).withColumn("content_type", F.when(is_html, "html").otherwise("markdown"))
 
 
+def _parts(sections: Column, cfg: ChunkConfig) -> Column:
+    """Sections -> array of (title, path, text): articles in context, long ones as token windows."""
+    step = cfg.max_words - cfg.overlap
+
+    def section(s: Column, i: Column) -> Column:
+        context = in_context(s["text"], F.get(sections, i - 1)["text"], F.get(sections, i + 1)["text"])
+        return F.struct(s["title"].alias("title"), F.coalesce(s["path"], X.section_path(s["title"], i)).alias("path"), F.when(s["legal"], context).otherwise(s["text"]).alias("text"))
+
+    def windows(s: Column, w: Column) -> Column:
+        part = lambda text: F.struct(s["title"].alias("title"), s["path"].alias("path"), text.alias("text"))
+        last = F.ceil((F.size(w) - cfg.max_words) / F.lit(float(step))).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: part(F.array_join(F.slice(w, k * step + 1, F.lit(cfg.max_words)), " ")))
+        return F.when(F.size(w) > 2 * cfg.max_words, cut).otherwise(F.array(part(s["text"])))
+
+    return F.flatten(F.transform(F.transform(sections, section), lambda s: X.let(X.fields(s["text"]), lambda w: windows(s, w))))
+
+
 def chunk_documents(docs: DataFrame, cfg: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """Documents (normalised) -> chunks.
+    """Documents (normalised) -> chunks, each row on its own: nothing is shuffled.
 
     Sections by heading, or by article; articles have the sentences next to them put
     around them and a path 'Titre -> article'. Sections of over 2 * max_words words go
     by token windows; small ones merge, keeping the first one's id, path and article;
     what isn't indexable is left out, and a document left with nothing is one chunk if
     it is indexable as a whole. chunk_id is '{doc_id}-chunk-{i}', i by place of origin.
-    Null and empty documents have no chunk; rows of one id are one document's.
+    Null and empty documents have no chunk; rows of one id are chunked each, under that
+    id (the store takes one of them first).
     """
     base = docs.select(F.col("id").alias("doc_id"), F.coalesce("title", F.lit("")).alias("doc_title"), F.coalesce("corpus", F.lit("")).alias("corpus"), "content", "content_type")
-    rows = base.select("doc_id", F.posexplode(sections(F.col("content"))).alias("sec", "s")).select("doc_id", "sec", "s.*")
-    rows = neighbor_context(rows, "doc_id", "sec").withColumn("body", F.when(F.col("legal"), F.col("context")).otherwise(F.col("text")))
-    rows = rows.withColumn("path", F.coalesce("path", X.section_path(F.col("title"), F.col("sec"))))
-    step = cfg.max_words - cfg.overlap
-    rows = rows.select("doc_id", "sec", "title", "path", "body").withColumn("w", X.fields(F.col("body")))
-    cut = F.expr(f"if(size(w) > {2 * cfg.max_words}, transform(sequence(0, cast(ceil((size(w) - {cfg.max_words}) / {step}D) AS int)), i -> array_join(slice(w, i * {step} + 1, {cfg.max_words}), ' ')), array(body))")
-    rows = rows.select("doc_id", "sec", "title", "path", F.posexplode(cut).alias("part", "text"))
-    rows = rows.withColumn("o", F.struct("sec", "part"))
-    w = Window.partitionBy("doc_id").orderBy("o")
-    rows = rows.withColumn("chunk_id", F.concat_ws("-", "doc_id", F.lit("chunk"), F.row_number().over(w) - 1))
-    merged = merge_small(rows, "doc_id", "o", cfg.min_bytes, ("path",)).withColumn("source", F.lit("markdown"))
-    good = merged.where(is_indexable(F.col("text"), F.col("title"), cfg.min_bytes))
-    whole = base.join(good.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("text", X.strip_markup(F.col("content")))
-    whole = whole.where(is_indexable(F.col("text"), F.lit(""), cfg.min_bytes))
-    whole = whole.select("doc_id", F.lit(0).alias("position"), F.concat_ws("-", "doc_id", F.lit("chunk-0")).alias("chunk_id"), F.lit("document").alias("title"), "text", F.lit("document").alias("path"), F.col("content_type").alias("source"))
-    out = good.select(whole.columns).unionByName(whole).join(base.select("doc_id", "doc_title", "corpus"), "doc_id")
+    # each step in a projection of its own, so that none is made twice
+    rows = base.select("*", sections(F.col("content")).alias("s"))
+    rows = rows.select("*", _parts(F.col("s"), cfg).alias("p"))
+    numbered = F.transform("p", lambda x, i: F.struct(F.concat_ws("-", "doc_id", F.lit("chunk"), i).alias("id"), x["title"].alias("title"), x["text"].alias("text"), x["path"].alias("path")))
+    rows = rows.select(*base.columns, numbered.alias("p"))
+    rows = rows.select(*base.columns, F.transform(merged("p", cfg.min_bytes, ("path",)), lambda x, i: F.struct(i.alias("position"), x["id"].alias("chunk_id"), x["title"].alias("title"), x["text"].alias("text"), x["path"].alias("path"), F.lit("markdown").alias("source"))).alias("c"))
+    rows = rows.select(*base.columns, F.filter("c", lambda x: is_indexable(x["text"], x["title"], cfg.min_bytes)).alias("c"))
+    whole = F.struct(F.lit(0).alias("position"), F.concat_ws("-", "doc_id", F.lit("chunk-0")).alias("chunk_id"), F.lit("document").alias("title"), X.strip_markup(F.col("content")).alias("text"), F.lit("document").alias("path"), F.col("content_type").alias("source"))
+    rest = F.filter(F.array(whole), lambda x: is_indexable(x["text"], F.lit(""), cfg.min_bytes))
+    out = rows.select("doc_id", "doc_title", "corpus", F.explode(F.when(F.size("c") > 0, F.col("c")).otherwise(rest)).alias("c")).select("doc_id", "doc_title", "corpus", "c.*")
     return out.select(
         "chunk_id", "doc_id", "corpus", F.when(F.trim("title") == "", F.col("doc_title")).otherwise(F.col("title")).alias("title"), "doc_title",
         F.col("path").alias("section_path"), "source", "position",
