@@ -635,11 +635,11 @@ def excerpts(spark, sf_dir):
     return excerpt.with_excerpts(hits, at.chunks, q).select("qid", "rank", "chunk_id", "excerpt")
 
 
-@query("SELECT CASE WHEN grouping(lang) = 1 THEN NULL WHEN coalesce(lang, '') = '' THEN '_default' ELSE lang END AS corpus, count(*) AS documents, count(*) AS chunks, count(v.vec_id) AS embedded FROM documents d LEFT JOIN embeddings v ON v.vec_id = d.doc_id GROUP BY ROLLUP (lang)")
+@query("SELECT CASE WHEN grouping(lang) = 1 THEN NULL WHEN coalesce(lang, '') = '' THEN '_default' ELSE lang END AS corpus, count(*) AS documents, count(*) AS chunks, count(v.vec_id) AS embedded, count(*) FILTER (v.vec_id IS NULL) AS failures, arg_max(d.doc_id, d.doc_id % 1000 * 1000000 + d.doc_id)::VARCHAR AS last_document, max(d.doc_id % 1000) AS last_at FROM documents d LEFT JOIN embeddings v ON v.vec_id = d.doc_id GROUP BY ROLLUP (lang)")
 def ingest_stats_rollup(spark, sf_dir):
     d, v = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings").select("vec_id")
-    rows = d.join(v, d.doc_id == v.vec_id, "left").select(F.lit("ingest").alias("event"), "doc_id", F.col("lang").alias("corpus"), F.lit(1).alias("chunks"), F.col("vec_id").isNotNull().cast("int").alias("embedded"))
-    return stats.totals(rows)
+    rows = d.join(v, d.doc_id == v.vec_id, "left").select(F.lit("ingest").alias("event"), "doc_id", F.col("lang").alias("corpus"), F.lit(1).alias("chunks"), F.col("vec_id").isNotNull().cast("int").alias("embedded"), F.col("vec_id").isNull().cast("int").alias("failed"), F.timestamp_seconds(F.col("doc_id") % 1000).alias("at"))
+    return stats.totals(rows).withColumn("last_at", F.unix_timestamp("last_at"))
 
 
 @query(f"{bm25_sql(k=8)}, r AS (SELECT qs.qid, min(CASE WHEN h.chunk_id = qs.qid THEN h.rank END) AS r FROM qs LEFT JOIN hits h ON h.qid = qs.qid GROUP BY ALL) SELECT count(*) AS cases, round(avg((r IS NOT NULL)::INT), 6) AS recall_at_k, round(avg(CASE WHEN r IS NULL THEN 0 ELSE 1.0::DOUBLE / r END), 6) AS mrr FROM r")

@@ -1,10 +1,11 @@
 """python -m lakeseek.jobs.cli ROOT COMMAND ...
 
-ingest-dir FOLDER [CORPUS] | delete ID... | compact | reset | stats | manifest | query TEXT [CORPUS]
-eval GOLD [REPORT] | eval-excerpt GOLD | eval-generation GOLD ANSWERS | bench QUERIES
+ingest-dir FOLDER [CORPUS] | sync-dir FOLDER [CORPUS] | delete ID... | compact | reset | stats | manifest | query TEXT [CORPUS]
+eval GOLD [REPORT [LEAST]] | eval-excerpt GOLD | eval-generation GOLD ANSWERS | bench QUERIES
 
 GOLD: JSON lines; ANSWERS: JSON lines of id and answer; QUERIES: a query a line.
-bench prints query, milliseconds, hits and titles as CSV, one query after the other.
+eval ends with 1 where the recall is below LEAST. What a command has written for itself
+is removed when it is done. bench prints query, milliseconds, hits and titles as CSV, one query after the other.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import time
 from pyspark.sql import SparkSession
 
 from ..operators import evalkit
+from ..session import remove_written
 from ..sources import files
 from .engine import Engine
 
@@ -36,9 +38,11 @@ def main(args: list[str]) -> int:
     if len(args) < 2:
         sys.exit(__doc__)
     spark = SparkSession.builder.appName("lakeseek").getOrCreate()
-    engine, (command, *rest) = Engine(spark, args[0]), args[1:]
+    engine, (command, *rest), code = Engine(spark, args[0]), args[1:], 0
     if command == "ingest-dir":
         engine.ingest(files.read_directory(spark, *rest))
+    elif command == "sync-dir":
+        print(engine.sync_directory(*rest))
     elif command == "delete":
         print(engine.delete(rest))
     elif command in ("compact", "reset"):
@@ -47,7 +51,10 @@ def main(args: list[str]) -> int:
         q = spark.createDataFrame([(0, rest[0], rest[1] if len(rest) > 1 else "")], _QUERY)
         engine.retrieve(q).orderBy("rank").show(truncate=False)
     elif command == "eval":
-        engine.evaluate(files.read_gold(spark, rest[0]), path=rest[1] if len(rest) > 1 else None).show()
+        done = engine.evaluate(files.read_gold(spark, rest[0]), path=rest[1] if len(rest) > 1 else None)
+        done.show()
+        if len(rest) > 2 and not evalkit.gate(done, float(rest[2]))[0]:
+            code = 1
     elif command == "eval-excerpt":
         engine.evaluate_excerpts(files.read_gold(spark, rest[0])).show(truncate=False)
     elif command == "eval-generation":
@@ -60,7 +67,8 @@ def main(args: list[str]) -> int:
         print(engine.manifest(), *engine.warnings(), sep="\n")
     else:
         sys.exit(__doc__)
-    return 0
+    remove_written(spark)
+    return code
 
 
 if __name__ == "__main__":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import uuid
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import chunking, embedding, evalkit, excerpt, generation, index, lexical, stats
 from ..operators import retrieve as ranking
 from ..session import cut, ship
+from ..sources import files
 
 #: How chunks are made; an index of another version should be built anew.
 CHUNKING_VERSION = "3"
@@ -29,6 +31,7 @@ TABLES = {
     "marks": "doc_id string, marked long",
     "log": "event string, doc_id string, corpus string, chunks long, embedded long, failed long, at timestamp",
 }
+_SNAPSHOT = "path string, doc_id string, length long, modified timestamp, run long"
 # Fixed value: what a query without hits is told.
 NOTHING = "Aucun résultat pertinent"
 _COMMITS = "id string, at long, kind string, replaces array<string>, tables array<string>"
@@ -175,6 +178,30 @@ class Engine:
             self._commit("delete", self._minus(old) | {"marks": known.withColumn("marked", F.lit(at)), "log": stats.ingest_log(old, event="delete")}, at)
         return n
 
+    def sync_directory(self, folder: str, corpus: str = "") -> dict[str, int]:
+        """Makes the store hold what a folder holds: ingests new and changed files, deletes documents of those that have gone; counts of both.
+
+        What the folder held last is kept below the store's root, by folder and corpus,
+        with length and time; files that stayed are not read, and a run without changes
+        commits nothing. A run that fails is made good by the next.
+        """
+        name = hashlib.sha1(f"{folder.rstrip('/')}\0{corpus}".encode()).hexdigest()[:16]
+        base = f"{self.root}/folders/{name}"
+        runs = self._read(f"{base}/*", _SNAPSHOT)
+        known = self.spark.createDataFrame([], _SNAPSHOT) if runs is None else runs.where(F.col("run") == (runs.agg(F.max("run")).first()[0] or 0))
+        known = cut(known, "known")
+        now = cut(files.snapshot(self.spark, folder), "snapshot")
+        gone = [r["doc_id"] for r in known.join(now, "doc_id", "left_anti").select("doc_id").distinct().collect()]
+        docs = cut(files.read_changed(self.spark, folder, corpus, known), "changed")
+        n = docs.count()
+        if n:
+            self.ingest(docs)
+        deleted = self.delete(gone) if gone else 0
+        if n or gone:
+            run = time.time_ns() // 1000
+            now.select("path", "doc_id", "length", "modified", F.lit(run).alias("run")).write.parquet(f"{base}/{run}")
+        return {"ingested": n, "deleted": deleted}
+
     def compact(self) -> None:
         """Folds all commits into one: marked rows go, and their marks with them. Readers of the old ones are not disturbed; their files stay until someone removes them."""
         commits = self._commits()
@@ -256,7 +283,7 @@ class Engine:
         return excerpt.prompts(excerpt.with_excerpts(hits, self.index().chunks, queries), queries, params.top_k)
 
     def evaluate(self, gold: DataFrame, params: ranking.RetrieveParams = ranking.RetrieveParams(), path: str | None = None) -> DataFrame:
-        """Recall, reciprocal rank and refusals over gold cases; path: where the report goes, as JSON, with the cases."""
+        """Recall, reciprocal rank and refusals over gold cases; path: where the report goes, as JSON, with the cases. evalkit.gate() says whether it is good enough."""
         q = gold.select(F.col("id").alias("qid"), F.coalesce("retrieval_q", "generation_q").alias("text"), "corpus")
         cases = cut(evalkit.per_case(self.retrieve(q, params), gold, params.top_k), "cases")
         done = evalkit.report(cases)

@@ -39,6 +39,12 @@ def report(cases: DataFrame) -> DataFrame:
     return cases.agg(F.count("*").alias("cases"), F.avg(ok).alias("recall_at_k"), F.avg("rr").alias("mrr"), F.avg(F.when(F.col("expect_no_results"), ok)).alias("refusal_accuracy"))
 
 
+def gate(report: DataFrame, least: float) -> tuple[bool, float]:
+    """Whether a report's recall reaches the least, and that recall; no cases don't. A least of 0 or less always holds."""
+    recall = report.first()["recall_at_k"] or 0.0
+    return least <= 0 or recall >= least, recall
+
+
 def excerpt_cases(hits: DataFrame, gold: DataFrame) -> DataFrame:
     """(id, section, passed): the excerpt of the first hit in a section holds every term asked for there."""
     asked = gold.where("excerpt_terms_by_section IS NOT NULL").select("id", F.explode("excerpt_terms_by_section").alias("want", "terms"))

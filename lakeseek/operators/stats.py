@@ -14,13 +14,22 @@ def ingest_log(chunks: DataFrame, event: str = "ingest") -> DataFrame:
 
 
 def totals(log: DataFrame) -> DataFrame:
-    """Documents, chunks and embedded chunks in all (corpus null) and for each corpus; deletions count down, never below 0, and not for embedded."""
+    """Documents, chunks, embedded chunks and failures in all (corpus null) and for each corpus, with the last document ingested and when; deletions count down, never below 0, and not for embedded and failures.
+
+    Of documents of one time the largest id is the last. A log without times or failures
+    has nulls and none.
+    """
     sign = F.when(F.col("event") == "delete", -1).otherwise(1)
     named = log.withColumn("corpus", F.when(F.coalesce("corpus", F.lit("")) == "", "_default").otherwise(F.col("corpus")))
-    return named.rollup("corpus").agg(
+    at = F.col("at") if "at" in log.columns else F.lit(None).cast("timestamp")
+    failed = F.col("failed") if "failed" in log.columns else F.lit(0)
+    came = F.col("event") != "delete"
+    out = named.rollup("corpus").agg(
         F.greatest(F.sum(sign), F.lit(0)).cast("long").alias("documents"), F.greatest(F.sum(sign * F.col("chunks")), F.lit(0)).cast("long").alias("chunks"),
-        F.sum(F.when(F.col("event") != "delete", F.col("embedded")).otherwise(0)).cast("long").alias("embedded"),
+        F.sum(F.when(came, F.col("embedded")).otherwise(0)).cast("long").alias("embedded"), F.sum(F.when(came, failed).otherwise(0)).cast("long").alias("failures"),
+        F.max(F.when(came & at.isNotNull(), F.struct(at.alias("at"), F.col("doc_id").cast("string").alias("doc_id")))).alias("last"),
     )
+    return out.select("corpus", "documents", "chunks", "embedded", "failures", F.col("last.doc_id").alias("last_document"), F.col("last.at").alias("last_at"))
 
 
 def chunking_stats(chunks: DataFrame) -> DataFrame:

@@ -21,10 +21,40 @@ def _from_files(files: DataFrame, root: str, corpus: str) -> DataFrame:
     return rows.select(X.stable_doc_id(F.col("rel")).alias("id"), X.title_from_path(F.col("rel")).alias("title"), "content", "content_type", F.lit("").alias("original_content"), F.lit(corpus).alias("corpus"), F.lit("").alias("book_title"), F.lit("").alias("article"))
 
 
+#: Names of the files that are read; others are not opened.
+NAMES = "*.{" + ",".join(e for x in ("md", "markdown", "html", "htm") for e in (x, x.upper(), x.capitalize())) + "}"
+
+
+def _files(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", NAMES).load(root)
+
+
 def read_directory(spark: SparkSession, root: str, corpus: str = "") -> DataFrame:
-    """A document for each .md, .markdown, .html or .htm file below root."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return _from_files(files.select("path", "content"), root, corpus)
+    """A document for each .md, .markdown, .html or .htm file below root; others are not read."""
+    return _from_files(_files(spark, root).select("path", "content"), root, corpus)
+
+
+def snapshot(spark: SparkSession, root: str) -> DataFrame:
+    """(path, doc_id, length, modified) of the files that read_directory() reads, without their content."""
+    rel = F.ltrim(F.substring_index(F.col("path"), root.rstrip("/"), -1), F.lit("/"))
+    return _files(spark, root).select("path", X.stable_doc_id(rel).alias("doc_id"), "length", F.col("modificationTime").alias("modified"))
+
+
+def read_changed(spark: SparkSession, root: str, corpus: str, known: DataFrame) -> DataFrame:
+    """read_directory() of the files that known, an earlier snapshot, hasn't got with that length and time. Only these are opened."""
+    now = snapshot(spark, root)
+    changed = now.join(known.select("path", "length", "modified"), ["path", "length", "modified"], "left_anti").select("path")
+    few = changed.limit(CHANGED + 1).collect()
+    if len(few) > CHANGED:  # many: all are read, and those that stayed are left out
+        return _from_files(_files(spark, root).join(changed, "path", "left_semi").select("path", "content"), root, corpus)
+    if not few:
+        return spark.createDataFrame([], DOCUMENT)
+    paths = [r["path"] for r in few]
+    return _from_files(spark.read.format("binaryFile").load(paths).select("path", "content"), root, corpus)
+
+
+#: Changed files up to which they are read by their paths.
+CHANGED = 10_000
 
 
 def read_documents_json(spark: SparkSession, path: str) -> DataFrame:
