@@ -159,7 +159,8 @@ def conversation_trie(conversations: DataFrame) -> DataFrame:
     ones each count. Rows of a null conv_id are in no conversation. An empty table has
     no nodes, not even a root. conv_id % 100 keeps the sign, so ids around 0 share base 0.
 
-    A node belongs to its smallest member, which then owns the rest of its path too. So
+    A conversation's turns are numbered and summed in one task, in order and without
+    being held, whatever their number. A node belongs to its smallest member, which then owns the rest of its path too. So
     each path sums up, from its end, what its owned nodes give, and a node is the sum
     over its members: no level after level, and depth costs nothing.
     """
