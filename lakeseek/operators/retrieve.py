@@ -15,6 +15,8 @@ from .index import Index
 from .lexical import top_k
 
 
+#: Hits up to which they are held, not written.
+FEW_HITS = 20_000
 _YES, _NO = {"1", "true", "yes", "on"}, {"0", "false", "no", "off"}
 
 
@@ -76,14 +78,17 @@ def default_cap(p: RetrieveParams):
     return F.when(F.col("qcorpus") != "", F.lit(min(p.cap_k or p.top_k, 6))).otherwise(F.lit(1))
 
 
-def hydrate(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+def hydrate(hits: DataFrame, chunks: DataFrame, few: bool = False) -> DataFrame:
     """Hits with their chunk's columns; hits of unknown chunks go.
 
-    Hits are written once. Few of them meet the chunks as the small side, and very few
-    are pushed down to the chunks' files, which the store sorts by chunk_id.
+    Hits are made once: written, or held where the caller knows that they are few. Few of
+    them meet the chunks as the small side, and very few are pushed down to the chunks'
+    files, which the store sorts by chunk_id.
     """
-    hits = cut(hits, "hits")
-    rows = lexical.held(hits)
+    rows = lexical.held(hits) if few else None
+    if rows is None:
+        hits = cut(hits, "hits")
+        rows = lexical.held(hits)
     if rows is None:
         return chunks.join(hits, "chunk_id")
     ids = rows["chunk_id"].unique().to_pylist()
@@ -138,13 +143,18 @@ def retrieve(index: Index, queries: DataFrame, p: RetrieveParams = RetrieveParam
     filters by document and article, the limit after them, and the gate last, on the
     best score. A query without hits has no row, or the first chunks of the document
     where one is asked for. In rrf mode scores are of another order, so the gate is off
-    there. Ranking is one job, whose few rows are written; what follows reads them.
+    there. Ranking is one job, whose rows are written or, if few, held; what follows reads
+    them.
     """
-    queries = lexical.local(queries.select("qid", "text", "corpus"))
+    queries = queries.select("qid", "text", "corpus")
+    known = lexical.held(queries)
+    if known is not None:
+        queries = F.broadcast(queries.sparkSession.createDataFrame(known, queries.schema))
+    few = known is not None and known.num_rows * (p.bm25_k + p.vector_k) <= FEW_HITS
     q = queries.select("qid", F.col("text").alias("query"), F.coalesce("corpus", F.lit("")).alias("qcorpus"))
     fused = candidates(index, queries, p, query_vectors)
     fused = legal.boost_articles(fused, queries, index.chunks)
-    rows = hydrate(fused, index.chunks).join(q, "qid")
+    rows = hydrate(fused, index.chunks, few).join(q, "qid")
     if p.fusion == "weighted":
         rows = rows.withColumn("score", fusion.length_penalty(F.col("score"), F.col("text")))
     rows = legal.rerank(rows, p.legal_rerank)
