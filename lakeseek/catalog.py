@@ -319,6 +319,14 @@ def vector_topk_by_label(spark, sf_dir):
     return out_hits(near(spark, sf_dir, True))
 
 
+@query(f"WITH {vector_sql(False)} SELECT qid, chunk_id, round(score, 6) AS score, rank FROM vh")
+def vector_pruned(spark, sf_dir):
+    """vector_topk over stored cells, of which those are read that can hold a hit."""
+    v = vectors_of(spark, sf_dir)
+    q = v.where("cast(chunk_id AS bigint) % 100 = 0").select(F.col("chunk_id").alias("qid"), F.lit("").alias("corpus"), "embedding")
+    return out_hits(vector.nearest(vector.cluster(v), q))
+
+
 _WEIGHTED = (
     "j AS (SELECT coalesce(h.qid, v.qid) AS qid, coalesce(h.chunk_id, v.chunk_id) AS chunk_id, coalesce(h.score, 0) AS b, coalesce(v.score, 0) AS v FROM hits h FULL JOIN vh v ON h.qid = v.qid AND h.chunk_id = v.chunk_id), "
     "m AS (SELECT *, max(b) OVER (PARTITION BY qid) AS mb, max(v) OVER (PARTITION BY qid) AS mv FROM j), f AS (SELECT qid, chunk_id, 0.6 * CASE WHEN mb > 0 THEN b / mb ELSE 0 END + 0.4 * CASE WHEN mv > 0 THEN v / mv ELSE 0 END AS score FROM m)"
@@ -617,9 +625,10 @@ def build_queries(spark, sf_dir):
 )
 def sentence_scores(spark, sf_dir):
     q = F.array_distinct(F.slice(X.snippet_tokens(F.col("text")), 1, 5))
-    each = X.let(q, lambda t: F.transform(excerpt.sentences(F.col("text")), lambda s: excerpt.sentence_score(s, t)))
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", each.alias("x")).where("size(x) > 0")
-    return d.select("doc_id", F.size("x").cast("long").alias("sentences"), F.aggregate("x", F.lit(0), lambda a, v: a + v).cast("long").alias("total"), F.array_max("x").cast("long").alias("best"))
+    of = lambda x: F.struct(F.size(x).cast("long").alias("sentences"), F.aggregate(x, F.lit(0), lambda a, v: a + v["score"]).cast("long").alias("total"), F.array_max(F.transform(x, lambda v: v["score"])).cast("long").alias("best"))
+    scored = X.let(q, lambda t: excerpt.scored_sentences(F.col("text"), t))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.inline(X.let(scored, lambda x: F.when(F.size(x) > 0, F.array(of(x))))))  # scored once a text: a filter would score it again
 
 
 @query("WITH u AS (SELECT conv_id, turn, sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM conversations) SELECT conv_id, turn, used FROM u WHERE used <= 1500")

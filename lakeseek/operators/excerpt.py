@@ -12,18 +12,32 @@ from . import lexical
 EXCERPT, LEGAL, HEAD, PROMPT, SENTENCES = 900, 2200, 1200, 6000, 3
 
 
-def priority_hits(sentence: Column) -> Column:
-    low = F.lower(sentence)
-    return sum((F.when(low.contains(t), 1).otherwise(0) for t in T.PRIORITY_TERMS), F.lit(0))
+def _priority(low: Column) -> Column:
+    """Priority terms in a lower-case text."""
+    return F.filter(F.array(*map(F.lit, T.PRIORITY_TERMS)), lambda t: F.contains(low, t))
 
 
 def heading_only(sentence: Column) -> Column:
     return F.trim(sentence).rlike(r"(?i)^ARTICLE\s+(?:PREMIER|\d+)\.?\s*$")
 
 
-def sentence_score(sentence: Column, query_terms: Column) -> Column:
-    """Words that the query has, repeats included, and priority terms found."""
-    return F.size(F.filter(X.snippet_tokens(sentence), lambda w: F.array_contains(query_terms, w))) + priority_hits(sentence)
+def _count_terms(low: Column, query_terms: Column) -> Column:
+    """Words of a lower-case sentence that are among the terms (those of X.snippet_tokens()): each term's places are counted in the sentence with two spaces between words, which costs a look through it a term and makes no words."""
+    marks = ".,;!?\t\n\u000b\f\r"
+    apart = F.concat(F.lit(" "), F.replace(F.translate(low, marks, " " * len(marks)), F.lit(" "), F.lit("  ")), F.lit(" "))
+    places = lambda x, w: (F.octet_length(x) - F.octet_length(F.replace(x, w, F.lit("")))) / F.octet_length(w)
+    return X.let(apart, lambda x: F.aggregate(query_terms, F.lit(0), lambda n, w: n + places(x, F.concat(F.lit(" "), w, F.lit(" "))).cast("int")))
+
+
+def scored_sentences(text: Column, query_terms: Column) -> Column:
+    """[(s, score)] of sentences(): a sentence's words that the query has, repeats included, and priority terms found.
+
+    query_terms are distinct words of X.snippet_tokens(). Priority terms are looked for
+    in the whole text first; sentences are asked only for those that it has.
+    """
+    known = X.let(F.lower(text), _priority)
+    each = lambda s, x: X.let(F.lower(s), lambda v: _count_terms(v, x["q"]) + F.size(F.filter(x["known"], lambda t: F.contains(v, t))))
+    return X.let(F.struct(known.alias("known"), query_terms.alias("q")), lambda x: F.transform(sentences(text), lambda s: F.struct(s.alias("s"), each(s, x).alias("score"))))
 
 
 def sentences(text: Column) -> Column:
@@ -47,7 +61,9 @@ def legal_excerpt(text: Column, limit: int) -> Column:
     """The head, and sentences with priority terms that it doesn't hold; or the text cut."""
     head = F.left(text, F.lit(HEAD))
     budget = F.lit(limit) - F.length(head) - 2
-    tail = _pack(F.filter(sentences(text), lambda s: (priority_hits(s) > 0) & ~F.contains(F.lower(head), F.lower(s))), budget)
+    told = lambda s, x: X.let(F.lower(s), lambda v: F.exists(x["known"], lambda t: F.contains(v, t)) & ~F.contains(x["head"], v))
+    new = X.let(F.struct(X.let(F.lower(text), _priority).alias("known"), F.lower(head).alias("head")), lambda x: F.filter(sentences(text), lambda s: told(s, x)))
+    tail = _pack(new, budget)
     merged = F.when((budget > 80) & (tail != ""), X.trim_to(F.concat(head, F.lit("\n\n"), tail), limit)).otherwise(X.trim_to(text, limit))
     return F.when(F.length(text) <= limit, text).otherwise(merged)
 
@@ -58,7 +74,7 @@ def snippet(text: Column, query: Column, limit: int) -> Column:
 
 
 def _snippet(text: Column, terms: Column, limit: int) -> Column:
-    scored = F.transform(sentences(text), lambda s: F.struct((-sentence_score(s, terms)).alias("score"), (-F.length(s)).alias("n"), s.alias("s")))
+    scored = F.transform(scored_sentences(text, terms), lambda x: F.struct((-x["score"]).alias("score"), (-F.length(x["s"])).alias("n"), x["s"].alias("s")))
     best = F.transform(F.filter(F.array_sort(scored), lambda x: x["score"] < 0), lambda x: x["s"])
 
     def pick(b: Column) -> Column:
