@@ -176,8 +176,9 @@ def section_path(title: Column, position: Column) -> Column:
 
 
 def section_matches(section: Column, article: Column, want: Column) -> Column:
-    w = F.upper(want)
-    return F.contains(F.upper(section), w) | ((article != "") & F.contains(w, F.concat(F.lit("ARTICLE "), article)))
+    """Whether a hit is of the section that is wanted, by a part of its name or by its article; a blank one is none's."""
+    w = F.upper(F.btrim(want, F.lit(" \t\r\n")))
+    return (w != "") & (F.contains(F.upper(section), w) | ((article != "") & F.contains(w, F.concat(F.lit("ARTICLE "), F.upper(article)))))
 
 
 def cosine(a: Column, b: Column) -> Column:

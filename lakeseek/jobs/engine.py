@@ -34,7 +34,7 @@ TABLES = {
 _SNAPSHOT = "path string, doc_id string, length long, modified timestamp, run long"
 # Fixed value: what a query without hits is told.
 NOTHING = "Aucun résultat pertinent"
-_COMMITS = "id string, at long, kind string, replaces array<string>, tables array<string>"
+COMMITS = "id string, at long, kind string, replaces array<string>, tables array<string>"
 
 
 class Engine:
@@ -64,7 +64,7 @@ class Engine:
 
     def _commits(self) -> list:
         """Commits that count, in order; those that a compaction took in don't."""
-        rows = self._read(f"{self.root}/commits/*", _COMMITS, "json")
+        rows = self._read(f"{self.root}/commits/*", COMMITS, "json")
         rows = [] if rows is None else sorted(rows.collect(), key=lambda r: (r["at"], r["id"]))
         gone = {i for r in rows for i in r["replaces"] or ()}
         return [r for r in rows if r["id"] not in gone]
@@ -78,7 +78,7 @@ class Engine:
         for k, df in tables.items():
             cast = (f"CAST(`{c.split()[0]}` AS {c.split(' ', 1)[1]}) AS `{c.split()[0]}`" for c in TABLES[k].split(", "))
             df.selectExpr(*cast).write.mode("overwrite").parquet(f"{self.root}/data/{name}/{k}")
-        entry = self.spark.createDataFrame([(name, at, kind, list(replaces), list(tables))], _COMMITS).coalesce(1)
+        entry = self.spark.createDataFrame([(name, at, kind, list(replaces), list(tables))], COMMITS).coalesce(1)
         entry.write.mode("ignore").json(f"{self.root}/commits/{name}")
 
     def _now(self, commits: list) -> int:
@@ -113,6 +113,14 @@ class Engine:
     def stats(self) -> DataFrame:
         return stats.totals(self._table("log", self._commits()))
 
+    def log_change(self, ids: list[str]) -> DataFrame:
+        """What commits change in the statistics, as stats.sums(): their logs less those of the commits that they replace, as a compaction's log repeats them."""
+        rows = self._read(f"{self.root}/commits/*", COMMITS, "json")
+        known = {} if rows is None else {r["id"]: r for r in rows.collect()}
+        came = [known[i] for i in ids]
+        gone = [known[i] for r in came for i in r["replaces"] or ()]
+        return stats.sums(self._table("log", came)).unionByName(stats.sums(self._table("log", gone), -1))
+
     def manifest(self) -> dict:
         """The settings that the store was made with; those of this engine where there are none."""
         rows = self._read(f"{self.root}/manifest", "value string", "text")
