@@ -70,8 +70,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     return top_k(reduce(DataFrame.union, found), k)
 
 
-def _nearest(block: list, k: int, schema: pa.Schema, wanted: dict[int, np.ndarray] | None = None):
-    """The k best of each query among ROWS rows at a time. wanted: the places of the queries that meet the rows of a cell (the fourth column); without it all meet all."""
+def _nearest(block: list, k: int, schema: pa.Schema, wanted: dict[int, np.ndarray] | None = None, floor: np.ndarray | None = None):
+    """The k best of each query among ROWS rows at a time. wanted: the places of the queries that meet the rows of a cell (the fourth column); without it all meet all. floor: scores of the queries that k rows are known to reach, so lower ones aren't returned."""
 
     def run(batches):
         asked = _by_length([r["embedding"] for r in block]) if block else {}
@@ -99,6 +99,8 @@ def _nearest(block: list, k: int, schema: pa.Schema, wanted: dict[int, np.ndarra
         out = ([], [], [])
         for i, p in enumerate(places):
             ok = np.flatnonzero(corpora == corpora_asked[p]) if corpora_asked[p] else np.arange(len(ids))
+            if floor is not None:
+                ok = ok[s[i, ok] >= floor[p] - SLACK]
             near = np.round(s[i, ok], 9)
             if len(ok) > k:  # all that may be among the k best, ties at the border included
                 ok = ok[near >= np.partition(near, len(near) - k)[len(near) - k]]
@@ -199,10 +201,10 @@ def _bounds(block: list, balls: list) -> np.ndarray:
     return out
 
 
-def _meet(cells: Cells, balls: list, block: list, wanted: np.ndarray, k: int, schema: pa.Schema, ddl: str) -> DataFrame:
+def _meet(cells: Cells, balls: list, block: list, wanted: np.ndarray, k: int, schema: pa.Schema, ddl: str, floor: np.ndarray | None = None) -> DataFrame:
     """The best of the cells that queries want: (queries, cells) of booleans."""
     to = {b["cell"]: np.flatnonzero(wanted[:, j]) for j, b in enumerate(balls) if wanted[:, j].any()}
-    return _vectors(cells.rows, "cell").where(F.col("cell").isin(list(to))).mapInArrow(_nearest(block, k, schema, to), ddl)
+    return _vectors(cells.rows, "cell").where(F.col("cell").isin(list(to))).mapInArrow(_nearest(block, k, schema, to, floor), ddl)
 
 
 def _pruned(cells: Cells, queries: DataFrame, k: int):
@@ -222,7 +224,7 @@ def _pruned(cells: Cells, queries: DataFrame, k: int):
         least = {r["qid"]: r["least"] for r in hits.groupBy("qid").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") >= k).collect()}
         floor = np.array([least.get(r["qid"], -np.inf) for r in block])
         rest = (bound >= floor[:, None] - SLACK) & ~first if len(block) else first
-        yield block, n, first, rest, hits.union(_meet(cells, balls, block, rest, k, schema, ddl)) if rest.any() else hits
+        yield block, n, first, rest, hits.union(_meet(cells, balls, block, rest, k, schema, ddl, floor)) if rest.any() else hits
 
 
 def nearest(cells: Cells, queries: DataFrame, k: int = 20) -> DataFrame:
