@@ -154,7 +154,8 @@ def links(fps: DataFrame, limit: int = 3) -> DataFrame:
     busy = at.groupBy("key").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("o")).where("h > 0 AND h + o > 1")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     large = (F.col("h") + F.col("o")) > BLOCK
-    met = at.join(busy, "key").withColumn("hb", F.when(large, blocks("h")).otherwise(1)).withColumn("ob", F.when(large, blocks("o")).otherwise(0))
+    # what anchors() makes is taken for as little as what it reads, so Spark would broadcast all of it
+    met = at.join(busy.hint("merge"), "key").withColumn("hb", F.when(large, blocks("h")).otherwise(1)).withColumn("ob", F.when(large, blocks("o")).otherwise(0))
     place = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
     blk = F.when(F.col("home") | (F.col("ob") == 0), place("hb")).otherwise(F.col("hb") + place("ob"))
     meets = F.when(F.col("home") & (F.col("ob") > 0), F.col("hb") + F.col("ob") - 1).otherwise(F.col("hb") - 1)  # homes meet all, others meet homes

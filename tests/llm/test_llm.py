@@ -79,6 +79,13 @@ def test_simhash_finds_every_link_of_three_bits(spark):
     assert all(tuple(sorted((f, g))) in found for f, g in zip(fps[:300], fps[300:], strict=True))
 
 
+def test_simhash_broadcasts_no_anchors(spark, tmp_path):
+    """32 rows a fingerprint are as many bytes to the planner as the file they come from: under the threshold, so the driver got them all."""
+    spark.range(20_000).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "fps"))
+    found = simhash.links(spark.read.parquet(str(tmp_path / "fps")))
+    assert "SortMergeJoin" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "Broadcast" not in plan
+
+
 def test_near_duplicate_stage_keeps_one_row_each(spark):
     got = simhash.drop_near_duplicates(mixed(spark)).collect()
     assert Counter(r.doc_id for r in got) == Counter([None, 1, 2, 3, 4][:0] + [r for r in (None, 1, 2, 3, 4)])
