@@ -37,7 +37,7 @@ from .common import cut, dealt
 BROADCAST_BYTES = 16_000_000
 #: Pages that must hold a text, at least, before it can be template; share of a page's characters that can be.
 MIN_PAGES, MOST_TEMPLATE = 3, 0.75
-#: Shapes that are aligned in turn; more go up a tree. Keys that a wrapper has at most: of the rarest ones, texts stay content.
+#: Shapes that are aligned in turn; more go up a tree. Keys beyond which a wrapper leaves out those that too few pages have to hold a template, and no others.
 FAN, MAX_KEYS = 32, 8_192
 #: Longest group, in tokens, that is folded as a repeat.
 GROUP = 8
@@ -250,13 +250,16 @@ def _blocks(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
     return out
 
 
-def align(a: Wrapper, b: Wrapper) -> Wrapper:
-    """The wrapper of all streams that either takes: what one lacks is optional, texts that differ are variable."""
+def align(a: Wrapper, b: Wrapper, lacks: tuple[int, int] = (0, 0)) -> Wrapper:
+    """The wrapper of all streams that either takes: what one lacks is optional, texts that differ are variable.
+
+    lacks: for a and b, pages that a key can have at most which was left out there.
+    """
     ka, kb = [x[0] for x in a], [x[0] for x in b]
     out: Wrapper = []
     i0 = j0 = 0
     for i, j, n in [*([(0, 0, len(ka))] if ka == kb else _blocks(ka, kb)), (len(ka), len(kb), 0)]:
-        out += [[x[0], x[1], 1, x[3], x[4]] for x in (*a[i0:i], *b[j0:j])]
+        out += [[x[0], x[1], 1, x[3], x[4] + n_pages] for own, n_pages in ((a[i0:i], lacks[1]), (b[j0:j], lacks[0])) for x in own]
         out += [[x[0], x[1] | y[1], x[2] | y[2], x[3] if x[3] == y[3] else -1, x[4] + y[4]] for x, y in zip(a[i : i + n], b[j : j + n], strict=True)]
         i0, j0 = i + n, j + n
     return out
@@ -332,33 +335,42 @@ def _streams(batches):
 
 
 def _merge(batches):
-    """Wrappers, or shapes, sorted by host and bucket -> one a bucket, aligned in turn; holds one at a time."""
-    last, w = None, []
+    """Wrappers, or shapes, sorted by host and bucket -> one a bucket, aligned in turn; holds one at a time.
+
+    held: pages in it; lacks: pages that a key can have at most which was left out.
+    pages: the host's distinct ones, of which a template is in half; total: those of all
+    its shapes. Of a bucket with more than MAX_KEYS keys those go that have less than
+    pages / 2 * held / total: what has so few in each bucket has less than half of all.
+    Until the last bucket a key counts with all pages that may have been left out, and
+    in the end each page is placed and counted anew, so no template loses its slot.
+    """
+    last, w, held, lacks = None, [], 0, 0
     done: list[tuple] = []
 
     def flush():
-        return pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], ["host", "bucket", "buckets", "wrapper"])
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate(kinds)], ["host", "bucket", "buckets", "pages", "total", "wrapper", "held", "lacks"])
 
     def end():
-        done.append((*last, json.dumps(w, separators=(",", ":"))))
+        pages, total = last[3:]
+        few = [2 * x[4] * total < pages * held for x in w] if len(w) > MAX_KEYS else [False] * len(w)
+        least = max([lacks, *(x[4] for x, f in zip(w, few, strict=True) if f)])
+        done.append((*last, json.dumps([x for x, f in zip(w, few, strict=True) if not f], separators=(",", ":")), held, least))
 
     for b in batches:
-        for h, bucket, buckets, text, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for *at, text, n, size, left in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if n:  # a shape of n pages
                 parts = text.split(" ")
                 keys = [k.removesuffix("*") for k in parts]
                 new = [[*x[:4], n] for x in as_wrapper(keys, [k.endswith("*") for k in parts], [0] * len(keys))]
             else:
                 new = json.loads(text)
-            if (h, bucket, buckets) == last:
-                w = align(w, new)
-                if len(w) > MAX_KEYS:
-                    held = set(sorted(range(len(w)), key=lambda i: (-w[i][4], i))[:MAX_KEYS])
-                    w = [x for i, x in enumerate(w) if i in held]
+            if tuple(at) == last:
+                w, held, lacks = align(w, new, (lacks, left)), held + size, lacks + left
                 continue
             if last is not None:
                 end()
-            last, w = (h, bucket, buckets), new
+            last, w, held, lacks = tuple(at), new, size, left
             if len(done) >= 1_000:
                 yield flush()
                 done = []
@@ -367,26 +379,26 @@ def _merge(batches):
         yield flush()
 
 
-def wrappers(streams: DataFrame) -> DataFrame:
-    """(host, wrapper): one for each host, as JSON, over the shapes of all its pages.
+def wrappers(streams: DataFrame, pages: DataFrame) -> DataFrame:
+    """(host, wrapper): one for each host, as JSON, over the shapes of all its pages. pages: (host, pages), their distinct ones.
 
     Shapes are dealt to buckets by their hash, FAN a bucket or so, and aligned in order
     of pages and text; then buckets are, FAN at a time, until a host has one.
     """
     parts = int(streams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shapes = cut(streams.where("shape <> ''").select("host", "shape", "page").distinct().groupBy("host", "shape").agg(F.count("*").alias("n")), "shapes")
-    counts = cut(shapes.groupBy("host").agg(F.count("*").alias("n")), "shape-counts")
-    left, right, on = dealt(shapes, counts.withColumnRenamed("n", "shapes"), counts, ["host"], ["shape"])
+    counts = cut(shapes.groupBy("host").agg(F.count("*").alias("n"), F.sum("n").alias("total")).join(pages, "host"), "shape-counts")
+    left, right, on = dealt(shapes, counts.withColumnRenamed("n", "shapes"), counts.select("host", "n"), ["host"], ["shape"])
     buckets = F.ceil(F.col("shapes") / FAN)
-    rows = left.join(right, on).select("host", F.pmod(F.xxhash64("shape"), buckets).alias("bucket"), buckets.alias("buckets"), F.col("shape").alias("wrapper"), "n", (-F.col("n")).alias("order"))
+    rows = left.join(right, on).select("host", F.pmod(F.xxhash64("shape"), buckets).alias("bucket"), buckets.alias("buckets"), "pages", "total", F.col("shape").alias("wrapper"), "n", F.col("n").alias("held"), F.lit(0).cast("long").alias("lacks"), (-F.col("n")).alias("order"))
     most = -(-(counts.agg(F.max("n")).first()[0] or 1) // FAN)
     while True:
-        rows = rows.repartition(parts, "host", "bucket").sortWithinPartitions("host", "bucket", "buckets", "order", "wrapper").select("host", "bucket", "buckets", "wrapper", "n").mapInArrow(_merge, "host string, bucket long, buckets long, wrapper string")
+        rows = rows.repartition(parts, "host", "bucket").sortWithinPartitions("host", "bucket", "buckets", "order", "wrapper").select("host", "bucket", "buckets", "pages", "total", "wrapper", "n", "held", "lacks").mapInArrow(_merge, "host string, bucket long, buckets long, pages long, total long, wrapper string, held long, lacks long")
         if most <= 1:
             return rows.select("host", "wrapper")
         most = -(-most // FAN)
         up = F.ceil(F.col("buckets") / FAN)
-        rows = cut(rows, "wrapper-level").select("host", F.pmod("bucket", up).alias("bucket"), up.alias("buckets"), "wrapper", F.lit(0).cast("long").alias("n"), F.col("bucket").alias("order"))
+        rows = cut(rows, "wrapper-level").select("host", F.pmod("bucket", up).alias("bucket"), up.alias("buckets"), "pages", "total", "wrapper", F.lit(0).cast("long").alias("n"), "held", "lacks", F.col("bucket").alias("order"))
 
 
 def _placed(batches):
@@ -413,7 +425,7 @@ def templates(streams: DataFrame, counts: DataFrame) -> DataFrame:
     large = counts.where(F.col("pages") >= MIN_PAGES)
     some = _with(streams, large.select("host"), counts.select("host", "n"), ["shape", "page"], "inner").select(streams.columns)
     some = cut(some, "streams-of-hosts")
-    known = cut(wrappers(some), "wrappers")
+    known = cut(wrappers(some, large.select("host", "pages")), "wrappers")
     placed = _with(some, known, counts.select("host", "n"), ["shape", "page"], "inner").select("host", "page", "shape", "keys", "texts", "wrapper").mapInArrow(_placed, "host string, page long, slot int, text long")
     # half of a host's pages hold these, so a host has not many
     held = placed.distinct().groupBy("host", "slot", "text").agg(F.count("*").alias("held")).where(F.col("held") >= MIN_PAGES)

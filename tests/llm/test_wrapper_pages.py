@@ -1,8 +1,10 @@
 """HTML wrappers: pages captured again, texts that articles share, the dealing of rows, long pages, and the aligner against brute force."""
 
 import itertools
+import json
 import random
 
+import pyarrow as pa
 import pytest
 
 from lakeseek.llm import common, wrapper
@@ -104,3 +106,33 @@ def test_long_pages_lose_their_template_too(spark):
         rows.append((i, "http://long.x/", f"<main><h1>Same head</h1><p>Some words of page {i}</p>{body}<address>Same end</address></main>"))
     got = texts(spark, rows)
     assert all("Same" not in t and t.count(" ") > 900 for t in got.values())
+
+
+def test_wrappers_of_many_keys_keep_the_slots_of_templates(spark):
+    """Pages of over MAX_KEYS keys, in two shapes: what stands at their end is template all the same."""
+    rng = random.Random(5)
+    tags = [rng.choice(("p", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "pre", "table", "figure", "section", "address")) for _ in range(6_000)]
+    body = "".join(f"<{t}></{t}>" for t in tags)
+    assert len(wrapper.slots(wrapper.tokens(body))[0]) > wrapper.MAX_KEYS
+    end = "<div>Printed from the archive</div>"
+    rows = [(i, "http://long.x/", f"<article><h1>Own {i} {'text ' * 40}</h1>{'<blockquote></blockquote>' * (i % 2)}{body}{end}</article>") for i in range(6)]
+    assert texts(spark, rows) == {i: f"Own {i} {'text ' * 40}".strip() for i in range(6)}
+
+
+def test_keys_left_out_can_hold_no_template(monkeypatch):
+    """Buckets of pages with keys of their own, two levels up: those go, and whatever half of all pages have stays, with no fewer pages than it has."""
+    monkeypatch.setattr(wrapper, "MAX_KEYS", 4)
+    rng, has, pages = random.Random(6), {}, []
+    for i in range(256):
+        keys = [k for k in range(12) if rng.random() < (0.3, 0.45, 0.55, 0.7)[k % 4]] + [100 + i]
+        pages.append(" ".join([f"<s{k}>" + f" <k{k:03d}>" * (k in keys) for k in range(12)] + ["<s12>", f"<k{100 + i}>"]))  # all pages have the s, so keys of one name are one slot
+        for k in keys:
+            has[f"<k{k:03d}>"] = has.get(f"<k{k:03d}>", 0) + 1
+    names = ["host", "bucket", "buckets", "pages", "total", "wrapper", "n", "held", "lacks"]
+    merged = lambda rows: [tuple(r.values()) for b in wrapper._merge([pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])]) for r in b.to_pylist()]
+    rows = merged(sorted(("h", i % 16, 16, 256, 256, p, 1, 1, 0) for i, p in enumerate(pages)))
+    rows = merged(sorted((h, b % 4, 4, n, t, w, 0, held, lacks) for h, b, _, n, t, w, held, lacks in rows))
+    [(*_, found, held, _)] = merged(sorted((h, 0, 1, n, t, w, 0, held, lacks) for h, b, _, n, t, w, held, lacks in rows))
+    kept = {k: n for k, _, _, _, n in json.loads(found)}
+    assert held == 256 and all(kept.get(k, 0) >= n for k, n in has.items() if 2 * n >= 256)
+    assert not any(f"<k{100 + i:03d}>" in kept for i in range(256))
