@@ -61,9 +61,9 @@ def index_of(spark: SparkSession, sf_dir: str) -> index.Index:
     key, chunks = (spark.sparkContext.applicationId, sf_dir), chunks_of(spark, sf_dir)
     if key not in _BUILT:
         path = new_path(spark, "index")
-        index.build(spread(chunks), path)
+        index.build(spread(chunks), path, kept=False)
         _BUILT[key] = path
-    return replace(index.load(spark, _BUILT[key], chunks.schema), vectors=vectors_of(spark, sf_dir))
+    return replace(index.load(spark, _BUILT[key], chunks), vectors=vectors_of(spark, sf_dir))
 
 
 # DuckDB pieces

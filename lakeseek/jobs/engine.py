@@ -26,7 +26,6 @@ TABLES = {
     "chunks": _CHUNKS,
     "postings": index.SCHEMAS["postings"] + ", committed long",
     "term_df": index.SCHEMAS["term_df"],
-    "blocks": index.SCHEMAS["blocks"],
     "counts": "n long, tokens long",
     "marks": "doc_id string, marked long",
     "log": "event string, doc_id string, corpus string, chunks long, embedded long, failed long, at timestamp",
@@ -104,7 +103,7 @@ class Engine:
         chunks = self._live("chunks", commits)
         df = self._table("term_df", commits).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
         vectors = chunks.where("embedding IS NOT NULL").select("chunk_id", "corpus", "embedding")
-        return index.Index(chunks.drop("committed"), self._live("postings", commits).drop("committed"), df, index.mean_length(self._table("counts", commits)), vectors, self._table("blocks", commits))
+        return index.Index(chunks.drop("committed"), self._live("postings", commits).drop("committed"), df, index.mean_length(self._table("counts", commits)), vectors)
 
     def documents(self) -> DataFrame:
         """Stored documents with their content, as Markdown and as it came."""
@@ -157,7 +156,7 @@ class Engine:
         chunks = embedding.embed(chunks, self.embed) if self.embed else chunks.withColumns({"embedding": F.lit(None).cast("array<float>"), "embed_failed": F.lit(False)})
         chunks = cut(chunks, "chunks")
         fields = index.chunk_fields(chunks)
-        posted = cut(index.by_term(index.with_blocks(index.postings(fields), fields.count(), commit or str(at))), "postings")
+        posted = cut(index.with_blocks(index.postings(fields), fields.count(), commit or str(at)), "postings")
         tables = {"term_df": index.term_df(posted), "counts": index.corpus_counts(fields, posted)}
         if commits:
             ids = docs.select(F.col("id").alias("doc_id"))
@@ -171,7 +170,7 @@ class Engine:
         else:
             log = stats.ingest_log(chunks)
         own = F.lit(at).alias("committed")
-        tables |= {"documents": docs.select(F.col("id").alias("doc_id"), *(c for c in docs.columns if c != "id"), own), "chunks": chunks.select("*", own).sortWithinPartitions("chunk_id"), "postings": posted.select("*", own), "blocks": index.block_bounds(posted).repartition("term").sortWithinPartitions("term"), "log": log}
+        tables |= {"documents": docs.select(F.col("id").alias("doc_id"), *(c for c in docs.columns if c != "id"), own), "chunks": chunks.select("*", own).sortWithinPartitions("chunk_id"), "postings": posted.select("*", own), "log": log}
         self._commit("ingest", tables, at, commit)
 
     def delete(self, ids: list[str]) -> int:
@@ -218,8 +217,8 @@ class Engine:
         chunks = self._live("chunks", commits)
         df = self._table("term_df", commits).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
         at = self._now(commits)
-        posted = cut(index.by_term(index.with_blocks(self._live("postings", commits), chunks.count(), str(at))), "postings")
-        tables = {"documents": self._live("documents", commits), "chunks": chunks.sortWithinPartitions("chunk_id"), "postings": posted, "blocks": index.block_bounds(posted).repartition("term").sortWithinPartitions("term"), "term_df": df, "counts": self._table("counts", commits).agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")), "log": self._table("log", commits)}
+        posted = cut(index.with_blocks(self._live("postings", commits), chunks.count(), str(at)).sortWithinPartitions("term"), "postings")
+        tables = {"documents": self._live("documents", commits), "chunks": chunks.sortWithinPartitions("chunk_id"), "postings": posted, "term_df": df, "counts": self._table("counts", commits).agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")), "log": self._table("log", commits)}
         self._commit("compact", tables, at, replaces=[r["id"] for r in commits])
 
     def reset(self) -> None:
