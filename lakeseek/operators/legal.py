@@ -86,15 +86,22 @@ def rerank(hits: DataFrame, enabled: bool | None = None) -> DataFrame:
 
 
 def boost_articles(hits: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """For queries that name several articles: all chunks of those that aren't hits yet, at 0.95 of the best score (1 without hits)."""
+    """For queries that name several articles: all chunks of those that aren't hits yet, at 0.95 of the best score (1 without hits).
+
+    That can be a share of all chunks for each query, so what is added is made where the
+    chunks are: a chunk brings the queries that it is a hit of, an article its queries
+    and their best score.
+    """
     refs = queries.select("qid", F.coalesce("corpus", F.lit("")).alias("qcorpus"), X.article_refs(F.col("text")).alias("refs")).where("size(refs) > 1").select("qid", "qcorpus", F.explode("refs").alias("article"))
     named = lexical.held(refs)
     if named is not None:
         if not named.num_rows:
             return hits.select("qid", "chunk_id", "score")
         refs = F.broadcast(refs.sparkSession.createDataFrame(named, refs.schema))
-        hits = cut(hits, "hits")  # read three times from here
-    top = hits.groupBy("qid").agg(F.max("score").alias("top"))
-    more = chunks.where("article <> ''").join(refs, "article").where("qcorpus = '' OR qcorpus = corpus").select("qid", "chunk_id")
-    more = more.join(hits.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti").join(top, "qid", "left")
+    hits = cut(hits, "hits")  # read three times from here
+    asked = refs.join(lexical.local(hits.groupBy("qid").agg(F.max("score").alias("top"))), "qid", "left")
+    asked = asked if named is None else lexical.local(asked)
+    known = lexical.local(hits.join(refs.select("qid").distinct(), "qid", "left_semi").groupBy("chunk_id").agg(F.collect_set("qid").alias("__of")))
+    rows = chunks.where("article <> ''").select("chunk_id", "corpus", "article").join(known, "chunk_id", "left")
+    more = rows.join(asked, "article").where("(qcorpus = '' OR qcorpus = corpus) AND NOT coalesce(array_contains(__of, qid), false)")
     return hits.select("qid", "chunk_id", "score").unionByName(more.select("qid", "chunk_id", (0.95 * F.coalesce("top", F.lit(1 / 0.95))).alias("score")))

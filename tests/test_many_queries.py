@@ -57,3 +57,19 @@ def test_pairs_of_queries_and_chunks_are_not_moved(spark, tmp_path):
     found = lexical.search(at, spark.createDataFrame([("q", "common w3", "")], QUERIES))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\(qid#\d+, chunk_id", plan)
+
+
+def test_articles_are_added_where_the_chunks_are(spark, monkeypatch):
+    """The same rows where nothing is broadcast; pairs of queries and chunks meet no hits by a shuffle."""
+    chunks = spark.createDataFrame([(f"c{i}", f"d{i}", "ab"[i % 2], "", "", "p", 0, str(i % 5), "x") for i in range(40)], CHUNKS)
+    hits = spark.createDataFrame([("q1", "c1", 2.0), ("q1", "c6", 1.0), ("q2", "c2", 3.0), ("q4", "c1", 1.0)], "qid string, chunk_id string, score double")
+    asked = spark.createDataFrame([("q1", "article 1 et article 2", ""), ("q2", "article 2, article 3", "a"), ("q3", "article 4 article 1", "b"), ("q4", "article 1", "")], QUERIES)
+    want = {("q1", "c1", 2.0), ("q1", "c6", 1.0), ("q2", "c2", 3.0), ("q4", "c1", 1.0)}
+    want |= {("q1", f"c{i}", 1.9) for i in range(40) if i % 5 in (1, 2) and i not in (1, 6)}
+    want |= {("q2", f"c{i}", 2.85) for i in range(0, 40, 2) if i % 5 in (2, 3) and i != 2} | {("q3", f"c{i}", 1.0) for i in range(1, 40, 2) if i % 5 in (4, 1)}
+    for most in (lexical.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(lexical, "BROADCAST_ROWS", most)
+        got = legal.boost_articles(hits, asked, chunks)
+        rows = got.collect()
+        assert {(r.qid, r.chunk_id, round(r.score, 6)) for r in rows} == want and len(rows) == len(want)
+        assert "LeftAnti" not in got._jdf.queryExecution().executedPlan().toString()
