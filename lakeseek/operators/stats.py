@@ -23,7 +23,7 @@ def sums(log: DataFrame, times: int = 1) -> DataFrame:
     count = lambda c, name: (F.sum(c) * times).cast("long").alias(name)
     return named.groupBy("corpus").agg(
         count(sign, "documents"), count(sign * F.col("chunks"), "chunks"), count(F.when(came, F.col("embedded")).otherwise(0), "embedded"), count(F.when(came, failed).otherwise(0), "failures"),
-        F.max(F.when(came & at.isNotNull(), F.struct(at.alias("at"), F.col("doc_id").cast("string").alias("doc_id")))).alias("last"),
+        F.max(F.when(came & at.isNotNull(), F.struct(at.alias("at"), "doc_id"))).alias("last"),
     )
 
 
@@ -32,13 +32,13 @@ def total(parts: DataFrame) -> DataFrame:
     out = parts.rollup("corpus").agg(
         *(F.greatest(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("documents", "chunks")), *(F.sum(c).cast("long").alias(c) for c in ("embedded", "failures")), F.max("last").alias("last")
     )
-    return out.select("corpus", "documents", "chunks", "embedded", "failures", F.col("last.doc_id").alias("last_document"), F.col("last.at").alias("last_at"))
+    return out.select("corpus", "documents", "chunks", "embedded", "failures", F.col("last.doc_id").cast("string").alias("last_document"), F.col("last.at").alias("last_at"))
 
 
 def totals(log: DataFrame) -> DataFrame:
     """Documents, chunks, embedded chunks and failures in all (corpus null) and for each corpus, with the last document ingested and when; deletions count down, never below 0, and not for embedded and failures.
 
-    Of documents of one time the largest id is the last. A log without times or failures
+    Of documents of one time the largest id is the last, numbers as numbers. A log without times or failures
     has nulls and none.
     """
     return total(sums(log))

@@ -73,3 +73,9 @@ def test_articles_are_added_where_the_chunks_are(spark, monkeypatch):
         rows = got.collect()
         assert {(r.qid, r.chunk_id, round(r.score, 6)) for r in rows} == want and len(rows) == len(want)
         assert "LeftAnti" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_last_of_numbered_documents_goes_by_number(spark):
+    log = spark.createDataFrame([(9999, 5), (10999, 5), (500, 3)], "doc_id long, s long")
+    log = log.select(F.lit("ingest").alias("event"), "doc_id", F.lit("x").alias("corpus"), F.lit(1).alias("chunks"), F.lit(0).alias("embedded"), F.timestamp_seconds("s").alias("at"))
+    assert {r.last_document for r in stats.totals(log).collect()} == {"10999"}
