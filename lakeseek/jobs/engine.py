@@ -72,14 +72,24 @@ class Engine:
         paths = [f"{self.root}/data/{r['id']}/{name}" for r in commits if name in r["tables"]]
         return self.spark.read.schema(TABLES[name]).parquet(*paths) if paths else self.spark.createDataFrame([], TABLES[name])
 
-    def _commit(self, kind: str, tables: dict[str, DataFrame], at: int, name: str | None = None, replaces: list[str] = ()) -> None:
-        name = name or f"{at}-{uuid.uuid4().hex}"
+    def _put(self, name: str, table: str, df: DataFrame) -> DataFrame:
+        """Writes a table of a commit, where it stays, and reads it back. It doesn't count before the commit's entry is there."""
+        cast = (f"CAST(`{c.split()[0]}` AS {c.split(' ', 1)[1]}) AS `{c.split()[0]}`" for c in TABLES[table].split(", "))
+        path = f"{self.root}/data/{name}/{table}"
+        df.selectExpr(*cast).write.mode("overwrite").option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(TABLES[table]).parquet(path)
+
+    def _commit(self, kind: str, tables: dict[str, DataFrame], at: int, name: str, replaces: list[str] = (), put: list[str] = ()) -> None:
+        """Writes a commit's tables and its entry; put: tables that are there already."""
         for k, df in tables.items():
-            cast = (f"CAST(`{c.split()[0]}` AS {c.split(' ', 1)[1]}) AS `{c.split()[0]}`" for c in TABLES[k].split(", "))
-            df.selectExpr(*cast).write.mode("overwrite").parquet(f"{self.root}/data/{name}/{k}")
-        entry = self.spark.createDataFrame([(name, at, kind, list(replaces), list(tables))], COMMITS).coalesce(1)
+            self._put(name, k, df)
+        entry = self.spark.createDataFrame([(name, at, kind, list(replaces), [*put, *tables])], COMMITS).coalesce(1)
         entry.write.mode("ignore").json(f"{self.root}/commits/{name}")
 
+    @staticmethod
+    def _new(at: int) -> str:
+        return f"{at}-{uuid.uuid4().hex}"
+
     def _now(self, commits: list) -> int:
         """Later than every commit there is."""
         return max([time.time_ns() // 1000, *(r["at"] + 1 for r in commits)])
@@ -151,12 +161,14 @@ class Engine:
         if not again.isEmpty():  # only these are moved
             often = docs.join(again.select("id"), "id", "left_semi").groupBy("id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("d")).select("d.*")
             docs = docs.join(again.select("id"), "id", "left_anti").unionByName(often)
-        docs = cut(chunking.normalize_documents(docs.where("coalesce(id, '') <> ''")), "documents")
+        name, own = commit or self._new(at), F.lit(at).alias("committed")
+        docs = chunking.normalize_documents(docs.where("coalesce(id, '') <> ''")).withColumnRenamed("id", "doc_id")
+        docs = self._put(name, "documents", docs.select("*", own)).drop("committed").withColumnRenamed("doc_id", "id")
         chunks = chunking.chunk_documents(docs)
         chunks = embedding.embed(chunks, self.embed) if self.embed else chunks.withColumns({"embedding": F.lit(None).cast("array<float>"), "embed_failed": F.lit(False)})
-        chunks = cut(chunks, "chunks")
+        chunks = self._put(name, "chunks", chunks.select("*", own).sortWithinPartitions("chunk_id")).drop("committed")
         fields = index.chunk_fields(chunks)
-        posted = cut(index.with_blocks(index.postings(fields), fields.count(), commit or str(at)), "postings")
+        posted = self._put(name, "postings", index.with_blocks(index.postings(fields), fields.count(), commit or str(at)).select("*", own))
         tables = {"term_df": index.term_df(posted), "counts": index.corpus_counts(fields, posted)}
         if commits:
             ids = docs.select(F.col("id").alias("doc_id"))
@@ -169,9 +181,7 @@ class Engine:
             log = stats.ingest_log(old, event="delete").unionByName(stats.ingest_log(chunks))
         else:
             log = stats.ingest_log(chunks)
-        own = F.lit(at).alias("committed")
-        tables |= {"documents": docs.select(F.col("id").alias("doc_id"), *(c for c in docs.columns if c != "id"), own), "chunks": chunks.select("*", own).sortWithinPartitions("chunk_id"), "postings": posted.select("*", own), "log": log}
-        self._commit("ingest", tables, at, commit)
+        self._commit("ingest", tables | {"log": log}, at, name, put=["documents", "chunks", "postings"])
 
     def delete(self, ids: list[str]) -> int:
         """Removes documents; how many there were."""
@@ -182,7 +192,7 @@ class Engine:
         if n:
             at = self._now(commits)
             old = self._live("chunks", commits).join(known, "doc_id", "left_semi")
-            self._commit("delete", self._minus(old) | {"marks": known.withColumn("marked", F.lit(at)), "log": stats.ingest_log(old, event="delete")}, at)
+            self._commit("delete", self._minus(old) | {"marks": known.withColumn("marked", F.lit(at)), "log": stats.ingest_log(old, event="delete")}, at, self._new(at))
         return n
 
     def sync_directory(self, folder: str, corpus: str = "") -> dict[str, int]:
@@ -217,16 +227,17 @@ class Engine:
         chunks = self._live("chunks", commits)
         df = self._table("term_df", commits).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
         at = self._now(commits)
-        posted = cut(index.with_blocks(self._live("postings", commits), chunks.count(), str(at)).sortWithinPartitions("term"), "postings")
+        posted = index.with_blocks(self._live("postings", commits), chunks.count(), str(at)).sortWithinPartitions("term")
         tables = {"documents": self._live("documents", commits), "chunks": chunks.sortWithinPartitions("chunk_id"), "postings": posted, "term_df": df, "counts": self._table("counts", commits).agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")), "log": self._table("log", commits)}
-        self._commit("compact", tables, at, replaces=[r["id"] for r in commits])
+        self._commit("compact", tables, at, self._new(at), replaces=[r["id"] for r in commits])
 
     def reset(self) -> None:
         """Empties the store; the log keeps what was there."""
         commits = self._commits()
         if commits:
             log = self._table("log", commits).unionByName(stats.ingest_log(self._live("chunks", commits), event="delete"))
-            self._commit("reset", {"log": log}, self._now(commits), replaces=[r["id"] for r in commits])
+            at = self._now(commits)
+            self._commit("reset", {"log": log}, at, self._new(at), replaces=[r["id"] for r in commits])
 
     # --- questions
 

@@ -4,12 +4,15 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from lakeseek.functions import terms as T
+from lakeseek.jobs.engine import Engine
 from lakeseek.operators import index, legal, lexical, stats
+from lakeseek.session import app_dir
 
 CHUNKS = "chunk_id string, doc_id string, corpus string, title string, doc_title string, section_path string, position int, article string, text string"
 QUERIES = "qid string, text string, corpus string"
@@ -79,3 +82,18 @@ def test_the_last_of_numbered_documents_goes_by_number(spark):
     log = spark.createDataFrame([(9999, 5), (10999, 5), (500, 3)], "doc_id long, s long")
     log = log.select(F.lit("ingest").alias("event"), "doc_id", F.lit("x").alias("corpus"), F.lit(1).alias("chunks"), F.lit(0).alias("embedded"), F.timestamp_seconds("s").alias("at"))
     assert {r.last_document for r in stats.totals(log).collect()} == {"10999"}
+
+
+def test_a_commit_is_written_once(spark, tmp_path):
+    """Documents, chunks and postings go to the commit's folder, not to the shared one first; a commit's rows are those of its documents."""
+    base = Path(app_dir(spark).removeprefix("file:"))
+    before = set(base.iterdir()) if base.exists() else set()
+    schema = "id string, title string, content string, content_type string, original_content string, corpus string, book_title string, article string"
+    text = "# H\n\n" + " ".join(f"word{i}" for i in range(40))
+    store = Engine(spark, str(tmp_path))
+    for ids in (range(6), range(4, 9)):
+        store.ingest(spark.createDataFrame([(str(i), "t", text, "markdown", "", "web", "", "") for i in ids], schema))
+    made = {p.name.rsplit("-", 1)[0] for p in set(base.iterdir() if base.exists() else ()) - before}
+    assert not made & {"documents", "chunks", "postings"}
+    assert sorted(r.doc_id for r in store.documents().collect()) == [str(i) for i in range(9)]
+    assert store.index().postings.where("term = 'word3'").select("doc_id").distinct().count() == 9
