@@ -289,7 +289,8 @@ class Engine:
         hits = cut(hits, "hits")
         own = F.col("retrieval_q") if "retrieval_q" in queries.columns else F.lit("")
         shown_by = ranking.excerpt_queries(queries.select("qid", own.alias("retrieval_q")), variants)
-        told = excerpt.prompts(excerpt.with_excerpts(hits, at.chunks, shown_by), queries, params.top_k)
+        shown = cut(excerpt.with_excerpts(hits, at.chunks, shown_by), "excerpts")  # read twice: for the prompts and their checklists
+        told = excerpt.prompts(shown, queries, params.top_k)
         answers = cut(generation.generate(told, generate, F.col("prompt"), F.col("system"), **how), "answers")
         said = variants.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("variant", "text"))), lambda x: x["text"]), " | ").alias("rewrite_queries"))
         rows = queries.select("qid").join(said, "qid", "left").join(answers.select("qid", "generated", F.lit(True).alias("__asked")), "qid", "left")

@@ -32,10 +32,11 @@ def _count_terms(low: Column, query_terms: Column) -> Column:
 def scored_sentences(text: Column, query_terms: Column) -> Column:
     """[(s, score)] of sentences(): a sentence's words that the query has, repeats included, and priority terms found.
 
-    query_terms are distinct words of X.snippet_tokens(). Priority terms are looked for
-    in the whole text first; sentences are asked only for those that it has.
+    query_terms are distinct words of X.snippet_tokens(). They and the priority terms are
+    looked for in the whole text first; sentences are asked only for those that it has.
     """
     known = X.let(F.lower(text), _priority)
+    query_terms = X.let(F.struct(F.lower(text).alias("low"), query_terms.alias("q")), lambda x: F.filter(x["q"], lambda w: F.contains(x["low"], w)))
     each = lambda s, x: X.let(F.lower(s), lambda v: _count_terms(v, x["q"]) + F.size(F.filter(x["known"], lambda t: F.contains(v, t))))
     return X.let(F.struct(known.alias("known"), query_terms.alias("q")), lambda x: F.transform(sentences(text), lambda s: F.struct(s.alias("s"), each(s, x).alias("score"))))
 

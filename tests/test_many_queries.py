@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lakeseek.functions import terms as T
 from lakeseek.jobs.engine import Engine
-from lakeseek.operators import index, legal, lexical, stats
+from lakeseek.operators import excerpt, index, legal, lexical, stats
 from lakeseek.session import app_dir
 
 CHUNKS = "chunk_id string, doc_id string, corpus string, title string, doc_title string, section_path string, position int, article string, text string"
@@ -45,7 +46,7 @@ def by_hand(rows, queries, k, combine):
 
 @pytest.mark.parametrize(("combine", "prune"), [("max", False), ("max", True), ("sum", False), ("sum", True)])
 def test_hits_equal_counts_by_hand_however_the_work_is_dealt(spark, tmp_path, monkeypatch, combine, prune):
-    for name, value in {"AT_ONCE": 100, "ASKED": 4, "DEALT": 300, "LEAST": 50, "BROADCAST_ROWS": 30}.items():
+    for name, value in {"AT_ONCE": 100, "ASKED": 4, "DEALT": 300, "LEAST": 50, "BROADCAST_ROWS": 30, "TERMS": 20}.items():
         monkeypatch.setattr(lexical, name, value)
     monkeypatch.setattr(index, "BLOCK", 8)
     rows, rng = rows_of(), random.Random(4)
@@ -97,3 +98,17 @@ def test_a_commit_is_written_once(spark, tmp_path):
     assert not made & {"documents", "chunks", "postings"}
     assert sorted(r.doc_id for r in store.documents().collect()) == [str(i) for i in range(9)]
     assert store.index().postings.where("term = 'word3'").select("doc_id").distinct().count() == 9
+
+
+def test_sentences_are_asked_only_for_terms_that_the_text_has(spark):
+    """Scores equal counts by hand, and a text without any of many terms costs no look a sentence."""
+    text = "Alpha beta. beta, gamma beta! Delta. " * 300
+    few, many = ["beta", "delta"], ["beta", "delta", *(f"absent{i}" for i in range(400))]
+    d = spark.createDataFrame([(text,)], "text string")
+    took = {}
+    for name, terms in (("few", few), ("many", many)) * 2:
+        began = time.perf_counter()
+        rows = d.select(F.explode(excerpt.scored_sentences(F.col("text"), F.array(*map(F.lit, terms))))).select("col.*").collect()
+        took[name] = time.perf_counter() - began
+        assert [r.score for r in rows[:3]] == [1, 3, 1] and len(rows) == 600
+    assert took["many"] < 4 * took["few"] + 2
